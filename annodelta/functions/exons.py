@@ -28,10 +28,9 @@ class Spans:
         return Spans(self.start[index], self.end[index])
 
 
-def along_strand(exons: Spans, forward: bool) -> np.ndarray:
-    """Index order of exons along the strand."""
-    order = np.argsort(exons.start, kind="stable")
-    return order if forward else order[::-1]
+def along_strand(exons: Spans, forward: bool) -> Spans:
+    """Exons sorted by start, turned round for the reverse strand."""
+    return exons if forward else exons.take(slice(None, None, -1))
 
 
 def aligned_gaps(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -153,8 +152,17 @@ def pair_exons(target: Spans, query: Spans) -> Pairing:
     )
 
 
-def _inside(regions: Spans, start: int, end: int, pad: int) -> np.ndarray:
-    return (regions.start >= start - pad) & (regions.end <= end + pad)
+def _inside(regions: Spans, exons: Spans, pick: list[int | None]) -> np.ndarray:
+    """Table (region, rank): whether the region lies in the exon picked at that rank."""
+    known = np.array([i is not None for i in pick], dtype=bool)
+    index = np.array([i or 0 for i in pick], dtype=np.int64)
+    if not len(exons) or not len(regions):
+        return np.zeros((len(regions), len(pick)), dtype=bool)
+    return (
+        (regions.start[:, None] >= exons.start[index] - C.CONTAINMENT_PAD_BP)
+        & (regions.end[:, None] <= exons.end[index] + C.CONTAINMENT_PAD_BP)
+        & known
+    )
 
 
 def pair_inner_regions(t_exons: Spans, q_exons: Spans, exon_pairs: Pairing, target: Spans, query: Spans) -> Pairing:
@@ -162,32 +170,43 @@ def pair_inner_regions(t_exons: Spans, q_exons: Spans, exon_pairs: Pairing, targ
 
     A target region outside every exon is not reported; a query region without partner is.
     """
-    home = np.full(len(query), -1)
-    for rank, (_, j) in enumerate(exon_pairs):
-        if j is not None:
-            home[(home < 0) & _inside(query, q_exons.start[j], q_exons.end[j], C.CONTAINMENT_PAD_BP)] = rank
-    free = np.ones(len(query), dtype=bool)
+    waiting: dict[int, list[int]] = {}
+    held = _inside(query, q_exons, [j for _, j in exon_pairs])
+    for j in np.flatnonzero(held.any(axis=1)).tolist():
+        waiting.setdefault(int(held[j].argmax()), []).append(j)
+    t_start, t_end, q_start, q_end = (x.tolist() for x in (target.start, target.end, query.start, query.end))
     pairs: Pairing = []
-    for rank, (i, _) in enumerate(exon_pairs):
-        if i is None:
-            continue
-        for r in np.flatnonzero(_inside(target, t_exons.start[i], t_exons.end[i], C.CONTAINMENT_PAD_BP)):
-            options = np.flatnonzero(free & (home == rank))
-            partner = None
-            if len(options):
-                distance = np.abs(query.start[options] - target.start[r]) + np.abs(query.end[options] - target.end[r])
-                partner = int(options[np.argmin(distance)])
-                free[partner] = False
-            pairs.append((int(r), partner))
-    return pairs + [(None, int(j)) for j in np.flatnonzero(free)]
-
-
-def _intron_between(exons: Spans, a: int, b: int, introns: Spans) -> int | None:
-    low, high = (a, b) if exons.start[a] <= exons.start[b] else (b, a)
-    inside = np.flatnonzero(_inside(introns, exons.end[low] + 1, exons.start[high] - 1, 0))
-    if exons.start[high] - 1 < exons.end[low] + 1 or not len(inside):
-        return None
-    return int(inside[np.argmax(introns.end[inside] - introns.start[inside])])
+    used = set()
+    ranks, rows = np.nonzero(_inside(target, t_exons, [i for i, _ in exon_pairs]).T)
+    for rank, r in zip(ranks.tolist(), rows.tolist()):
+        partner = min(
+            (j for j in waiting.get(rank, ()) if j not in used),
+            key=lambda j: abs(q_start[j] - t_start[r]) + abs(q_end[j] - t_end[r]), default=None,
+        )
+        used.add(partner)
+        pairs.append((r, partner))
+    return pairs + [(None, j) for j in range(len(query)) if j not in used]
+
+
+class _Introns:
+    """Finds the longest intron of a transcript inside a gap between two of its exons."""
+
+    def __init__(self, exons: Spans, introns: Spans) -> None:
+        self.exons = list(zip(exons.start.tolist(), exons.end.tolist()))
+        self.introns = list(zip(introns.start.tolist(), introns.end.tolist()))
+        self.exact: dict[tuple[int, int], int] = {}
+        for k, span in enumerate(self.introns):
+            self.exact.setdefault(span, k)
+
+    def between(self, a: int, b: int) -> int | None:
+        low, high = sorted((self.exons[a], self.exons[b]))
+        first, last = low[1] + 1, high[0] - 1
+        if last < first:
+            return None
+        if (first, last) in self.exact:
+            return self.exact[first, last]
+        inside = [k for k, (s, e) in enumerate(self.introns) if s >= first and e <= last]
+        return max(inside, key=lambda k: self.introns[k][1] - self.introns[k][0], default=None)
 
 
 def pair_introns(
@@ -199,12 +218,13 @@ def pair_introns(
     ``reverse_unpaired`` leaves all introns of reverse-strand transcripts without partner.
     """
     partner = {i: j for i, j in exon_pairs if i is not None and j is not None}
+    t_introns, q_introns = _Introns(t_exons, target), _Introns(q_exons, query)
     pairs: Pairing = []
     for i in range(len(t_exons) - 1):
         left, right = partner.get(i), partner.get(i + 1)
         if left is None or right is None or right != left + 1 or (reverse_unpaired and not forward):
             continue
-        found = (_intron_between(t_exons, i, i + 1, target), _intron_between(q_exons, left, right, query))
+        found = (t_introns.between(i, i + 1), q_introns.between(left, right))
         if found != (None, None):
             pairs.append(found)
     seen_t, seen_q = {i for i, _ in pairs}, {j for _, j in pairs}

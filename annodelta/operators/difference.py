@@ -14,6 +14,7 @@ from annodelta.config import Comparison
 from annodelta.operators.comparators import Comparator, of_grain
 from annodelta.operators.genome import CHUNK_BASES, compare_spans
 from annodelta.operators.regions import PAIR_KEYS, pair_regions
+from annodelta.session import cut_lineage
 
 # Property impacts that the historic key names can reach.
 NARROW_IMPACT_KEYS = {"start": "start", "stop": "stop", "length": "length"}
@@ -68,7 +69,7 @@ def transcript_pairs(matches: DataFrame, target: Annotation, query: Annotation,
     if config.allowed_biotypes:
         allowed = list(config.allowed_biotypes)
         pairs = pairs.where(F.col("t_biotype").isin(allowed) | F.col("q_biotype").isin(allowed))
-    return pairs
+    return cut_lineage(pairs)  # read by every part of the report
 
 
 def _differences(comparators: Iterable[Comparator], config: Comparison, compat: Compat, kind: Column, fallback: str | None = None) -> Column:
@@ -137,7 +138,8 @@ def difference_table(
         with_sequences = False
     flagged = region_differences(regions, config, compat, with_sequences)
 
-    changed = flagged.where(F.size("found") > 0)
+    # Both grains of the report read the changed regions; pairing them is the costly part.
+    changed = cut_lineage(flagged.where(F.size("found") > 0))
     per_pair = changed.groupBy(*PAIR_KEYS).agg(
         F.max(F.exists("found", lambda x: x["difference"] == "seq")).alias("seq_changed")
     )

@@ -31,38 +31,42 @@ def pair_regions(
     """
     enabled = set(types if types is not None else C.FEATURE_TYPES)
 
+    codes = F.create_map(*[x for n, t in enumerate(C.FEATURE_TYPES) for x in (F.lit(t), F.lit(n))])
+
     def side(features: DataFrame, name: str, is_query: bool) -> DataFrame:
         children = features.select(
-            "contig", F.col("transcript_id").alias(name), "type", "start", "end", "fwd",
-            (F.col("type") == C.INTRON).alias("synthetic"), "ord",
-        )
+            "contig", F.col("transcript_id").alias(name), F.try_element_at(codes, F.col("type")).alias("code"),
+            "start", "end", "fwd", "ord",
+        ).where(F.col("code").isNotNull())
         return pairs.select(*PAIR_KEYS).join(children, ["contig", name]).withColumn("is_query", F.lit(is_query))
 
     rows = side(target_features, "target_transcript_id", False).unionByName(
         side(query_features, "query_transcript_id", True)
     )
+    nothing = X.Spans(np.empty(0, np.int64), np.empty(0, np.int64))
 
     def solve(g: Columns) -> list[tuple]:
         head = tuple(g[k][0] for k in PAIR_KEYS)
-        cut = int(np.searchsorted(g["is_query"], True))
-        sides = (slice(0, cut), slice(cut, len(g["is_query"])))
-
-        def of_type(at: slice, kind: str) -> X.Spans:
-            picked = np.flatnonzero(g["type"][at] == kind) + at.start
-            picked = picked[np.argsort(g["start"][picked], kind="stable")]
-            return X.Spans(g["start"][picked], g["end"][picked])
-
-        forward = [bool(g["fwd"][at][0]) if at.stop > at.start else True for at in sides]
-        t_exons, q_exons = (
-            spans.take(X.along_strand(spans, f)) for spans, f in zip((of_type(at, C.EXON) for at in sides), forward)
-        )
+        # Rows come sorted by side, type and start: every list of a type is one slice.
+        group = g["code"] + len(C.FEATURE_TYPES) * g["is_query"]
+        borders = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        lists = {
+            int(group[a]): X.Spans(g["start"][a:b], g["end"][a:b]) for a, b in zip(borders[:-1], borders[1:])
+        }
+
+        def both(kind: str) -> list[X.Spans]:
+            code = C.FEATURE_TYPES.index(kind)
+            return [lists.get(code, nothing), lists.get(code + len(C.FEATURE_TYPES), nothing)]
+
+        forward = [bool(g["fwd"][0]), bool(g["fwd"][-1])]
+        t_exons, q_exons = (X.along_strand(spans, f) for spans, f in zip(both(C.EXON), forward))
         exon_pairs = X.pair_exons(t_exons, q_exons)
         out: list[tuple] = []
 
         def report(kind: str, pairing: X.Pairing, target: X.Spans, query: X.Spans) -> None:
             for i, j in pairing:
-                t = (None, None) if i is None else (int(target.start[i]), int(target.end[i]))
-                q = (None, None) if j is None else (int(query.start[j]), int(query.end[j]))
+                t = (None, None) if i is None else (target.start[i], target.end[i])
+                q = (None, None) if j is None else (query.start[j], query.end[j])
                 out.append((*head, kind, *t, *q, None))
             if not pairing:
                 if kind == C.EXON or (len(target) and not len(query)):
@@ -73,15 +77,15 @@ def pair_regions(
         if C.EXON in enabled:
             report(C.EXON, exon_pairs, t_exons, q_exons)
         if C.INTRON in enabled:
-            introns = [of_type(at, C.INTRON) for at in sides]
+            introns = both(C.INTRON)
             report(C.INTRON, X.pair_introns(
                 t_exons, q_exons, exon_pairs, *introns, forward[0], compat.reverse_introns_unpaired
             ), *introns)
         for kind in INNER_TYPES:
             if kind in enabled:
-                regions = [of_type(at, kind) for at in sides]
+                regions = both(kind)
                 if len(regions[0]) or len(regions[1]):
                     report(kind, X.pair_inner_regions(t_exons, q_exons, exon_pairs, *regions), *regions)
         return out
 
-    return map_sorted_groups(rows, PAIR_KEYS, ["is_query", "synthetic", "ord"], solve, REGION_SCHEMA)
+    return map_sorted_groups(rows, PAIR_KEYS, ["is_query", "code", "start", "ord"], solve, REGION_SCHEMA)

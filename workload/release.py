@@ -20,8 +20,16 @@ DAY_WIDTH = 60
 CUSTOMERS_PER_CONTIG = 250
 
 
+_tables: dict[tuple, DataFrame] = {}
+_releases: dict[tuple, Annotation] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. The lazy DataFrame is kept per application, sparing repeated schema reads."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _tables[key]
 
 
 def _customers(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
@@ -108,22 +116,33 @@ def _features(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 def release(spark: SparkSession, sf_dir: str, side: str) -> Annotation:
     """The target or query release; transcripts without line items keep null coordinates."""
-    features = _features(spark, sf_dir, side)
-    extent = features.groupBy("contig", "gene_id", "transcript_id").agg(
-        F.min("start").alias("start"), F.max("end").alias("end")
+    key = (spark.sparkContext.applicationId, sf_dir, side)
+    if key not in _releases:
+        _releases[key] = _derive(spark, sf_dir, side)
+    return _releases[key]
+
+
+def _derive(spark: SparkSession, sf_dir: str, side: str) -> Annotation:
+    extent = _lines(spark, sf_dir, side).groupBy("l_orderkey").agg(
+        F.min("offset").alias("offset"), F.max("offset_end").alias("offset_end")
     )
-    listed = _orders(spark, sf_dir, side).join(
-        _customers(spark, sf_dir, side), F.col("o_custkey") == F.col("c_custkey")
+    customers, locus = _customers(spark, sf_dir, side), F.col("c_custkey") * LOCUS_SPACING
+    located = (
+        _orders(spark, sf_dir, side)
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(extent, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .withColumn("start", locus + F.col("offset"))
+        .withColumn("end", locus + F.col("offset_end"))
     )
-    transcripts = listed.join(extent, ["contig", "gene_id", "transcript_id"], "left").select(
+    transcripts = located.select(
         "contig", "gene_id", "transcript_id", F.lit(None).cast("string").alias("transcript_name"),
         "transcript_biotype", "source", "start", "end", "fwd",
     )
-    locus = extent.groupBy("contig", "gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    genes = _customers(spark, sf_dir, side).join(locus, ["contig", "gene_id"], "left").select(
+    spans = transcripts.groupBy("contig", "gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    genes = customers.join(spans, ["contig", "gene_id"], "left").select(
         "contig", "gene_id", "gene_name", "gene_biotype", "source", "start", "end", "fwd"
     )
-    return Annotation(genes, transcripts, features)
+    return Annotation(genes, transcripts, _features(spark, sf_dir, side))
 
 
 def releases(spark: SparkSession, sf_dir: str) -> tuple[Annotation, Annotation]:
