@@ -81,10 +81,22 @@ def synthesize_introns(features: DataFrame) -> DataFrame:
 
 
 def with_introns(annotation: Annotation) -> Annotation:
-    """Add synthesized introns unless the release already lists them for the transcript."""
-    explicit = annotation.features.where(F.col("type") == C.INTRON).select("contig", "transcript_id").distinct()
-    introns = synthesize_introns(annotation.features).join(explicit, ["contig", "transcript_id"], "left_anti")
-    return Annotation(annotation.genes, annotation.transcripts, annotation.features.unionByName(introns))
+    """Add synthesized introns to the transcripts that list none. One pass, one shuffle."""
+    of_transcript = Window.partitionBy("contig", "transcript_id")
+    of_kind = Window.partitionBy("contig", "transcript_id", "is_exon").orderBy("start", "end", "ord")
+    features = annotation.features
+    gap = F.col("is_exon") & ~F.col("listed") & (F.col("next_start") > F.col("end") + 1)
+    intron = F.struct(
+        F.lit(C.INTRON).alias("type"), (F.col("end") + 1).alias("start"), (F.col("next_start") - 1).alias("end")
+    )
+    rows = (
+        features.withColumn("is_exon", F.col("type") == C.EXON)
+        .withColumn("listed", F.max(F.col("type") == C.INTRON).over(of_transcript))
+        .withColumn("next_start", F.lead("start").over(of_kind))
+        .withColumn("row", F.explode(F.array_compact(F.array(F.struct("type", "start", "end"), F.when(gap, intron)))))
+    )
+    kept = [F.col(f"row.{c}").alias(c) if c in ("type", "start", "end") else F.col(c) for c in features.columns]
+    return Annotation(annotation.genes, annotation.transcripts, rows.select(*kept))
 
 
 def synthesize_genes(transcripts: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from annodelta import constants as C
 from annodelta.annotation import Annotation, is_protein_coding
+from annodelta.operators.skew import salted_join
+from annodelta.session import cut_lineage
 
 
 def transcript_signatures(
@@ -94,12 +96,12 @@ def render_origins(origin_list: Column, distance: Column) -> Column:
     return F.concat_ws(",", origin_list, F.concat(F.lit("DISTANCE:"), distance.cast("string")))
 
 
-def _gene_signatures(signatures: DataFrame, genes: DataFrame, side: str) -> DataFrame:
-    """Distinct (contig, signature, gene) with its first transcript and the gene attributes.
+def _per_gene(signatures: DataFrame) -> DataFrame:
+    """Distinct (contig, signature, gene) with its first transcript, combined before the shuffle."""
+    return signatures.groupBy("contig", "signature", "gene_id").agg(F.min("transcript_id").alias("tx"))
 
-    Collapsing equal transcripts of a gene happens on the map side, before the join shuffles.
-    """
-    reduced = signatures.groupBy("contig", "signature", "gene_id").agg(F.min("transcript_id").alias("tx"))
+
+def _with_gene(reduced: DataFrame, genes: DataFrame, side: str) -> DataFrame:
     info = genes.select(
         "contig", "gene_id", F.struct(
             F.col("gene_name").alias("name"), F.col("start"), F.col("end"), is_protein_coding().alias("coding")
@@ -124,11 +126,14 @@ def map_genes(
     The reported transcript pair is one with equal ids if there is any, otherwise the smallest
     by (target id, query id). At least one gene of a pair has to be protein coding.
     """
-    t_sig = transcript_signatures(target.features, allowed_types, target_sequences)
-    q_sig = transcript_signatures(query.features, allowed_types, query_sequences)
-
-    candidates = _gene_signatures(t_sig, target.genes, "t").join(
-        _gene_signatures(q_sig, query.genes, "q"), ["contig", "signature"]
+    # Signatures are read by two joins and by the check for hot signatures; building them is what costs.
+    t_sig = cut_lineage(transcript_signatures(target.features, allowed_types, target_sequences))
+    q_sig = cut_lineage(transcript_signatures(query.features, allowed_types, query_sequences))
+
+    t_gene_sig, q_gene_sig = _per_gene(t_sig), _per_gene(q_sig)
+    candidates = salted_join(
+        _with_gene(t_gene_sig, target.genes, "t"), _with_gene(q_gene_sig, query.genes, "q"), ["contig", "signature"],
+        counted=(t_gene_sig, q_gene_sig),
     )
     if require_coding:
         candidates = candidates.where(F.col("t_info.coding") | F.col("q_info.coding"))

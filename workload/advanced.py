@@ -14,8 +14,9 @@ from annodelta.functions import scoring, sequence, text
 from annodelta.operators import (
     comparators, difference, fallback, genome, history, loci, matching, pairing, profile, regions,
 )
+from annodelta.session import cut_lineage
 from workload.core import REL, RANKED, STRANDED, _located
-from workload.release import releases, table
+from workload.release import releases, spread, table
 
 # --- genome text taken from the documents ------------------------------------------------
 
@@ -27,6 +28,7 @@ def genomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Chunked genomes with one contig per document; long documents are revised in the query genome."""
     docs = table(spark, sf_dir, "documents")
     bases = F.regexp_replace("text", "[^ACGTacgt]", "N")
+    docs = spread(docs.select("doc_id", "text", "n_chars"), "doc_id")
     contig = F.col("doc_id").cast("string").alias("contig")
     revised = F.when(F.col("n_chars") > 3000, F.translate(bases, "a", "g")).otherwise(bases)
     return tuple(
@@ -144,7 +146,7 @@ FROM t JOIN q ON t.contig = q.contig AND t.cds = q.cds"""
 
 def alignment_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents against their revised versions: edits in English, heavy ones elsewhere."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     edited = F.when(F.col("lang") == "en", F.regexp_replace("text", " by ", " "))
     for lang, letters in (("de", "e"), ("fr", "éê")):
         edited = edited.when(F.col("lang") == lang, F.translate("text", letters, ""))
@@ -272,7 +274,7 @@ def _matches(spark: SparkSession, sf_dir: str):
         target.transcripts.where("start is not null"), query.transcripts.where("start is not null"),
         target.features, query.features,
     )
-    return target, query, found
+    return target, query, cut_lineage(found)
 
 
 def bipartite_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +284,7 @@ def bipartite_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exon_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All region pairs of the transcripts known to both releases."""
     target, query = (with_introns(x) for x in releases(spark, sf_dir))
-    return regions.pair_regions(_same_ids(spark, sf_dir), target.features, query.features)
+    return regions.pair_regions(cut_lineage(_same_ids(spark, sf_dir)), target.features, query.features)
 
 
 def _same_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _tables[key]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan that has fewer splits than there are cores (a small single file).
+
+    Inputs of many files or row groups are read as they are, without this shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def _customers(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     renamed = F.lit(side == "query") & (F.col("c_acctbal") < -800)
     return table(spark, sf_dir, "customer").select(
@@ -73,12 +82,13 @@ def _lines(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         growth = F.when(hundredths["l_discount"] == 10, 7).otherwise(0)
     else:
         shift = growth = F.lit(0)
-    return lines.select(
+    derived = lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
         (F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")) * DAY_WIDTH + 1 + shift).cast("long").alias("offset"),
         (F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")) * DAY_WIDTH + growth
          + F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).cast("long").alias("offset_end"),
     )
+    return spread(derived, "l_orderkey", "l_partkey")
 
 
 def _features(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
