@@ -7,7 +7,7 @@ equi-join on the rendered signature.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annodelta import constants as C
@@ -15,6 +15,8 @@ from annodelta.annotation import Annotation, is_protein_coding
 from annodelta.operators.skew import salted_join
 from annodelta.session import cut_lineage
 
+OPS_PER_PIECE = 1024
+
 
 def transcript_signatures(
     features: DataFrame, allowed_types: list[str] | None = None, sequences: DataFrame | None = None
@@ -27,17 +29,25 @@ def transcript_signatures(
     """
     if allowed_types:
         features = features.where(F.col("type").isin(allowed_types))
+    keys = ["contig", "gene_id", "transcript_id"]
     along = F.when(F.col("fwd"), F.col("start")).otherwise(-F.col("start"))
-    op = F.struct(
-        along.alias("at"), F.col("ord"), F.col("type"), (F.col("end") - F.col("start") + 1).alias("len")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(along, "ord"))
+    # Lists are built in pieces of bounded length: the first piece is kept as text, later ones of a
+    # very long transcript as digests. All three steps need the one shuffle by transcript only.
+    op = F.struct("place", F.concat("type", F.lit(":"), (F.col("end") - F.col("start") + 1).cast("string")).alias("text"))
+    pieces = (
+        features.withColumn("place", place)
+        .groupBy(*keys, F.expr(f"(place - 1) div {OPS_PER_PIECE}").alias("piece"))
+        .agg(
+            F.count(F.lit(1)).alias("n_ops"),
+            F.array_join(F.transform(F.sort_array(F.collect_list(op)), lambda o: o["text"]), ";").alias("text"),
+        )
     )
-    signatures = features.groupBy("contig", "gene_id", "transcript_id").agg(
-        F.count(F.lit(1)).alias("n_ops"),
+    short = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.concat(F.lit("#"), F.sha2("text", 256)))
+    signatures = pieces.withColumn("short", short).groupBy(*keys).agg(
+        F.sum("n_ops").alias("n_ops"),
         F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(op)), lambda o: F.concat(o["type"], F.lit(":"), o["len"].cast("string"))
-            ),
-            ";",
+            F.transform(F.sort_array(F.collect_list(F.struct("piece", "short"))), lambda p: p["short"]), ";"
         ).alias("signature"),
     )
     if sequences is None:

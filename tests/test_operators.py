@@ -105,6 +105,15 @@ def test_signature_follows_the_strand_and_keeps_file_order_on_ties(spark):
     assert transcript_signatures(features, ["stop_codon"]).count() == 0
 
 
+def test_long_signatures_in_pieces_keep_equality(spark, monkeypatch):
+    from annodelta.operators import signature
+    monkeypatch.setattr(signature, "OPS_PER_PIECE", 2)
+    rows = [(tx, "exon", at + shift, at + shift + (9 if tx != "c" or at < 60 else 8), True)
+            for tx, shift in (("a", 0), ("b", 5000), ("c", 0)) for at in range(1, 80, 15)]
+    found = {r.transcript_id: (r.n_ops, r.signature) for r in transcript_signatures(feature_rows(spark, rows)).collect()}
+    assert found["a"] == found["b"] and found["a"][0] == found["c"][0] == 6 and found["a"] != found["c"]
+
+
 def test_single_region_signatures_carry_the_sequence(spark):
     features = feature_rows(spark, [("a", "exon", 1, 4, True), ("b", "exon", 11, 14, True), ("c", "exon", 21, 24, True)])
     texts = spark.createDataFrame([("1", "a", "acgt"), ("1", "b", "ACGT"), ("1", "c", "ACGA")], "contig string, transcript_id string, sequence string")
