@@ -410,7 +410,8 @@ def sam_cigar_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("1"), F.lit("60"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.repeat(F.lit("A"), size.cast("int")), F.lit("*"),
         F.lit("AS:i:9"), F.concat(F.lit("NM:i:"), F.round(F.col("l_discount") * 100).cast("int").cast("string")),
     )
-    lines = table(spark, sf_dir, "lineitem").select(line.alias("value"))
+    used = ["l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    lines = spread(table(spark, sf_dir, "lineitem").select(used), "l_orderkey", "l_suppkey").select(line.alias("value"))
     references = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("rname"), (F.col("s_nationkey") * 8 + 1).cast("long").alias("reference_length"))
     accepted = text.accept_alignments(text.parse_sam(lines), references)
