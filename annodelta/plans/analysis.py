@@ -13,7 +13,8 @@ from annodelta.session import cut_lineage
 from annodelta.sinks import writers
 from annodelta.sources import fasta, gtf
 
-DIFFERENCE_LINE_SUFFIX = ".minimap2"
+# Fixed value: suffix of the report of sequence matches, named after the customary aligner.
+SEQUENCE_REPORT_SUFFIX = ".minimap2"
 
 
 def match(target: Annotation, query: Annotation, use_strand: bool = True) -> DataFrame:
@@ -60,7 +61,7 @@ def analyse(
         inside = by_sequence.where(F.col("contig") == F.col("query_contig"))
         pairs = difference.transcript_pairs(inside, target, query, settings)
         writers.write_differences(
-            difference.difference_table(pairs, target, query, settings, text, text, compat), out + DIFFERENCE_LINE_SUFFIX, compat
+            difference.difference_table(pairs, target, query, settings, text, text, compat), out + SEQUENCE_REPORT_SUFFIX, compat
         )
         columns = ["contig", "target_transcript_id", "query_transcript_id"]
         used = matches.select(*columns).unionByName(inside.select(*columns))
