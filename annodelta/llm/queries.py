@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annodelta.llm import fingerprints, licenses
+from annodelta.llm import bpe, fertility, fingerprints, licenses, packing, toxicity, trie
 from annodelta.llm.votes import hex16
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,40 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         hex16(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", counted.alias("n_within"))
 
 
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(documents(spark, folder), path), path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.judge(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    classes = trie.near_classes(trie.document_prints(documents(spark, folder)))
+    return classes.select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.pieces(documents(spark, folder), path))
+
+
+def toxicity_chain(docs: DataFrame, folder: str) -> toxicity.Chain:
+    """Poor quality first, then toxic."""
+    labels = docs.sparkSession.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.train(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.score(docs, toxicity_chain(docs, folder))
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(documents(spark, folder))
 
@@ -35,5 +70,10 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 #: name: (query, SQL for the same rows or None)
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_fingerprints": (op2_fingerprints, None),
+    "op3_byte_bpe": (op3_byte_bpe, None),
+    "op4_quality_rules": (op4_quality_rules, None),
+    "op5_simhash_near_dedup": (op5_simhash_near_dedup, None),
+    "op7_best_fit_packing": (op7_best_fit_packing, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op10_license_scan": (op10_license_scan, None),
 }
