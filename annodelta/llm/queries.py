@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annodelta.llm import bpe, fertility, fingerprints, licenses, packing, toxicity, trie
+from annodelta.llm import bpe, chat, fertility, fingerprints, licenses, lines, packing, suffixes, toxicity, trie
 from annodelta.llm.votes import hex16
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.Repeats(documents(spark, folder)).summary()
+
+
 def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents; ``n_within``: other fingerprints within 3 bits, for the ids divisible by 20."""
     rows = fingerprints.edited_fingerprints(documents(spark, folder))
@@ -47,6 +51,19 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its lines with a word, how many of them go, and the class of the first (in order of names) that goes."""
+    docs = documents(spark, folder)
+    dropped = lines.dropped_lines(lines.line_classes(docs))
+    counted = lines.document_lines(docs).groupBy("doc_id").agg(F.count("*").alias("_lines"))
+    joined = docs.select("doc_id").join(counted, "doc_id", "left").join(dropped, F.col("doc_id") == F.col("_doc"), "left")
+    return joined.select(
+        "doc_id", F.coalesce("_lines", F.lit(0).cast("long")).alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(F.array_sort("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
+        F.col("first_class").alias("class_id"))
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(packing.pieces(documents(spark, folder), path))
@@ -63,17 +80,64 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity_chain(docs, folder))
 
 
+def op9_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as chosen side, against the same one with another ending."""
+    sides = chat.conversations(spark.read.parquet(f"{folder}/conversations.parquet"), "conv_id")
+    rows = chat.format_preferences(sides, chat.other_endings(sides, "conv_id"), "conv_id")
+    spelled = [F.array_join(F.transform(f"{side}_spans", lambda s: F.concat_ws("+", s["start"], s["length"])), ",")
+               .alias(f"{side}_spans") for side in ("chosen", "rejected")]
+    return rows.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", *spelled)
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (SELECT conv_id, text FROM t WHERE k = n),
+follow AS (
+  SELECT conv_id, coalesce(lead(text) OVER (ORDER BY conv_id), first_value(text) OVER (ORDER BY conv_id)) AS ending
+  FROM ends),
+both_sides AS (
+  SELECT t.*, CASE WHEN k = n THEN ending ELSE text END AS other FROM t JOIN follow USING (conv_id)),
+common AS (
+  SELECT conv_id, coalesce(min(k) FILTER (WHERE text <> other) - 1, max(n)) AS c FROM both_sides GROUP BY conv_id),
+parts AS (
+  SELECT conv_id, k, c, role,
+         '<|im_start|>' || role || chr(10) AS header, text || '<|im_end|>' || chr(10) AS yes,
+         other || '<|im_end|>' || chr(10) AS no
+  FROM both_sides JOIN common USING (conv_id)),
+placed AS (
+  SELECT *, sum(CASE WHEN k > c THEN length(header) + length(yes) ELSE 0 END) OVER w - length(yes) AS yes_at,
+         sum(CASE WHEN k > c THEN length(header) + length(no) ELSE 0 END) OVER w - length(no) AS no_at
+  FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY k))
+SELECT conv_id, CAST(max(c) AS BIGINT) AS n_prompt_turns,
+       coalesce(string_agg(header || yes, '' ORDER BY k) FILTER (WHERE k <= c), '') AS prompt,
+       coalesce(string_agg(header || yes, '' ORDER BY k) FILTER (WHERE k > c), '') AS chosen,
+       coalesce(string_agg(header || no, '' ORDER BY k) FILTER (WHERE k > c), '') AS rejected,
+       coalesce(string_agg(CAST(yes_at AS BIGINT) || '+' || length(yes), ',' ORDER BY k)
+                FILTER (WHERE k > c AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(CAST(no_at AS BIGINT) || '+' || length(no), ',' ORDER BY k)
+                FILTER (WHERE k > c AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY conv_id
+"""
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(documents(spark, folder))
 
 
 #: name: (query, SQL for the same rows or None)
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_suffix_array_dedup": (op1_suffix_array_dedup, None),
     "op2_fingerprints": (op2_fingerprints, None),
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_simhash_near_dedup": (op5_simhash_near_dedup, None),
+    "op6_line_dedup": (op6_line_dedup, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_toxicity": (op8_toxicity, None),
+    "op9_preference_format": (op9_preference_format, OP9_SQL),
     "op10_license_scan": (op10_license_scan, None),
 }
