@@ -32,6 +32,7 @@ BATCH_CHARS = 1 << 20
 #: Pieces kept merged per worker and generation; those not met again while a generation fills are forgotten.
 CACHE_PIECES = 250_000
 WIDTH = 256
+TAIL = 8
 
 # Character classes.
 LETTER, NUMBER, PUNCTUATION, BLANK, OTHER_SPACE, QUOTE = range(6)
@@ -103,6 +104,14 @@ def _symbols(codes: np.ndarray, texts_end: np.ndarray) -> np.ndarray:
     return symbols
 
 
+def _composed(columns: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The transition function of every row (its symbols are a column of ``columns`` per step) as its eight results."""
+    states = np.tile(np.arange(8, dtype=np.uint8), (columns.shape[1], 1))
+    for column in columns:
+        states = flat[column[:, None].astype(np.intp) * 8 + states]
+    return states
+
+
 def _scan(symbols: np.ndarray) -> np.ndarray:
     """Whether a token starts at each symbol."""
     following, starts = _automaton()
@@ -111,9 +120,12 @@ def _scan(symbols: np.ndarray) -> np.ndarray:
     grid = np.full(rows * WIDTH, STOP, dtype=np.uint8)
     grid[:size] = symbols
     columns = np.ascontiguousarray(grid.reshape(rows, WIDTH).T)
-    flat, states = following.ravel(), np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
-    for column in columns:  # composition of the transition functions of every row
-        states = flat[column[:, None].astype(np.intp) * 8 + states]
+    flat = following.ravel()
+    states = _composed(columns[-TAIL:], flat)
+    # Mostly the last few symbols send every state to the same one; only other rows are composed from their beginning.
+    open_rows = np.flatnonzero((states != states[:, :1]).any(axis=1))
+    if len(open_rows):
+        states[open_rows] = _composed(columns[:, open_rows], flat)
     entry = np.zeros(rows, dtype=np.uint8)
     state = S_NEW
     for row, step in enumerate(states.tolist()):
