@@ -2,9 +2,9 @@
 
 DataFrame functions only. Lines are keyed by two hashes of their text. A line's shingles (``SHINGLE`` characters, from
 every position) are hashed once each, and the minimum under sixteen exclusive-or permutations of the hash is its
-signature. Bands of four minima put lines into buckets; in a bucket every line is compared with the first one and with
-its predecessor in an order that differs by band, so that the comparisons grow with the bucket and not with its square.
-Compared lines are linked if the exact Jaccard similarity of their shingle sets is 0.8 or more. Classes are connected
+signature. Bands of four minima put lines into buckets; in a bucket every line is compared with the first one and, unless
+that has connected them, with its predecessor in an order that differs by band, so that the comparisons grow with the
+bucket and not with its square. Compared lines are linked if the exact Jaccard similarity of their shingle sets is 0.8 or more. Classes are connected
 components of links and of equality; the first line of a class (least doc_id, then line number) stays.
 
 Defined cases: null text has no lines to remove; lines without a word are left alone and belong to no class; lines
@@ -64,17 +64,20 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(a1, a2, b1, b2): keys of lines to compare, the smaller first."""
+    """(a, b, star): first keys k1 of lines to compare, the smaller first; star: with the first line of a bucket.
+
+    Rows carry one of the two keys; lines that share it by chance are told apart by their texts later.
+    """
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{k}" for k in _band_rows(b))) for b in range(BANDS)))
-    banded = signed.select("k1", "k2", F.explode(bands).alias("_band"))
-    order = Window.partitionBy("_band").orderBy(F.xxhash64("_band", "k1", "k2"), "k1", "k2")
-    here = F.struct("k1", "k2")
-    linked = banded.select("k1", "k2", F.lag(here).over(order).alias("_previous"), F.first(here).over(order).alias("_first"))
-    pairs = linked.where(F.col("_previous").isNotNull()).select(
-        here.alias("_here"), F.explode(F.array_distinct(F.array("_previous", "_first"))).alias("_other"))
-    low, high = F.least("_here", "_other"), F.greatest("_here", "_other")
-    return pairs.where(low != high).select(
-        low["k1"].alias("a1"), low["k2"].alias("a2"), high["k1"].alias("b1"), high["k2"].alias("b2")).distinct()
+    banded = signed.select("k1", F.explode(bands).alias("_band"))
+    whole = Window.partitionBy("_band")
+    linked = banded.select("k1", F.lag("k1").over(whole.orderBy(F.xxhash64("_band", "k1"), "k1")).alias("_previous"),
+                           F.min("k1").over(whole).alias("_first"))
+    pairs = linked.where(F.col("_previous").isNotNull() | (F.col("_first") != F.col("k1"))).select(
+        "k1", F.explode(F.array(F.struct(F.col("_first").alias("k"), F.lit(1).alias("star")),
+                                F.struct(F.col("_previous").alias("k"), F.lit(0).alias("star")))).alias("_o"))
+    return pairs.where(F.col("k1") != F.col("_o.k")).groupBy(
+        F.least("k1", "_o.k").alias("a"), F.greatest("k1", "_o.k").alias("b")).agg(F.max("_o.star").alias("star"))
 
 
 def _shingle_set(line: str) -> Column:
@@ -84,21 +87,24 @@ def _shingle_set(line: str) -> Column:
         F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(code, i * 2 + 1, F.lit(2 * SHINGLE)))))
 
 
-def verified_links(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+def line_texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """k1, k2, line of the lines in ``pairs``."""
+    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+    found = lines.select("k1", "k2", "line").join(wanted, F.col("k1") == F.col("w"), "left_semi")
+    return cut_lineage(found.dropDuplicates(["k1", "k2"]))
+
+
+def verified_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): node names of the pairs whose exact Jaccard similarity is enough."""
-    wanted = pairs.select(F.col("a1").alias("w1"), F.col("a2").alias("w2")).union(pairs.select("b1", "b2")).distinct()
-    # A text is taken from the first document that has it, so that a common line is not gathered from all of them.
-    places = lines.groupBy("k1", "k2").agg(F.min("doc_id").alias("_doc")).join(
-        wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("w1", "w2", "_doc")
-    found = lines.join(places, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & (F.col("doc_id") == F.col("_doc")))
-    texts = cut_lineage(found.select("k1", "k2", "line").dropDuplicates(["k1", "k2"]))
-    left = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("line").alias("_a"))
-    right = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("line").alias("_b"))
-    sets = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select(
-        _node("a1", "a2").alias("a"), _node("b1", "b2").alias("b"), _shingle_set("_a").alias("_sa"), _shingle_set("_b").alias("_sb"))
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    either = F.size("_sa") + F.size("_sb") - shared
-    return sets.where(shared * NEAR[1] >= either * NEAR[0]).select("a", "b")
+    left = texts.select(F.col("k1").alias("a"), _node("k1", "k2").alias("_na"), F.col("line").alias("_a"))
+    right = texts.select(F.col("k1").alias("b"), _node("k1", "k2").alias("_nb"), F.col("line").alias("_b"))
+    sets = F.array(F.struct(_shingle_set("_a").alias("x"), _shingle_set("_b").alias("y")))
+
+    def near(z: Column) -> Column:  # the struct holds the sets, so that each is built once
+        shared = F.size(F.array_intersect(z["x"], z["y"]))
+        return shared * (NEAR[0] + NEAR[1]) >= (F.size(z["x"]) + F.size(z["y"])) * NEAR[0]
+
+    return pairs.join(left, "a").join(right, "b").where(F.exists(sets, near)).select(F.col("_na").alias("a"), F.col("_nb").alias("b"))
 
 
 def _node(k1: str, k2: str) -> Column:
@@ -108,10 +114,19 @@ def _node(k1: str, k2: str) -> Column:
 def line_classes(docs: DataFrame) -> DataFrame:
     """doc_id, no, class_id, stays: every line whose class has more than one line; the others are alone and stay."""
     lines = document_lines(docs)
-    signed = signatures(lines)
-    pairs = cut_lineage(candidate_pairs(signed))
-    links = verified_links(lines, pairs)
-    roots = components(links)
+    pairs = cut_lineage(candidate_pairs(signatures(lines)))
+    texts = line_texts(lines, pairs)
+    stars = cut_lineage(verified_links(texts, pairs.where("star = 1")))
+    roots = components(stars)
+    # A pair in a row of a bucket matters only between lines that the stars have not connected.
+    root_of = texts.select("k1", _node("k1", "k2").alias("node")).join(roots, "node", "left").select(
+        "k1", F.coalesce("root", "node").alias("root"))
+    open_pairs = pairs.where("star = 0").join(
+        root_of.select(F.col("k1").alias("a"), F.col("root").alias("_ra")), "a").join(
+        root_of.select(F.col("k1").alias("b"), F.col("root").alias("_rb")), "b").where("_ra <> _rb")
+    more = cut_lineage(verified_links(texts, open_pairs.select("a", "b").distinct()))
+    if not more.isEmpty():
+        roots = components(stars.union(more))
     occurrences = lines.select("doc_id", "no", _node("k1", "k2").alias("node"))
     repeated = occurrences.groupBy("node").agg(F.count("*").alias("_times")).where("_times > 1").select("node")
     classed = repeated.join(roots, "node", "full_outer").select("node", F.coalesce("root", "node").alias("class_id"))
