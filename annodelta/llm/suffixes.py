@@ -44,9 +44,12 @@ BLOB = "target int, data binary"
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; the bytes of equal weight stand together, which suits sorted and small numbers."""
     out = io.BytesIO()
     for a in arrays:
-        np.save(out, a, allow_pickle=False)
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+        np.save(out, np.array([a.dtype.str]), allow_pickle=False)
+        np.save(out, np.ascontiguousarray(planes), allow_pickle=False)
     return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
 
@@ -54,7 +57,8 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
     raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(data))
     arrays = []
     while raw.tell() < len(raw.getbuffer()):
-        arrays.append(np.load(raw, allow_pickle=False))
+        kind = np.dtype(str(np.load(raw, allow_pickle=False)[0]))
+        arrays.append(np.ascontiguousarray(np.load(raw, allow_pickle=False).T).reshape(-1).view(kind))
     return arrays
 
 
@@ -174,8 +178,12 @@ def _send_anchors(buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatc
                 take = np.concatenate([np.arange(len(h)), mark])
                 state = np.concatenate([shared.astype(np.uint8), np.full(len(mark), 2, np.uint8)])
                 target = np.concatenate([target, _bucket(h[mark], buckets)])
-                rows = [(t, pack_arrays(*c)) for t, c in _by_target(
-                    target, h[take], uid[r[take]], block[r[take]], at[take].astype(np.int32), state)]
+                rows = []
+                for t, (own_h, own_r, *rest) in _by_target(target, h[take], r[take], at[take].astype(np.int32), state):
+                    # 48 bits of the hash tell anchors apart well enough here, and each text is named once.
+                    known, number = np.unique(own_r, return_inverse=True)
+                    rows.append((t, pack_arrays(own_h >> np.uint64(16), number.astype(np.uint16 if len(known) < 65_536 else np.uint32),
+                                                *rest, uid[known], block[known])))
                 if rows:
                     yield _blob_batch(rows)
 
@@ -189,7 +197,9 @@ def _gathered(table: pa.Table) -> list[np.ndarray]:
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
     """The places of anchors that more than one text has, by block: (uid, place)."""
-    h, uid, block, at, state = _gathered(table)
+    parts = [(h, uids[n], blocks[n], at, state)
+             for h, n, at, state, uids, blocks in map(unpack_arrays, table["data"].to_pylist())]
+    h, uid, block, at, state = (np.concatenate(c) for c in zip(*parts))
     passed = state == 1
     order = np.lexsort([uid, h])
     order = order[state[order] != 1]
