@@ -69,7 +69,8 @@ def _run(spark, a: argparse.Namespace) -> None:
         analysis.analyse(spark, a.target_gtf, a.query_gtf, a.config, a.o, a.fasta, a.fidx, not a.ignore_strand,
                          a.mapping_only_cds, compat)
     elif a.mode == "cliqueAnalysis":
-        reports.clique_analysis(spark, a.target_gtf, a.query_gtf, a.o, not a.ignore_strand).show(1000, truncate=False)
+        table = reports.clique_analysis(spark, a.target_gtf, a.query_gtf, a.o, not a.ignore_strand)
+        table.show(max(1, table.count()), truncate=False)  # a row per contig and the total
     elif a.mode == "liftedDifferences":
         reports.lifted_differences(spark, a.query_gtf, a.target_gtf, a.lifted_query_gtf, a.query_fasta, a.target_fasta,
                                    a.o, a.query_fidx, a.target_fidx)

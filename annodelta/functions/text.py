@@ -50,7 +50,7 @@ def cigar_total(cigar: Column, letters: str) -> Column:
 def parse_sam(lines: DataFrame, column: str = "value") -> DataFrame:
     """Alignment lines to columns; header lines and lines with fewer than 11 fields are dropped."""
     field = F.split(column, "\t")
-    tag = F.regexp_extract(F.concat(F.lit("\t"), F.array_join(F.slice(field, 12, 1_000_000), "\t")), r"\tNM:i:([0-9]+)", 1)
+    tag = F.regexp_extract(column, r"^(?:[^\t]*\t){11}(?:.*?\t)?NM:i:([0-9]+)", 1)  # among the optional fields
     return (
         lines.where(~F.col(column).startswith("@") & (F.size(field) >= 11))
         .select(

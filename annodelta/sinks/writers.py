@@ -44,7 +44,7 @@ def write_validation(rows: DataFrame, path: str, header: bool = False) -> None:
         F.col("target_gene_id").alias("targetGeneId"), F.col("query_gene_id").alias("queryGeneId"),
         F.col("target_transcript_id").alias("targetTranscriptId"), F.col("query_transcript_id").alias("queryTranscriptId"),
         F.col("same").cast("string").alias("same"),
-    ).orderBy(F.desc("same"))
+    ).orderBy(F.desc("same"), "targetGeneId", "queryGeneId", "targetTranscriptId", "queryTranscriptId")
     write_tsv(ordered, path, header=header)
 
 
