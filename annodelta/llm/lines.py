@@ -81,10 +81,12 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
 
 
 def _shingle_set(line: str) -> Column:
-    code = F.encode(line, "UTF-16BE")
-    last = F.greatest(F.expr(f"octet_length(encode({line}, 'UTF-16BE')) div 2") - SHINGLE, F.lit(0))
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(code, i * 2 + 1, F.lit(2 * SHINGLE)))))
+    def of(code: Column) -> Column:  # a variable, so that the line is encoded once and not once per shingle
+        last = F.greatest((F.octet_length(code) / 2).cast("int") - SHINGLE, F.lit(0))
+        return F.array_distinct(F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(code, i * 2 + 1, F.lit(2 * SHINGLE)))))
+
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 1)
 
 
 def line_texts(lines: DataFrame, pairs: DataFrame) -> DataFrame:
