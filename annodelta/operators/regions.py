@@ -10,6 +10,7 @@ from annodelta import constants as C
 from annodelta.compat import Compat
 from annodelta.functions import exons as X
 from annodelta.operators.groups import Columns, map_sorted_groups
+from annodelta.operators.matching import both_sides, pair_sides
 
 PAIR_KEYS = ["contig", "target_transcript_id", "query_transcript_id"]
 REGION_SCHEMA = (
@@ -19,6 +20,8 @@ REGION_SCHEMA = (
 # Region types compared through the exon pairs, in report order.
 INNER_TYPES = [t for t in C.FEATURE_TYPES if t not in (C.EXON, C.INTRON, C.GENE, C.TRANSCRIPT)]
 
+NO_REGION = -1_000
+
 
 def pair_regions(
     pairs: DataFrame, target_features: DataFrame, query_features: DataFrame,
@@ -33,16 +36,16 @@ def pair_regions(
 
     codes = F.create_map(*[x for n, t in enumerate(C.FEATURE_TYPES) for x in (F.lit(t), F.lit(n))])
 
-    def side(features: DataFrame, name: str, is_query: bool) -> DataFrame:
-        children = features.select(
-            "contig", F.col("transcript_id").alias(name), F.try_element_at(codes, F.col("type")).alias("code"),
-            "start", "end", "fwd", "ord",
+    def regions(features: DataFrame) -> DataFrame:
+        return features.select(
+            "contig", "transcript_id", F.try_element_at(codes, F.col("type")).alias("code"), "start", "end", "fwd", "ord",
         ).where(F.col("code").isNotNull())
-        return pairs.select(*PAIR_KEYS).join(children, ["contig", name]).withColumn("is_query", F.lit(is_query))
 
-    rows = side(target_features, "target_transcript_id", False).unionByName(
-        side(query_features, "query_transcript_id", True)
-    )
+    # A side without regions has one row that is none, so that a pair of two such sides is reported too.
+    none = {"code": F.lit(NO_REGION), "start": F.lit(0), "end": F.lit(-1), "fwd": F.lit(True), "ord": F.lit(0)}
+    rows = pair_sides(pairs).join(
+        both_sides(regions(target_features), regions(query_features)), ["contig", "is_query", "transcript_id"], "left"
+    ).withColumns({column: F.coalesce(column, value) for column, value in none.items()}).drop("transcript_id")
     nothing = X.Spans(np.empty(0, np.int64), np.empty(0, np.int64))
 
     def solve(g: Columns) -> list[tuple]:
@@ -58,7 +61,8 @@ def pair_regions(
             code = C.FEATURE_TYPES.index(kind)
             return [lists.get(code, nothing), lists.get(code + len(C.FEATURE_TYPES), nothing)]
 
-        forward = [bool(g["fwd"][0]), bool(g["fwd"][-1])]
+        strands = g["fwd"][g["code"] != NO_REGION]
+        forward = [bool(strands[0]), bool(strands[-1])] if len(strands) else [True, True]
         t_exons, q_exons = (X.along_strand(spans, f) for spans, f in zip(both(C.EXON), forward))
         exon_pairs = X.pair_exons(t_exons, q_exons)
         out: list[tuple] = []

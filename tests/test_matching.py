@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from annodelta.operators import matching
+from annodelta.operators import matching, regions
 from annodelta.operators.auction import match_by_auction
 
 TX = "contig string, fwd boolean, transcript_id string, start long, end long"
@@ -54,3 +54,25 @@ def test_matching_of_identical_releases_is_the_identity(spark):
     rows = matching.match_transcripts(t, t, tf, tf).collect()
     assert sum(r.score for r in rows) == pytest.approx(1.45 * 8, abs=1.7)
     assert len(rows) == 8
+
+
+@pytest.mark.parametrize("most", [4_000_000, 1])
+def test_transcripts_without_children_are_matched(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "MAX_CELLS_PER_LOCUS", most)
+    (t, tf), (q, qf) = release(spark, 6, "t", 2), release(spark, 7, "q", 2)
+    bare = [("2", True, "bare", 100, 900), ("1", True, "also", 1000, 1600)]
+    t, q = t.unionByName(spark.createDataFrame(bare, TX)), q.unionByName(spark.createDataFrame(bare, TX))
+    found = {(r.target_transcript_id, r.query_transcript_id): r.score for r in matching.match_transcripts(t, q, tf, qf).collect()}
+    # No shared model, equal (empty) chains, equal ends and midpoints.
+    assert found["bare", "bare"] == pytest.approx(0.2 + 0.55 + 0.5)
+    assert "also" in {a for a, _ in found} and "also" in {b for _, b in found}
+    pair = spark.createDataFrame([("2", "bare", "bare")], "contig string, target_transcript_id string, query_transcript_id string")
+    assert [(r.jaccard, r.chain) for r in matching.compare_models(pair, tf, qf).collect()] == [(0.0, 1.0)]
+
+
+def test_pair_without_regions_is_reported(spark):
+    pair = spark.createDataFrame([("1", "a", "b")], "contig string, target_transcript_id string, query_transcript_id string")
+    none = spark.createDataFrame([], FEATURE)
+    assert [(r.type, r.t_start, r.absent) for r in regions.pair_regions(pair, none, none).collect()] == [("exon", None, "QUERY")]
+    one = spark.createDataFrame([("1", "b", "exon", 5, 9, False, 0)], FEATURE)
+    assert [(r.type, r.t_start, r.q_start) for r in regions.pair_regions(pair, none, one, ["exon"]).collect()] == [("exon", None, 5)]
