@@ -42,7 +42,7 @@ def pair_regions(
         ).where(F.col("code").isNotNull())
 
     # A side without regions has one row that is none, so that a pair of two such sides is reported too.
-    none = {"code": F.lit(NO_REGION), "start": F.lit(0), "end": F.lit(-1), "fwd": F.lit(True), "ord": F.lit(0)}
+    none = {"code": F.lit(NO_REGION), "start": F.lit(0), "end": F.lit(-1), "fwd": F.lit(True)}
     rows = pair_sides(pairs).join(
         both_sides(regions(target_features), regions(query_features)), ["contig", "is_query", "transcript_id"], "left"
     ).withColumns({column: F.coalesce(column, value) for column, value in none.items()}).drop("transcript_id")
