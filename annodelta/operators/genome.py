@@ -12,14 +12,10 @@ CHUNK_BASES = 8192
 
 def chunk_sequences(sequences: DataFrame, chunk: int = CHUNK_BASES) -> DataFrame:
     """(contig, chunk_id, chunk_start, seq) from whole sequences (contig, seq)."""
-    index = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length(seq) - 1) div {chunk}")))
-    return (
-        sequences.where(F.length("seq") > 0)
-        .withColumn("chunk_id", index)
-        .select(
-            "contig", "chunk_id", (F.col("chunk_id") * chunk + 1).alias("chunk_start"),
-            F.substring("seq", (F.col("chunk_id") * chunk + 1).cast("int"), F.lit(chunk)).alias("seq"),
-        )
+    cut = F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))).alias("chunk_id", "seq")
+    return sequences.where(F.length("seq") > 0).select("contig", cut).select(
+        "contig", F.col("chunk_id").cast("long").alias("chunk_id"),
+        (F.col("chunk_id").cast("long") * chunk + 1).alias("chunk_start"), "seq",
     )
 
 
@@ -56,23 +52,25 @@ def spliced_sequences(features: DataFrame, genome: DataFrame, prefer_coding: boo
 
     Regions follow the strand and the joined text of a reverse-strand transcript is then reverse
     complemented as a whole, so its pieces appear in genomic order. ``prefer_coding`` takes the
-    coding regions of transcripts that have some.
+    coding regions of transcripts that have some. A transcript with a region beyond the genome has
+    a null sequence, never one put together from the rest.
     """
     kinds = ["exon", "CDS"] if prefer_coding else ["exon"]
     regions = features.where(F.col("type").isin(kinds)).select(
         "contig", "gene_id", "transcript_id", "type", "fwd", "ord", "start", "end"
     )
     keys = ["gene_id", "transcript_id", "type", "fwd", "ord"]
-    fetched = fetch_spans(regions, genome, keys, chunk).where(F.col("sequence").isNotNull())
+    fetched = fetch_spans(regions, genome, keys, chunk)
     along = F.when(F.col("fwd"), F.col("start")).otherwise(-F.col("start"))
+    parts = F.transform(
+        F.sort_array(F.collect_list(F.struct(along.alias("at"), F.col("ord"), F.col("sequence")))), lambda x: x["sequence"]
+    )
     joined = fetched.groupBy("contig", "gene_id", "transcript_id", "fwd").pivot("type", kinds).agg(
-        F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct(along.alias("at"), F.col("ord"), F.col("sequence")))), lambda x: x["sequence"]
-        ), "").alias("text")
+        F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, "")).alias("text")
     )
     text = F.col("exon")
     if prefer_coding:
-        text = F.when(F.length(F.coalesce("CDS", F.lit(""))) > 0, F.col("CDS")).otherwise(text)
+        text = F.when(F.coalesce(F.length("CDS"), F.lit(1)) > 0, F.col("CDS")).otherwise(text)
     return joined.select("contig", "gene_id", "transcript_id", on_strand(text, F.col("fwd")).alias("sequence"))
 
 

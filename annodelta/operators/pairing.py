@@ -55,63 +55,72 @@ def exact_gene_difference(pairs: DataFrame) -> DataFrame:
     })
 
 
+def transcripts_of_gene_pairs(gene_pairs: DataFrame, target: DataFrame, query: DataFrame) -> DataFrame:
+    """Full outer pairs of transcripts by id, each inside a gene that both releases know.
+
+    A transcript that moved to another gene is missing on both sides.
+    """
+    shared = gene_pairs.where(F.col("side_state") == "both").select("contig", "gene_id")
+    known = [x.join(shared, ["contig", "gene_id"], "left_semi").select(x.columns) for x in (target, query)]
+    return pair_by_id(*known, ["contig", "gene_id", "transcript_id"])
+
+
+#: Differences that are listed but do not by themselves make a gene a different one.
+QUIET = ["start", "stop", "position", "missingFeatureEntryFile1", "missingFeatureEntryFile2"]
+
+
 def old_style_differences(gene_pairs: DataFrame, transcript_pairs: DataFrame, region_pairs: DataFrame) -> DataFrame:
     """The three-column difference list (gene_id, category, difference) of the id based comparison.
 
-    A gene without any difference appears once with empty category and difference; a gene known to
-    one release only appears as missingInFile1 (target) or missingInFile2 (query).
+    A gene that is the same but for its place appears once with empty category and difference; other genes
+    have a row for each difference of the gene, its transcripts and their regions. A gene known to one release only
+    is missingInFile1 (target) or missingInFile2 (query). Texts of other length differ (seq); texts of equal
+    length are taken as equal here.
     """
-    both = exact_gene_difference(gene_pairs.where(F.col("side_state") == "both"))
+    genes = exact_gene_difference(gene_pairs)
+    both, in_query, in_target = (F.col("side_state") == s for s in ("both", "missing_in_target", "missing_in_query"))
 
     def unpivot(df: DataFrame, category: str, flags: dict[str, Column], suffix: Column | None) -> DataFrame:
         labels = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]))
-        named = df.withColumn("label", F.explode(labels))
         text = F.col("label") if suffix is None else F.concat_ws("_", F.col("label"), suffix)
-        return named.select("gene_id", F.lit(category).alias("category"), text.alias("difference"))
-
-    gene_rows = unpivot(both, "gene", {
-        "length": F.col("length_changed"), "strand": F.col("strand_changed"),
-        "start": F.col("start_changed"), "stop": F.col("stop_changed"),
-    }, None)
-
-    tx = exact_gene_difference(transcript_pairs).withColumn("gene_id", F.coalesce("t_gene_id", "q_gene_id"))
-    tx_both = F.col("side_state") == "both"
-    tx_rows = unpivot(tx, "transcript", {
-        "missingInFile1": F.col("side_state") == "missing_in_target",
-        "missingInFile2": F.col("side_state") == "missing_in_query",
-        "length": tx_both & F.col("length_changed"),
-        "start": tx_both & F.col("start_changed"),
-        "stop": tx_both & F.col("stop_changed"),
-    }, F.col("transcript_id"))
-
-    moved = F.col("start_changed") | F.col("stop_changed")
-    regions = exact_gene_difference(region_pairs)
-    region_both = F.col("side_state") == "both"
-    region_rows = unpivot(regions, "region", {
-        "missingInFile1": F.col("side_state") == "missing_in_target",
-        "missingInFile2": F.col("side_state") == "missing_in_query",
-        "length": region_both & F.col("length_changed"),
-        "position": region_both & moved,
-    }, F.concat_ws("_", "transcript_id", "type"))
-
-    missing = gene_pairs.where(F.col("side_state") != "both").select(
-        "gene_id",
-        F.when(F.col("side_state") == "missing_in_target", "missingInFile1").otherwise("missingInFile2").alias("category"),
-        F.lit("").alias("difference"),
-    )
-    found = gene_rows.unionByName(tx_rows).unionByName(region_rows)
-    unchanged = both.join(found.select("gene_id").distinct(), "gene_id", "left_anti").select(
-        "gene_id", F.lit("").alias("category"), F.lit("").alias("difference")
+        return df.withColumn("label", F.explode(labels)).select(
+            "contig", "gene_id", F.lit(category).alias("category"), text.alias("difference"),
+            (~F.col("label").isin(QUIET)).alias("loud"),
+        )
+
+    rows = unpivot(genes, "gene", {
+        "missingInFile1": in_query, "missingInFile2": in_target,
+        "length": both & F.col("length_changed"), "seq": both & F.col("length_changed"),
+        "strand": both & F.col("strand_changed"), "start": both & F.col("start_changed"), "stop": both & F.col("stop_changed"),
+    }, None).unionByName(unpivot(exact_gene_difference(transcript_pairs), "transcript", {
+        "missingInFile1": in_query, "missingInFile2": in_target,
+        "length": both & F.col("length_changed"), "seq": both & F.col("length_changed"),
+        "start": both & F.col("start_changed"), "stop": both & F.col("stop_changed"),
+    }, F.col("transcript_id"))).unionByName(unpivot(exact_gene_difference(region_pairs), "feature", {
+        "missingInTranscript1": in_query & ~F.col("type_in_both") & (F.col("rank") == 1),
+        "missingInTranscript2": in_target & ~F.col("type_in_both") & (F.col("rank") == 1),
+        "missingFeatureEntryFile1": in_query & F.col("type_in_both"),
+        "missingFeatureEntryFile2": in_target & F.col("type_in_both"),
+        "length": both & F.col("length_changed"), "seq": both & F.col("length_changed"),
+        "position": both & (F.col("start_changed") | F.col("stop_changed")),
+    }, F.concat_ws("_", "transcript_id", "type")))
+    same = genes.where(both).select(
+        "contig", "gene_id", F.lit("").alias("category"), F.lit("").alias("difference"), F.lit(False).alias("loud")
     )
-    return found.unionByName(missing).unionByName(unchanged)
+    changed = F.max("loud").over(Window.partitionBy("contig", "gene_id"))
+    return rows.unionByName(same).withColumn("changed", changed).where(
+        F.col("changed") == (F.col("category") != "")
+    ).select("gene_id", "category", "difference")
 
 
 def old_style_region_pairs(target: DataFrame, query: DataFrame, transcript_pairs: DataFrame) -> DataFrame:
-    """Rank-paired regions of the transcripts both releases know, with their gene id."""
-    shared = transcript_pairs.where(F.col("side_state") == "both").select(
-        "contig", "transcript_id", F.col("t_gene_id").alias("gene_id")
-    )
-    return pair_by_rank(target, query).join(shared, ["contig", "transcript_id"])
+    """Rank-paired regions of the transcripts both releases know, with their gene id.
+
+    ``type_in_both`` tells whether both transcripts have regions of the type at all.
+    """
+    shared = transcript_pairs.where(F.col("side_state") == "both").select("contig", "transcript_id", "gene_id")
+    in_both = F.max(F.col("side_state") == "both").over(Window.partitionBy("contig", "transcript_id", "type"))
+    return pair_by_rank(target, query).withColumn("type_in_both", in_both).join(shared, ["contig", "transcript_id"])
 
 
 LIFTED_COLUMNS = [

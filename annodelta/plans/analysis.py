@@ -27,21 +27,19 @@ def search_leftovers(
     target: Annotation, query: Annotation, matches: DataFrame, target_genome: DataFrame, query_genome: DataFrame,
     coding_only: bool = False,
 ) -> DataFrame:
-    """Matches of the remaining transcripts by sequence, on any contig.
-
-    The pair carries the contigs of both sides; pairs inside one contig can be compared further.
-    """
+    """Matches of the remaining transcripts by sequence, each within its contig."""
     def sequences(a: Annotation, g: DataFrame, side: str) -> DataFrame:
         rest = matching.unmatched(a.transcripts, matches, side)
         features = a.features.join(rest.select("contig", "transcript_id"), ["contig", "transcript_id"], "left_semi")
         spliced = genome.spliced_sequences(features, g, coding_only)
-        return spliced.select(F.concat_ws("\t", "contig", "transcript_id").alias("id"), "sequence")
+        return spliced.select("contig", F.concat_ws("\t", "contig", "transcript_id").alias("id"), "sequence")
 
-    found = fallback.map_by_alignment(sequences(target, target_genome, "target"), sequences(query, query_genome, "query"))
+    found = fallback.map_by_alignment(
+        sequences(target, target_genome, "target"), sequences(query, query_genome, "query"), ["contig"]
+    )
     t, q = F.split("target_id", "\t"), F.split("query_id", "\t")
     return found.select(
-        t[0].alias("contig"), q[0].alias("query_contig"), t[1].alias("target_transcript_id"),
-        q[1].alias("query_transcript_id"), "cover_query", "cover_target", "identity",
+        t[0].alias("contig"), t[1].alias("target_transcript_id"), q[1].alias("query_transcript_id"), *fallback.MEASURES
     )
 
 
@@ -58,13 +56,12 @@ def analyse(
     used = matches
     if text is not None:
         by_sequence = cut_lineage(search_leftovers(target, query, matches, text, text, coding_only))
-        inside = by_sequence.where(F.col("contig") == F.col("query_contig"))
-        pairs = difference.transcript_pairs(inside, target, query, settings)
+        pairs = difference.transcript_pairs(by_sequence, target, query, settings)
         writers.write_differences(
             difference.difference_table(pairs, target, query, settings, text, text, compat), out + SEQUENCE_REPORT_SUFFIX, compat
         )
         columns = ["contig", "target_transcript_id", "query_transcript_id"]
-        used = matches.select(*columns).unionByName(inside.select(*columns))
+        used = matches.select(*columns).unionByName(by_sequence.select(*columns))
     pairs = difference.transcript_pairs(matches, target, query, settings)
     writers.write_differences(difference.difference_table(pairs, target, query, settings, text, text, compat), out, compat)
     for side, annotation in (("target", target), ("query", query)):

@@ -180,10 +180,9 @@ def id_based_differences(spark: SparkSession, target_gtf: str, query_gtf: str, o
     target, query = gtf.read_annotation(spark, target_gtf), gtf.read_annotation(spark, query_gtf)
     columns = ["contig", "gene_id", "start", "end", "fwd"]
     genes = pairing.pair_by_id(target.genes.select(columns), query.genes.select(columns), ["contig", "gene_id"])
-    shared = genes.where(F.col("side_state") == "both").select("contig", "gene_id")
     own = ["contig", "gene_id", "transcript_id", "start", "end", "fwd"]
-    transcripts = pairing.pair_by_id(*[
-        a.transcripts.select(own).join(shared, ["contig", "gene_id"], "left_semi").select(own) for a in (target, query)
-    ], ["contig", "transcript_id"])
+    transcripts = pairing.transcripts_of_gene_pairs(genes, target.transcripts.select(own), query.transcripts.select(own))
     regions = pairing.old_style_region_pairs(target.features, query.features, transcripts)
-    writers.write_tsv(pairing.old_style_differences(genes, transcripts, regions), out)
+    writers.write_tsv(
+        pairing.old_style_differences(genes, transcripts, regions).withColumnRenamed("gene_id", "geneId"), out
+    )

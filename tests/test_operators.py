@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from annodelta.functions.alignment import align
 from annodelta.operators import fallback, history, loci
 from annodelta.operators.origins import filter_by_origins, found_origins
 from annodelta.operators.scan import Extreme, running
@@ -163,8 +164,7 @@ def test_fallback_finds_edited_copies_and_no_strangers(spark):
     assert found == {"q0": "t0", "q8": "t0", "q1": "t1", "q2": "t2", "q9": "t1"}
 
 
-def test_fallback_second_pass_serves_common_seeds(spark, monkeypatch):
-    monkeypatch.setattr(fallback, "COMMON_SEED_PAIRS", 0)
+def test_fallback_serves_queries_whose_words_are_common(spark):
     rng = random.Random(10)
     texts = ["".join(rng.choice("ACGT") for _ in range(400)) for _ in range(3)]
     targets = spark.createDataFrame([(f"t{i}", s) for i, s in enumerate(texts)], "id string, sequence string")
@@ -173,6 +173,58 @@ def test_fallback_second_pass_serves_common_seeds(spark, monkeypatch):
     assert found == {"q0": "t0", "q1": "t1", "q2": "t2"}
 
 
+def test_fallback_stays_within_the_contig(spark):
+    rng = random.Random(11)
+    text = "".join(rng.choice("ACGT") for _ in range(500))
+    schema = "contig string, id string, sequence string"
+    targets = spark.createDataFrame([("1", "1t", text), ("2", "2t", text), ("3", "3t", None)], schema)
+    queries = spark.createDataFrame([("2", "2q", text), ("2", "2r", text[:250] + "A" + text[250:]), ("3", "3q", text), (None, "q", text)], schema)
+    found = {r.query_id: r.target_id for r in fallback.map_by_alignment(targets, queries, ["contig"]).collect()}
+    assert found == {"2q": "2t", "2r": "2t"}
+
+
+def test_fallback_goes_on_after_a_rejected_candidate(spark):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    text = letters(300)
+    around = letters(250) + text + letters(250)  # holds the query whole, but is covered too little
+    copy = text[:100] + ("A" if text[100] != "A" else "C") + text[101:]
+    targets = spark.createDataFrame([("a", around), ("b", copy)], "id string, sequence string")
+    queries = spark.createDataFrame([("q", text)], "id string, sequence string")
+    assert [(r.query_id, r.target_id) for r in fallback.map_by_alignment(targets, queries).collect()] == [("q", "b")]
+
+
+def test_fallback_candidates_lose_no_acceptable_pair(spark):
+    """Every pair that the alignment accepts is a candidate, for lengths from 1 up, clipped and edited."""
+    rng = random.Random(13)
+    texts, edited = [], []
+    for n in [*range(1, 60), *range(60, 700, 23)]:
+        text = "".join(rng.choice("ACGT") for _ in range(n))
+        texts.append(text)
+        for share in (0.0, 0.03, 0.05):
+            other = list(text)
+            for _ in range(int(n * share)):
+                at = rng.randrange(len(other))
+                other[at:at + 1] = rng.choice(["", "A", "CG", "T"])
+            head, tail = rng.randrange(n // 10 + 1), rng.randrange(n // 10 + 1)
+            own = "".join(rng.choice("ACGT") for _ in range(head)) + "".join(other)[head:len(other) - tail]
+            edited.append(own or "A")
+    schema = "id string, sequence string"
+    targets = spark.createDataFrame([(f"t{i}", s) for i, s in enumerate(texts)], schema)
+    queries = spark.createDataFrame([(f"q{i}", s) for i, s in enumerate(edited)], schema)
+    kept = {tuple(r) for r in fallback.candidates(targets, queries).collect()}
+    missed = []
+    for i, q in enumerate(edited):
+        for j, t in enumerate(texts):
+            if not 0.7 * len(q) <= len(t) <= 1.4 * len(q):
+                continue
+            aligned_q, aligned_t, edits, columns = align(q, t)
+            good = columns and aligned_q >= 0.8 * len(q) and aligned_t >= 0.8 * len(t) and edits <= 0.05 * columns
+            if good and (f"q{i}", f"t{j}") not in kept:
+                missed.append((q, t))
+    assert not missed and len(kept) >= len(texts)
+
+
 def test_id_history(spark):
     rows = [("A", "B", 1.0, 2.0), ("B", "C", 2.0, 3.0), ("B", "D", 2.0, 9.0), ("D", "B", 2.0, 3.0), ("X", "Y", 1.0, 2.0), ("Y", "", 2.0, 3.0)]
     log = spark.createDataFrame(rows, "old_id string, new_id string, old_release float, new_release float")

@@ -175,22 +175,25 @@ SELECT coalesce(t.contig, q.contig) AS contig, coalesce(t.gene_id, q.gene_id) AS
 FROM t_gene t FULL OUTER JOIN q_gene q ON t.contig = q.contig AND t.gene_id = q.gene_id"""
 
 
+def _transcripts_of_gene_pairs(target: A.Annotation, query: A.Annotation, genes: DataFrame) -> DataFrame:
+    columns = ["contig", "gene_id", "transcript_id", "start", "end", "fwd"]
+    return pairing.transcripts_of_gene_pairs(genes, target.transcripts.select(columns), query.transcripts.select(columns))
+
+
 def transcript_id_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, query = releases(spark, sf_dir)
-    columns = ["contig", "gene_id", "transcript_id", "start", "end", "fwd"]
-    return pairing.exact_gene_difference(pairing.pair_by_id(
-        target.transcripts.select(columns), query.transcripts.select(columns), ["contig", "transcript_id"]
-    ))
+    return pairing.exact_gene_difference(_transcripts_of_gene_pairs(target, query, gene_id_pairs(spark, sf_dir)))
 
 
-TRANSCRIPT_ID_PAIRS = REL + """
-SELECT coalesce(t.contig, q.contig) AS contig, coalesce(t.transcript_id, q.transcript_id) AS transcript_id,
-  t.gene_id AS t_gene_id, t.start AS t_start, t."end" AS t_end, t.fwd AS t_fwd,
-  q.gene_id AS q_gene_id, q.start AS q_start, q."end" AS q_end, q.fwd AS q_fwd,
-  CASE WHEN t.transcript_id IS NULL THEN 'missing_in_target' WHEN q.transcript_id IS NULL THEN 'missing_in_query' ELSE 'both' END AS side_state,
+TRANSCRIPT_ID_PAIRS = REL + """,
+bg AS (SELECT contig, gene_id FROM t_gene SEMI JOIN q_gene USING (contig, gene_id))
+SELECT contig, gene_id, transcript_id,
+  t.start AS t_start, t."end" AS t_end, t.fwd AS t_fwd, q.start AS q_start, q."end" AS q_end, q.fwd AS q_fwd,
+  CASE WHEN t.source IS NULL THEN 'missing_in_target' WHEN q.source IS NULL THEN 'missing_in_query' ELSE 'both' END AS side_state,
   (t."end" - t.start) IS DISTINCT FROM (q."end" - q.start) AS length_changed, t.fwd IS DISTINCT FROM q.fwd AS strand_changed,
   t.start IS DISTINCT FROM q.start AS start_changed, t."end" IS DISTINCT FROM q."end" AS stop_changed
-FROM t_tx t FULL OUTER JOIN q_tx q ON t.contig = q.contig AND t.transcript_id = q.transcript_id"""
+FROM (SELECT x.* FROM t_tx x SEMI JOIN bg USING (contig, gene_id)) t
+FULL OUTER JOIN (SELECT x.* FROM q_tx x SEMI JOIN bg USING (contig, gene_id)) q USING (contig, gene_id, transcript_id)"""
 
 
 def rank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,50 +214,47 @@ FROM t_rank t FULL OUTER JOIN q_rank q USING (contig, transcript_id, type, rank)
 
 def old_style_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, query = releases(spark, sf_dir)
-    genes = pairing.pair_by_id(
-        target.genes.select("contig", "gene_id", "start", "end", "fwd"),
-        query.genes.select("contig", "gene_id", "start", "end", "fwd"), ["contig", "gene_id"])
-    shared = genes.where(F.col("side_state") == "both").select("contig", "gene_id")
-    columns = ["contig", "gene_id", "transcript_id", "start", "end", "fwd"]
-    transcripts = pairing.pair_by_id(
-        target.transcripts.select(columns).join(shared, ["contig", "gene_id"], "left_semi").select(columns),
-        query.transcripts.select(columns).join(shared, ["contig", "gene_id"], "left_semi").select(columns),
-        ["contig", "transcript_id"])
+    genes = gene_id_pairs(spark, sf_dir)
+    transcripts = _transcripts_of_gene_pairs(target, query, genes)
     regions = pairing.old_style_region_pairs(target.features, query.features, transcripts)
     return pairing.old_style_differences(genes, transcripts, regions)
 
 
 OLD_STYLE = RANKED + """,
-gp AS (SELECT coalesce(t.gene_id, q.gene_id) AS gene_id, coalesce(t.contig, q.contig) AS contig, t.gene_id IS NULL AS no_t, q.gene_id IS NULL AS no_q,
+gp AS (SELECT contig, gene_id, t.contig IS NULL AS no_t, q.contig IS NULL AS no_q,
     t.start AS ts, t."end" AS te, q.start AS qs, q."end" AS qe, t.fwd AS tf, q.fwd AS qf
-  FROM t_gene t FULL OUTER JOIN q_gene q ON t.contig = q.contig AND t.gene_id = q.gene_id),
+  FROM t_gene t FULL OUTER JOIN q_gene q USING (contig, gene_id)),
 bg AS (SELECT * FROM gp WHERE NOT no_t AND NOT no_q),
-tp AS (SELECT coalesce(t.gene_id, q.gene_id) AS gene_id, t.gene_id AS tgene, coalesce(t.contig, q.contig) AS contig,
-    coalesce(t.transcript_id, q.transcript_id) AS tx, t.transcript_id IS NULL AS no_t, q.transcript_id IS NULL AS no_q,
+tp AS (SELECT contig, gene_id, transcript_id AS tx, t.contig IS NULL AS no_t, q.contig IS NULL AS no_q,
     t.start AS ts, t."end" AS te, q.start AS qs, q."end" AS qe
   FROM (SELECT x.* FROM t_tx x SEMI JOIN bg USING (contig, gene_id)) t
-  FULL OUTER JOIN (SELECT x.* FROM q_tx x SEMI JOIN bg USING (contig, gene_id)) q ON t.contig = q.contig AND t.transcript_id = q.transcript_id),
-rp AS (SELECT p.tgene AS gene_id, p.tx, r.type, r.no_t, r.no_q, r.ts, r.te, r.qs, r.qe
-  FROM (SELECT contig, transcript_id, type, rank, t.start IS NULL AS no_t, q.start IS NULL AS no_q, t.start AS ts, t."end" AS te, q.start AS qs, q."end" AS qe
+  FULL OUTER JOIN (SELECT x.* FROM q_tx x SEMI JOIN bg USING (contig, gene_id)) q USING (contig, gene_id, transcript_id)),
+bt AS (SELECT *, (te - ts) IS DISTINCT FROM (qe - qs) AS longer FROM tp WHERE NOT no_t AND NOT no_q),
+rp AS (SELECT contig, p.gene_id, p.tx, r.type, r.rank, r.n_t, r.n_q, r.ts, r.te, r.qs, r.qe
+  FROM (SELECT contig, transcript_id, type, rank, t.start AS ts, t."end" AS te, q.start AS qs, q."end" AS qe,
+      count(t.start) OVER (PARTITION BY contig, transcript_id, type) AS n_t, count(q.start) OVER (PARTITION BY contig, transcript_id, type) AS n_q
     FROM t_rank t FULL OUTER JOIN q_rank q USING (contig, transcript_id, type, rank)) r
-  JOIN tp p ON p.contig = r.contig AND p.tx = r.transcript_id WHERE NOT p.no_t AND NOT p.no_q),
-found AS (
-  SELECT gene_id, 'gene' AS category, 'length' AS difference FROM bg WHERE (te - ts) IS DISTINCT FROM (qe - qs)
-  UNION ALL SELECT gene_id, 'gene', 'strand' FROM bg WHERE tf IS DISTINCT FROM qf
-  UNION ALL SELECT gene_id, 'gene', 'start' FROM bg WHERE ts IS DISTINCT FROM qs
-  UNION ALL SELECT gene_id, 'gene', 'stop' FROM bg WHERE te IS DISTINCT FROM qe
-  UNION ALL SELECT gene_id, 'transcript', 'missingInFile1_' || tx FROM tp WHERE no_t
-  UNION ALL SELECT gene_id, 'transcript', 'missingInFile2_' || tx FROM tp WHERE no_q
-  UNION ALL SELECT gene_id, 'transcript', 'length_' || tx FROM tp WHERE NOT no_t AND NOT no_q AND (te - ts) IS DISTINCT FROM (qe - qs)
-  UNION ALL SELECT gene_id, 'transcript', 'start_' || tx FROM tp WHERE NOT no_t AND NOT no_q AND ts IS DISTINCT FROM qs
-  UNION ALL SELECT gene_id, 'transcript', 'stop_' || tx FROM tp WHERE NOT no_t AND NOT no_q AND te IS DISTINCT FROM qe
-  UNION ALL SELECT gene_id, 'region', 'missingInFile1_' || tx || '_' || type FROM rp WHERE no_t
-  UNION ALL SELECT gene_id, 'region', 'missingInFile2_' || tx || '_' || type FROM rp WHERE no_q
-  UNION ALL SELECT gene_id, 'region', 'length_' || tx || '_' || type FROM rp WHERE NOT no_t AND NOT no_q AND te - ts <> qe - qs
-  UNION ALL SELECT gene_id, 'region', 'position_' || tx || '_' || type FROM rp WHERE NOT no_t AND NOT no_q AND (ts <> qs OR te <> qe))
-SELECT * FROM found
-UNION ALL SELECT gene_id, CASE WHEN no_t THEN 'missingInFile1' ELSE 'missingInFile2' END, '' FROM gp WHERE no_t OR no_q
-UNION ALL SELECT gene_id, '', '' FROM bg WHERE gene_id NOT IN (SELECT gene_id FROM found)"""
+  JOIN bt p USING (contig) WHERE p.tx = r.transcript_id),
+found(contig, gene_id, category, difference, loud) AS (
+  SELECT contig, gene_id, 'gene', unnest(['length', 'seq']), TRUE FROM bg WHERE (te - ts) IS DISTINCT FROM (qe - qs)
+  UNION ALL SELECT contig, gene_id, 'gene', 'strand', TRUE FROM bg WHERE tf IS DISTINCT FROM qf
+  UNION ALL SELECT contig, gene_id, 'gene', 'start', FALSE FROM bg WHERE ts IS DISTINCT FROM qs
+  UNION ALL SELECT contig, gene_id, 'gene', 'stop', FALSE FROM bg WHERE te IS DISTINCT FROM qe
+  UNION ALL SELECT contig, gene_id, 'transcript', 'missingInFile1_' || tx, TRUE FROM tp WHERE no_t
+  UNION ALL SELECT contig, gene_id, 'transcript', 'missingInFile2_' || tx, TRUE FROM tp WHERE no_q
+  UNION ALL SELECT contig, gene_id, 'transcript', unnest(['length_', 'seq_']) || tx, TRUE FROM bt WHERE longer
+  UNION ALL SELECT contig, gene_id, 'transcript', 'start_' || tx, FALSE FROM bt WHERE ts IS DISTINCT FROM qs
+  UNION ALL SELECT contig, gene_id, 'transcript', 'stop_' || tx, FALSE FROM bt WHERE te IS DISTINCT FROM qe
+  UNION ALL SELECT DISTINCT contig, gene_id, 'feature', 'missingInTranscript1_' || tx || '_' || type, TRUE FROM rp WHERE n_t = 0
+  UNION ALL SELECT DISTINCT contig, gene_id, 'feature', 'missingInTranscript2_' || tx || '_' || type, TRUE FROM rp WHERE n_q = 0
+  UNION ALL SELECT contig, gene_id, 'feature', 'missingFeatureEntryFile1_' || tx || '_' || type, FALSE FROM rp WHERE rank > n_t AND n_t > 0
+  UNION ALL SELECT contig, gene_id, 'feature', 'missingFeatureEntryFile2_' || tx || '_' || type, FALSE FROM rp WHERE rank > n_q AND n_q > 0
+  UNION ALL SELECT contig, gene_id, 'feature', unnest(['length_', 'seq_']) || tx || '_' || type, TRUE FROM rp WHERE te - ts <> qe - qs
+  UNION ALL SELECT contig, gene_id, 'feature', 'position_' || tx || '_' || type, FALSE FROM rp WHERE ts <> qs OR te <> qe),
+differ AS (SELECT DISTINCT contig, gene_id FROM found WHERE loud)
+SELECT f.gene_id, f.category, f.difference FROM found f SEMI JOIN differ USING (contig, gene_id)
+UNION ALL SELECT gene_id, 'gene', CASE WHEN no_t THEN 'missingInFile1' ELSE 'missingInFile2' END FROM gp WHERE no_t OR no_q
+UNION ALL SELECT gene_id, '', '' FROM bg ANTI JOIN differ USING (contig, gene_id)"""
 
 # --- loci ------------------------------------------------------------------------------
 
