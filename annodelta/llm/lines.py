@@ -2,9 +2,11 @@
 
 DataFrame functions only. Lines are keyed by two hashes of their text. A line's shingles (``SHINGLE`` characters, from
 every position) are hashed once each, and the minimum under sixteen exclusive-or permutations of the hash is its
-signature. Bands of four minima put lines into buckets; in a bucket every line is compared with the first one and, unless
-that has connected them, with its predecessor in an order that differs by band, so that the comparisons grow with the
-bucket and not with its square. Compared lines are linked if the exact Jaccard similarity of their shingle sets is 0.8 or more. Classes are connected
+signature. Bands of four minima put lines into buckets; in a bucket every line is compared with the first one. Buckets that
+this leaves in several components are open: all their other lines are joined exactly, by a prefix filter that loses no pair. Two
+sets of a and b shingles that are similar enough share 4/9 (a + b) of them, so in an order common to all lines (rarest
+first) they meet within the first (5a - 4b)/9 + 1 and (5b - 4a)/9 + 1. What a template shares stands behind these, so the
+pairs of a large family of lines are not all met. Compared lines are linked if the exact Jaccard similarity of their shingle sets is 0.8 or more. Classes are connected
 components of links and of equality; the first line of a class (least doc_id, then line number) stays.
 
 Defined cases: null text has no lines to remove; lines without a word are left alone and belong to no class; lines
@@ -14,7 +16,7 @@ lines come in the order of line numbers, and equal rows stay equal; rows with a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annodelta.llm.components import components
@@ -25,6 +27,8 @@ SHINGLE = 8
 MINIMA, BANDS, BAND_ROWS = 16, 8, 4
 #: Similarity as a fraction of integers.
 NEAR = (4, 5)
+#: Lines with one shingle that meet in one cell of the exact join.
+CELL_LINES = 1_000
 
 
 def _pattern(k: int) -> int:
@@ -64,20 +68,52 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(a, b, star): first keys k1 of lines to compare, the smaller first; star: with the first line of a bucket.
+    """(a, b): first keys k1 of the first line of a bucket and of each other line there.
 
     Rows carry one of the two keys; lines that share it by chance are told apart by their texts later.
     """
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{k}" for k in _band_rows(b))) for b in range(BANDS)))
-    banded = signed.select("k1", F.explode(bands).alias("_band"))
-    whole = Window.partitionBy("_band")
-    linked = banded.select("k1", F.lag("k1").over(whole.orderBy(F.xxhash64("_band", "k1"), "k1")).alias("_previous"),
-                           F.min("k1").over(whole).alias("_first"))
-    pairs = linked.where(F.col("_previous").isNotNull() | (F.col("_first") != F.col("k1"))).select(
-        "k1", F.explode(F.array(F.struct(F.col("_first").alias("k"), F.lit(1).alias("star")),
-                                F.struct(F.col("_previous").alias("k"), F.lit(0).alias("star")))).alias("_o"))
-    return pairs.where(F.col("k1") != F.col("_o.k")).groupBy(
-        F.least("k1", "_o.k").alias("a"), F.greatest("k1", "_o.k").alias("b")).agg(F.max("_o.star").alias("star"))
+    banded = signed.select(F.col("k1").alias("b"), F.explode(bands).alias("_band"))
+    first = banded.groupBy("_band").agg(F.min("b").alias("a"), F.max("b").alias("_last")).where("a < _last")
+    return banded.join(first.drop("_last"), "_band").where("a < b").select("a", "b").distinct()
+
+
+def open_lines(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """k1 of the lines in buckets of which not every pair is settled; ``rooted``: k1, root.
+
+    The first line of a bucket is compared with each of the others, so only these others can still be apart.
+    """
+    others = pairs.join(rooted.select(F.col("k1").alias("b"), "root"), "b")
+    apart = others.groupBy("a").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most")
+    return pairs.join(apart.select("a"), "a", "left_semi").select(F.col("b").alias("k1")).distinct()
+
+
+def prefix_pairs(rooted: DataFrame) -> DataFrame:
+    """(a, b): first keys of all lines of ``rooted`` (k1, k2, line, root) of different roots that may be near enough."""
+    keys = ["k1", "k2"]
+    shingled = rooted.select(*keys, _shingle_set("line").alias("_set")).select(
+        *keys, F.size("_set").alias("n"), F.explode("_set").alias("h"))
+    times = shingled.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    # The shingles of one line only come first in the order; they take places but meet nothing.
+    met = shingled.join(times, "h").groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("_met"))
+    alone = F.col("n") - F.size("_met")
+    wide = F.expr(f"n div {NEAR[1]}") + 1 - alone
+    placed = met.where(wide > 0).join(rooted.select(*keys, "root"), keys).select(
+        *keys, "root", "n", alone.alias("_alone"), F.posexplode(F.slice("_met", F.lit(1), wide)).alias("_at", "_x")).select(
+        F.struct("n", *keys).alias("line"), "root", (F.col("_at") + F.col("_alone")).alias("at"), F.col("_x.h").alias("h"),
+        F.ceil(F.col("_x.times") / CELL_LINES).cast("int").alias("cells"))
+    placed = cut_lineage(placed)
+    total = NEAR[0] + NEAR[1]
+    # The smaller line of a pair never needs more than a ninth of its shingles.
+    small = placed.where(F.col("at") * total <= F.col("line.n")).select(
+        "h", F.pmod(F.xxhash64("line"), "cells").cast("int").alias("cell"),
+        F.col("line").alias("x"), F.col("root").alias("_rx"), F.col("at").alias("_ax"))
+    large = placed.select("h", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
+                          F.col("line").alias("y"), F.col("root").alias("_ry"), F.col("at").alias("_ay"))
+    reach = [(F.col(p) * total <= F.col(f"{own}.n") * NEAR[1] - F.col(f"{other}.n") * NEAR[0])
+             for p, own, other in (("_ax", "x", "y"), ("_ay", "y", "x"))]
+    found = small.join(large, ["h", "cell"]).where((F.col("x") < F.col("y")) & (F.col("_rx") != F.col("_ry")) & reach[0] & reach[1])
+    return found.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
 
 
 def _shingle_set(line: str) -> Column:
@@ -118,15 +154,13 @@ def line_classes(docs: DataFrame) -> DataFrame:
     lines = document_lines(docs)
     pairs = cut_lineage(candidate_pairs(signatures(lines)))
     texts = line_texts(lines, pairs)
-    stars = cut_lineage(verified_links(texts, pairs.where("star = 1")))
+    stars = cut_lineage(verified_links(texts, pairs))
     roots = components(stars)
-    # A pair in a row of a bucket matters only between lines that the stars have not connected.
-    root_of = texts.select("k1", _node("k1", "k2").alias("node")).join(roots, "node", "left").select(
-        "k1", F.coalesce("root", "node").alias("root"))
-    open_pairs = pairs.where("star = 0").join(
-        root_of.select(F.col("k1").alias("a"), F.col("root").alias("_ra")), "a").join(
-        root_of.select(F.col("k1").alias("b"), F.col("root").alias("_rb")), "b").where("_ra <> _rb")
-    more = cut_lineage(verified_links(texts, open_pairs.select("a", "b").distinct()))
+    node = _node("k1", "k2").alias("node")
+    rooted = cut_lineage(texts.select("k1", "k2", "line", node).join(roots, "node", "left").select(
+        "k1", "k2", "line", F.coalesce("root", "node").alias("root")))
+    unsettled = cut_lineage(rooted.join(open_lines(pairs, rooted), "k1", "left_semi"))
+    more = cut_lineage(verified_links(texts, prefix_pairs(unsettled)))
     if not more.isEmpty():
         roots = components(stars.union(more))
     occurrences = lines.select("doc_id", "no", _node("k1", "k2").alias("node"))

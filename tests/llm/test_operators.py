@@ -251,6 +251,26 @@ def test_line_recall(spark):
     assert got <= expected and len(got) >= 0.97 * len(expected) and len(expected) == 150
 
 
+def test_line_twins_in_a_large_family(spark):
+    import random
+
+    random.seed(12)
+    letters = "abcdefghijklmnop"
+    template = "".join(random.choices(letters, k=100))
+    rows, shares = [], []
+    for k in range(5000):
+        own = "".join(random.choices(letters, k=28))
+        pair = [template + own, template + own[:-11] + "".join(random.choices("QRSTUVWX", k=11))]
+        x, y = ({line[i:i + 8] for i in range(len(line) - 7)} for line in pair)
+        shares.append(len(x & y) / len(x | y))
+        rows += [(2 * k + i, line, "en") for i, line in enumerate(pair)]
+    # Twins are near enough; others share the template only.
+    assert min(shares) >= 0.8 and 93 / (93 + 28 * 2) < 0.7
+    got = {r.doc_id for r in lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+           if not r.stays}
+    assert got <= {2 * k + 1 for k in range(5000)} and len(got) >= 0.99 * 5000
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
