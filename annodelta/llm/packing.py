@@ -12,6 +12,7 @@ nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -34,8 +35,10 @@ BUCKET_ROWS = 20_000
 @cache
 def _tokens(path: str) -> tiktoken.Encoding:
     """The merges of the tokenizer file, run by the rank library, which is several times faster (tests compare the two).
-    Strings of special tokens in a text are ordinary text."""
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    The added tokens of the file are found inside texts too, as its own library does."""
+    with open(path, encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file).get("added_tokens") or []}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens=added)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
@@ -53,7 +56,7 @@ def _cutting(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], I
             for part in text_groups(texts):
                 rows = []
                 for key, text in zip(keys[part], texts[part]):
-                    start, ids = 0, tool.encode_to_numpy(text, disallowed_special=())
+                    start, ids = 0, tool.encode_to_numpy(text, allowed_special="all")
                     for n, piece in enumerate(cut(np.append(ids, END_ID).astype("<u4"), capacity)):
                         rows.append((key, n, start, len(piece), zlib.crc32(piece.tobytes())))
                         start += len(piece)

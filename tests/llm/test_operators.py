@@ -290,6 +290,20 @@ def test_packing(docs, rows, empty):
     assert packing.pack(packing.pieces(empty, path)).count() == 0
 
 
+def test_packing_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "two  <|endoftext|>  <|endoftext|", " \n<|endoftext|>'s é"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(frame, path).collect()}
+    for k, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert 50256 in ids
+        assert got[k] == (len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+
+
 def _assert_packed(got, capacity):
     sequences = defaultdict(list)
     for r in got:
