@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     mode("gtfStats", "inDir!", "outDir!", recursive=flag)
     mode("addMetaFeatures", "gtf!", "o!")
     mode("benchmark", "events!", "o!", packages={"nargs": "*"})
-    mode("firstAnalysis", *sides, "o!")
+    mode("firstAnalysis", *sides, *texts, "o!")
     mode("seqExtractor", "gtf!", "fasta!", "fidx", "o!", "gene-id", "feature-type")
     return parser
 
@@ -81,6 +81,7 @@ def _run(spark, a: argparse.Namespace) -> None:
     elif a.mode == "benchmark":
         reports.aggregate_profiles(spark, a.events, a.o, a.packages or [])
     elif a.mode == "firstAnalysis":
-        reports.id_based_differences(spark, a.target_gtf, a.query_gtf, a.o)
+        reports.id_based_differences(spark, a.target_gtf, a.query_gtf, a.o, a.target_fasta, a.query_fasta,
+                                     a.target_fidx, a.query_fidx)
     elif a.mode == "seqExtractor":
         reports.extract_sequences(spark, a.gtf, a.fasta, a.o, a.fidx, a.gene_id, a.feature_type)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annodelta import constants as C
+from annodelta.operators.genome import CHUNK_BASES, compare_spans
 
 
 def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
@@ -69,15 +70,45 @@ def transcripts_of_gene_pairs(gene_pairs: DataFrame, target: DataFrame, query: D
 QUIET = ["start", "stop", "position", "missingFeatureEntryFile1", "missingFeatureEntryFile2"]
 
 
-def old_style_differences(gene_pairs: DataFrame, transcript_pairs: DataFrame, region_pairs: DataFrame) -> DataFrame:
+SPAN = ["t_start", "t_end", "q_start", "q_end"]
+
+
+def unequal_texts(pairs: list[DataFrame], target_genome: DataFrame, query_genome: DataFrame, chunk: int = CHUNK_BASES) -> DataFrame:
+    """(contig, SPAN, unequal): spans of equal length among ``pairs`` whose letters differ; each span is read once.
+
+    The text is the genome's, on no strand. A text that only one genome covers differs.
+    """
+    spans = None
+    for df in pairs:
+        own = df.where("side_state = 'both' AND t_end - t_start = q_end - q_start").select("contig", *SPAN)
+        spans = own if spans is None else spans.unionByName(own)
+    compared = compare_spans(spans.distinct(), target_genome, query_genome, SPAN, chunk)
+    return compared.where(~F.col("t_sequence").eqNullSafe(F.col("q_sequence"))).select("contig", *SPAN, F.lit(True).alias("unequal"))
+
+
+def old_style_differences(
+    gene_pairs: DataFrame, transcript_pairs: DataFrame, region_pairs: DataFrame,
+    target_genome: DataFrame | None = None, query_genome: DataFrame | None = None, chunk: int = CHUNK_BASES,
+) -> DataFrame:
     """The three-column difference list (gene_id, category, difference) of the id based comparison.
 
     A gene that is the same but for its place appears once with empty category and difference; other genes
     have a row for each difference of the gene, its transcripts and their regions. A gene known to one release only
-    is missingInFile1 (target) or missingInFile2 (query). Texts of other length differ (seq); texts of equal
-    length are taken as equal here.
+    is missingInFile1 (target) or missingInFile2 (query). Texts of other length differ (seq); those of equal
+    length are compared if both genomes are given, and else taken as equal.
     """
-    genes = exact_gene_difference(gene_pairs)
+    texts = None
+    if target_genome is not None and query_genome is not None:
+        texts = unequal_texts([gene_pairs, transcript_pairs, region_pairs], target_genome, query_genome, chunk)
+
+    def difference(pairs: DataFrame) -> DataFrame:
+        flagged = exact_gene_difference(pairs)
+        if texts is None:
+            return flagged.withColumn("text_changed", F.col("length_changed"))
+        return flagged.join(texts, ["contig", *SPAN], "left").withColumn(
+            "text_changed", F.col("length_changed") | F.col("unequal").isNotNull()).drop("unequal")
+
+    genes = difference(gene_pairs)
     both, in_query, in_target = (F.col("side_state") == s for s in ("both", "missing_in_target", "missing_in_query"))
 
     def unpivot(df: DataFrame, category: str, flags: dict[str, Column], suffix: Column | None) -> DataFrame:
@@ -90,18 +121,18 @@ def old_style_differences(gene_pairs: DataFrame, transcript_pairs: DataFrame, re
 
     rows = unpivot(genes, "gene", {
         "missingInFile1": in_query, "missingInFile2": in_target,
-        "length": both & F.col("length_changed"), "seq": both & F.col("length_changed"),
+        "length": both & F.col("length_changed"), "seq": both & F.col("text_changed"),
         "strand": both & F.col("strand_changed"), "start": both & F.col("start_changed"), "stop": both & F.col("stop_changed"),
-    }, None).unionByName(unpivot(exact_gene_difference(transcript_pairs), "transcript", {
+    }, None).unionByName(unpivot(difference(transcript_pairs), "transcript", {
         "missingInFile1": in_query, "missingInFile2": in_target,
-        "length": both & F.col("length_changed"), "seq": both & F.col("length_changed"),
+        "length": both & F.col("length_changed"), "seq": both & F.col("text_changed"),
         "start": both & F.col("start_changed"), "stop": both & F.col("stop_changed"),
-    }, F.col("transcript_id"))).unionByName(unpivot(exact_gene_difference(region_pairs), "feature", {
+    }, F.col("transcript_id"))).unionByName(unpivot(difference(region_pairs), "feature", {
         "missingInTranscript1": in_query & ~F.col("type_in_both") & (F.col("rank") == 1),
         "missingInTranscript2": in_target & ~F.col("type_in_both") & (F.col("rank") == 1),
         "missingFeatureEntryFile1": in_query & F.col("type_in_both"),
         "missingFeatureEntryFile2": in_target & F.col("type_in_both"),
-        "length": both & F.col("length_changed"), "seq": both & F.col("length_changed"),
+        "length": both & F.col("length_changed"), "seq": both & F.col("text_changed"),
         "position": both & (F.col("start_changed") | F.col("stop_changed")),
     }, F.concat_ws("_", "transcript_id", "type")))
     same = genes.where(both).select(

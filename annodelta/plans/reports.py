@@ -175,14 +175,21 @@ def aggregate_profiles(spark: SparkSession, events: str, out: str, packages: lis
     writers.write_tsv(totals.orderBy(F.desc(weight), "recording", "method"), out + "/methods")
 
 
-def id_based_differences(spark: SparkSession, target_gtf: str, query_gtf: str, out: str) -> None:
-    """The id based comparison: three columns, gene by gene."""
+def id_based_differences(
+    spark: SparkSession, target_gtf: str, query_gtf: str, out: str, target_fasta: str | None = None,
+    query_fasta: str | None = None, target_fai: str | None = None, query_fai: str | None = None,
+) -> None:
+    """The id based comparison: three columns, gene by gene. With both genomes, texts of equal length are compared."""
+    if (target_fasta is None) != (query_fasta is None):
+        raise ValueError("texts are compared with both genomes or without any")
     target, query = gtf.read_annotation(spark, target_gtf), gtf.read_annotation(spark, query_gtf)
     columns = ["contig", "gene_id", "start", "end", "fwd"]
     genes = pairing.pair_by_id(target.genes.select(columns), query.genes.select(columns), ["contig", "gene_id"])
     own = ["contig", "gene_id", "transcript_id", "start", "end", "fwd"]
     transcripts = pairing.transcripts_of_gene_pairs(genes, target.transcripts.select(own), query.transcripts.select(own))
     regions = pairing.old_style_region_pairs(target.features, query.features, transcripts)
+    genomes = () if target_fasta is None else (
+        fasta.read_genome(spark, target_fasta, target_fai), fasta.read_genome(spark, query_fasta, query_fai))
     writers.write_tsv(
-        pairing.old_style_differences(genes, transcripts, regions).withColumnRenamed("gene_id", "geneId"), out
+        pairing.old_style_differences(genes, transcripts, regions, *genomes).withColumnRenamed("gene_id", "geneId"), out
     )

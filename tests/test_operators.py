@@ -229,3 +229,28 @@ def test_id_history(spark):
     rows = [("A", "B", 1.0, 2.0), ("B", "C", 2.0, 3.0), ("B", "D", 2.0, 9.0), ("D", "B", 2.0, 3.0), ("X", "Y", 1.0, 2.0), ("Y", "", 2.0, 3.0)]
     log = spark.createDataFrame(rows, "old_id string, new_id string, old_release float, new_release float")
     assert {tuple(r) for r in history.successors(log, 1.0, 5.0).collect()} == {("A", "B"), ("A", "C")}
+
+
+def test_id_report_compares_texts_of_equal_length(spark):
+    from annodelta.operators import pairing
+    from annodelta.operators.genome import chunk_sequences
+
+    genes = spark.createDataFrame([("1", "same", 1, 20, True), ("1", "other", 31, 50, True)], "contig string, gene_id string, start long, end long, fwd boolean")
+    shifted = genes.withColumns({c: F.col(c) + 3 for c in ("start", "end")})
+    pairs = pairing.pair_by_id(genes, shifted, ["contig", "gene_id"])
+    own = "contig string, gene_id string, transcript_id string, start long, end long, fwd boolean"
+    tx = spark.createDataFrame([("1", "same", "s", 1, 20, True), ("1", "other", "o", 31, 50, True)], own)
+    moved = tx.withColumns({c: F.col(c) + 3 for c in ("start", "end")})
+    transcripts = pairing.transcripts_of_gene_pairs(pairs, tx, moved)
+    feature = "contig string, transcript_id string, type string, start long, end long, fwd boolean, ord int"
+    regions = spark.createDataFrame(
+        [("1", "s", "exon", 1, 9, True, 0), ("1", "o", "exon", 31, 39, True, 0), ("1", "o", "CDS", 41, 44, True, 1)], feature)
+    later = regions.withColumns({c: F.col(c) + 3 for c in ("start", "end")})
+    region_pairs = pairing.old_style_region_pairs(regions, later, transcripts)
+    text = "ACGTTGCAAC" * 6
+    changed = "GGG" + text[:34] + "N" + text[35:]  # in the first exon of the other gene
+    genomes = [chunk_sequences(spark.createDataFrame([("1", t)], "contig string, seq string"), 7) for t in (text, changed)]
+    found = {tuple(r) for r in pairing.old_style_differences(pairs, transcripts, region_pairs, *genomes, 7).collect()}
+    assert ("same", "", "") in found and not {r for r in found if r[0] == "same"} - {("same", "", "")}
+    assert {r for r in found if "seq" in r[2]} == {("other", "gene", "seq"), ("other", "transcript", "seq_o"), ("other", "feature", "seq_o_exon")}
+    assert ("other", "", "") not in found
