@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annodelta.llm import bpe, chat, fertility, fingerprints, licenses, lines, packing, suffixes, toxicity, trie
+from annodelta.llm import (
+    alignment,
+    bpe,
+    chat,
+    counting,
+    fertility,
+    fingerprints,
+    licenses,
+    lines,
+    packing,
+    suffixes,
+    toxicity,
+    trie,
+)
 from annodelta.llm.votes import hex16
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +141,15 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(documents(spark, folder))
 
 
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counting.token_counts(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(documents(spark, folder), *paths)
+
+
 #: name: (query, SQL for the same rows or None)
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_suffix_array_dedup": (op1_suffix_array_dedup, None),
@@ -140,4 +162,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_preference_format": (op9_preference_format, OP9_SQL),
     "op10_license_scan": (op10_license_scan, None),
+    "op12_token_counts": (op12_token_counts, None),
+    "op13_tokenizer_alignment": (op13_tokenizer_alignment, None),
 }
