@@ -18,6 +18,7 @@ from annodelta.llm import (
     licenses,
     lines,
     packing,
+    search,
     suffixes,
     toxicity,
     trie,
@@ -141,6 +142,39 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(documents(spark, folder))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+sized AS (SELECT d, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+freq AS (
+  SELECT d, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT d, doc_id, n, unnest(w) AS term FROM sized) GROUP BY d, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt
+  FROM freq, total GROUP BY term),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, d, any_value(doc_id) AS doc_id,
+         CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM wanted JOIN freq USING (term) JOIN weight USING (term), total GROUP BY item_id, d)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counting.token_counts(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -162,6 +196,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_preference_format": (op9_preference_format, OP9_SQL),
     "op10_license_scan": (op10_license_scan, None),
+    "op11_ranked_search": (op11_ranked_search, OP11_SQL),
     "op12_token_counts": (op12_token_counts, None),
     "op13_tokenizer_alignment": (op13_tokenizer_alignment, None),
 }
