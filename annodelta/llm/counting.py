@@ -26,9 +26,9 @@ from tokenizers import Tokenizer
 
 from annodelta.llm.text import whole_text
 
-#: Words whose counts a worker keeps, by generation; those not met again while a generation fills are forgotten.
-CACHE_WORDS = 200_000
-#: Longer words are counted each time they come, so that the cache has a bound in bytes.
+#: Stretches between blanks whose counts a worker keeps, by generation; those not met again while one fills are forgotten.
+CACHE_WORDS = 500_000
+#: Longer ones are counted each time they come, so that the cache has a bound in bytes.
 CACHED_CHARS = 64
 PLACE_BITS = 40
 
@@ -50,6 +50,10 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def has_unassigned(text: str) -> bool:
+    return not text.replace("\n", " ").isprintable() and _unassigned().search(text) is not None
+
+
 class WordCounter:
     """Counts the tokens of texts for a byte-level BPE file with word ends (normaliser: NFC, white space, lower case)."""
 
@@ -104,15 +108,20 @@ class WordCounter:
                 heapq.heappush(heap, found[0] << PLACE_BITS | preceding)
         return left
 
-    def _normal_words(self, part: str) -> list[str]:
-        """Words of a stretch of text between special tokens."""
+    def _stretches(self, part: str) -> list[str]:
+        """Normalised text between special tokens, cut at blanks and line ends, which no word holds."""
         if not part.isascii():
-            if _unassigned().search(part):
-                normal = self.tool.normalizer.normalize_str(part)
-                shown = (word for word, _ in self.tool.pre_tokenizer.pre_tokenize_str(normal))
-                return [bytes(self.letter_bytes[c] for c in word).decode() for word in shown]
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case letter by letter, not by place
-        return self.words.findall(part.lower())
+            if has_unassigned(part):
+                part = self.tool.normalizer.normalize_str(part)
+            else:
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case letter by letter, not by place
+        return part.lower().replace("\n", " ").split(" ")
+
+    def _words_of(self, stretch: str) -> list[bytes]:
+        if has_unassigned(stretch):
+            shown = (word for word, _ in self.tool.pre_tokenizer.pre_tokenize_str(stretch))
+            return [bytes(self.letter_bytes[c] for c in word) for word in shown]
+        return [word.encode() for word in self.words.findall(stretch)]
 
     def count(self, text: str) -> int:
         total, at = 0, 0
@@ -122,19 +131,19 @@ class WordCounter:
         return total + self._count_words(text[at:] if at else text)
 
     def _count_words(self, part: str) -> int:
-        words = self._normal_words(part)
+        stretches = self._stretches(part)
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         known = self.young
         rare: dict[str, int] = {}
-        for word in set(words).difference(known):
-            number = self.old.get(word)
+        for stretch in set(stretches).difference(known):
+            number = self.old.get(stretch)
             if number is None:
-                number = self.symbols_left(word.encode())
-            (known if len(word) <= CACHED_CHARS else rare)[word] = number
+                number = sum(map(self.symbols_left, self._words_of(stretch)))
+            (known if len(stretch) <= CACHED_CHARS else rare)[stretch] = number
         if rare:
-            return sum(rare[word] if word in rare else known[word] for word in words)
-        return sum(map(known.__getitem__, words))
+            return sum(rare[stretch] if stretch in rare else known[stretch] for stretch in stretches)
+        return sum(map(known.__getitem__, stretches))
 
 
 @cache
