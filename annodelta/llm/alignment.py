@@ -1,8 +1,9 @@
 """Alignment of two tokenizers' tokens over the same texts, counted corpus-wide.
 
-A text is tokenised whole by both. Where a token of each ends at the same byte and the next token of each begins with a
-space, the text is cut: such verified anchors leave windows of a few token ids, and equal windows align equally, so a
-worker keeps the alignment of each window it has met by its id tuples (bounded, in two generations).
+A text is tokenised whole by both. No token of either vocabulary crosses from a visible character to a blank, so of the
+stretches between such places each is tokenised once in a chunk, many laid end to end at a time. Where a token of each ends
+at the same byte and the next token of each begins with a space, the text is cut: such verified anchors leave windows of a few
+token ids, and equal windows align equally, so a chunk aligns each window once, found by its id tuples.
 
 Texts are taken in chunks of bounded size. A chunk becomes one row: its documents as runs of window numbers, its distinct
 windows as runs of pair numbers, its distinct id pairs with their counts. Only the pairs are exploded, summed over all
@@ -16,7 +17,7 @@ empty digest); repeated rows count each; an empty table gives no rows; other col
 from __future__ import annotations
 
 import hashlib
-import json
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -30,20 +31,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from annodelta.llm.bpe import read_ranks
+from annodelta.llm.bpe import read_ranks, text_groups
 from annodelta.llm.text import whole_text
 from annodelta.session import cut_lineage
 
 #: Code points of a chunk; a longer text is a chunk of its own.
 CHUNK_CHARS = 12 << 20
-#: Window alignments a worker keeps, by generation.
-CACHE_WINDOWS = 300_000
-#: Longer windows (in bytes of ids) are aligned each time they come, so that the cache has a bound in bytes.
-CACHED_BYTES = 400
-#: Texts tokenised at a time.
+#: Code points tokenised at a time.
+BATCH_CHARS = 1 << 16
+#: Texts taken from a batch at a time.
 BATCH_TEXTS = 64
 
 Window = tuple[bytes, bytes]
+#: From a visible character to a blank.
+_BREAK = re.compile(r"(?<=\S)(?= )")
+
+
+def _spread(edges: np.ndarray, values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The values of the given runs, one run after the other."""
+    sizes = np.diff(edges)[runs]
+    ends = np.cumsum(sizes)
+    return values[np.repeat(edges[runs] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Side:
@@ -53,7 +61,6 @@ class Side:
         size = max(tokens) + 1
         own = [tokens.get(i, b"") for i in range(size)]
         self.lengths = np.array([len(t) for t in own], dtype=np.int64)
-        self.size_of = self.lengths.tolist()
         self.spaced = np.array([t.startswith(b" ") for t in own])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = np.frombuffer(b"".join(own), dtype=np.uint8)
@@ -83,8 +90,12 @@ class Aligner:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.a = Side({i: token for token, i in ranks.items()})
         self.b = Side(_piece_bytes(self.pieces))
-        self.young: dict[Window, tuple[str, int, list[int]]] = {}
-        self.old: dict[Window, tuple[str, int, list[int]]] = {}
+        inner = re.compile("[^▁]▁")
+        if any(inner.search(self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size())):
+            raise ValueError(f"{piece_path}: pieces cross blanks")
+        size = max(len(self.a.lengths), len(self.b.lengths))
+        self.spelled = [f"{i}{mark}" for mark in ",|;" for i in range(size)]
+        self.spelled_size = np.array([len(text) for text in self.spelled], dtype=np.int64)
 
     def byte_ids(self, text: str) -> np.ndarray:
         """Ids of the byte-level tokenizer; the rank library gives the same ones faster but not on very long runs."""
@@ -93,58 +104,78 @@ class Aligner:
         except ValueError:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def cut(self, text: str, b_ids: list[int]) -> tuple[int, int, list[Window]]:
-        """Token counts and windows of a text; none where the tokens' bytes are not those of space + text."""
-        spaced = " " + text
-        a, b = self.byte_ids(spaced), np.array(b_ids, dtype=np.uint32)
-        a_ends, b_ends, raw = self.a.ends(a), self.b.ends(b), spaced.encode()
-        for side, ids, ends in ((self.a, a, a_ends), (self.b, b, b_ends)):
-            if not len(ids) or ends[-1] != len(raw) or side.joined(ids, ends) != raw:
-                return 0, 0, []
-        before = np.flatnonzero(self.a.spaced[a[1:]])
-        place = np.searchsorted(b_ends, a_ends[before])
-        anchored = (b_ends[place] == a_ends[before]) & (place + 1 < len(b))
-        before, place = before[anchored], place[anchored]
-        after_space = self.b.spaced[b[place + 1]]
-        a_cuts = (4 * (before[after_space] + 1)).tolist()
-        b_cuts = (4 * (place[after_space] + 1)).tolist()
+    def piece_ids(self, text: str) -> np.ndarray:
+        """Ids of the piece tokenizer, which puts a space before its text; a blank alone it would drop."""
+        return np.array(self.pieces.encode(text[1:]) if text != " " else [self.pieces.piece_to_id("▁")], dtype=np.uint32)
+
+    def tokenise(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers for stretches (each begins with a space) and, by stretch, how many; none where the bytes
+        of the tokens are not those of the stretch."""
+        counts = np.zeros((2, len(stretches)), dtype=np.int64)
+        found: tuple[list, list] = ([np.empty(0, np.uint32)], [np.empty(0, np.uint32)])
+        taken: list[int] = []
+        possible = [k for k, stretch in enumerate(stretches) if "▁" not in stretch]  # its piece would be a space
+        # One that ends with white space (at the end of a text) would run into the next one.
+        plain = [k for k in possible if not stretches[k][-1].isspace()]
+        waiting = [plain[part] for part in text_groups([stretches[k] for k in plain], BATCH_CHARS)]
+        waiting += [[k] for k in possible if stretches[k][-1].isspace()]
+        while waiting:
+            own = waiting.pop()
+            joined = "".join([stretches[k] for k in own])
+            raw, bounds = joined.encode(), np.cumsum([len(stretches[k].encode()) for k in own])
+            sides = [(side, ids, side.ends(ids)) for side, ids in ((self.a, self.byte_ids(joined)), (self.b, self.piece_ids(joined)))]
+            if all(len(ids) and ends[-1] == len(raw) and side.joined(ids, ends) == raw for side, ids, ends in sides):
+                for k, (_, ids, ends) in enumerate(sides):
+                    counts[k, own] = np.diff(np.searchsorted(ends, bounds) + 1, prepend=0)
+                    found[k].append(ids)
+                taken += own
+            elif len(own) > 1:
+                waiting += [[k] for k in own]
+        order = np.argsort(np.array(taken, dtype=np.int64))
+        edges = [np.concatenate([[0], np.cumsum(own[np.array(taken, dtype=np.int64)], dtype=np.int64)]) for own in counts]
+        a, b = (_spread(own, np.concatenate(ids), order) for own, ids in zip(edges, found))
+        return a, counts[0], b, counts[1]
+
+    def cut(self, a: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_counts: np.ndarray) -> tuple[list[Window], np.ndarray, np.ndarray]:
+        """The distinct windows of tokenised stretches; the windows of each stretch by number, and their edges."""
+        a_ends, b_ends = self.a.ends(a), self.b.ends(b)
+        shared, a_last, b_last = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        anchored = np.ones(len(shared), dtype=bool)  # the end of all is one
+        anchored[:-1] = self.a.spaced[a[a_last[:-1] + 1]] & self.b.spaced[b[b_last[:-1] + 1]]
+        a_cuts, b_cuts = ((4 * (last[anchored] + 1)).tolist() for last in (a_last, b_last))
         a_raw, b_raw = a.tobytes(), b.tobytes()
-        return len(a), len(b), [
-            (a_raw[p:q], b_raw[r:s])
-            for p, q, r, s in zip([0, *a_cuts], [*a_cuts, len(a_raw)], [0, *b_cuts], [*b_cuts, len(b_raw)])]
-
-    def align(self, window: Window) -> tuple[str, int, list[int]]:
-        """Its groups as text, their number, and its links as numbers (id of a << 32 | id of b)."""
-        known = self.young.get(window) or self.old.get(window)
-        if known is None:
-            known = self._align(*(np.frombuffer(raw, dtype=np.uint32).tolist() for raw in window))
-        if len(window[0]) + len(window[1]) <= CACHED_BYTES:
-            if len(self.young) >= CACHE_WINDOWS:
-                self.young, self.old = {}, self.young
-            self.young[window] = known
-        return known
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        a_sizes, b_sizes = self.a.size_of, self.b.size_of
-        links, groups = [], []
-        i = j = a_from = b_from = 0
-        a_end, b_end = a_sizes[a[0]], b_sizes[b[0]]
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if a_end < b_end:
-                i += 1
-                a_end += a_sizes[a[i]]
-            elif b_end < a_end:
-                j += 1
-                b_end += b_sizes[b[j]]
-            else:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
-                if i == len(a):
-                    return ";".join(groups), len(groups), links
-                a_from, b_from = i, j
-                a_end += a_sizes[a[i]]
-                b_end += b_sizes[b[j]]
+        numbers: dict[Window, int] = {}
+        windows = np.array([numbers.setdefault((a_raw[p:q], b_raw[r:s]), len(numbers))
+                            for p, q, r, s in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)], dtype=np.int64)
+        # A stretch begins with a space, so windows end with it.
+        edges = np.searchsorted(a_cuts, 4 * np.cumsum(a_counts), side="right")
+        return list(numbers), windows, np.concatenate([[0], edges])
+
+    def align(self, windows: list[Window]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window its groups as text and their number; the links (id of a << 32 | id of b) and their edges by window.
+
+        The bytes of a window are the same on both sides, so windows laid end to end are aligned on one axis.
+        """
+        a, b = (np.frombuffer(b"".join([w[side] for w in windows]), dtype=np.uint32).astype(np.int64) for side in (0, 1))
+        a_ends, b_ends = self.a.ends(a), self.b.ends(b)
+        window_ends = a_ends[np.cumsum([len(w[0]) // 4 for w in windows], dtype=np.int64) - 1] if windows else a_ends
+        ends = np.union1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        # Tokens in the order of their groups, those of a first; each with the mark that follows it.
+        group = np.concatenate([np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)])
+        closes = np.concatenate([np.isin(a_ends, shared, assume_unique=True), np.isin(b_ends, shared, assume_unique=True)])
+        marks = np.where(closes, np.repeat([1, 2], [len(a), len(b)]), 0)
+        order = np.argsort(group, kind="stable")
+        codes = (marks * (len(self.spelled) // 3) + np.concatenate([a, b]))[order]
+        spelled = "".join([self.spelled[code] for code in codes.tolist()])
+        by_group = np.concatenate([[0], np.searchsorted(group[order], np.arange(len(shared)), side="right")])
+        places = np.concatenate([[0], np.cumsum(self.spelled_size[codes])])[by_group]
+        group_edges = np.concatenate([[0], np.searchsorted(shared, window_ends) + 1]) if windows else np.zeros(1, np.int64)
+        cuts = places[group_edges].tolist()
+        texts = [spelled[p:q - 1] for p, q in zip(cuts, cuts[1:])]
+        link_edges = np.concatenate([[0], np.searchsorted(ends, window_ends) + 1]) if windows else np.zeros(1, np.int64)
+        return texts, np.diff(group_edges), links, link_edges
 
 
 @cache
@@ -162,11 +193,9 @@ CHUNK_COLUMNS = ("chunk long, doc_ids array<long>, n_a array<long>, n_b array<lo
                  "digests array<string>, doc_windows binary, window_pairs binary, pair_keys array<long>, pair_counts array<long>")
 
 
-def _packed(runs: list[np.ndarray] | list[list[int]]) -> bytes:
+def _packed(sizes: np.ndarray, values: np.ndarray) -> bytes:
     """Runs of small numbers as one compressed block: how many runs, their lengths, their numbers."""
-    sizes = np.array([len(run) for run in runs], dtype=np.uint32)
-    values = np.concatenate([np.asarray(run, dtype=np.uint32) for run in runs]) if runs else np.empty(0, np.uint32)
-    raw = np.concatenate([np.array([len(runs)], dtype=np.uint32), sizes, values]).tobytes()
+    raw = np.concatenate([[len(sizes)], sizes, values]).astype(np.uint32).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -182,37 +211,43 @@ class Chunk:
 
     def __init__(self, own: Aligner) -> None:
         self.own = own
-        self.numbers: dict[Window, int] = {}
-        self.docs: list[tuple] = []
+        self.numbers: dict[str, int] = {}
+        self.keys: list[int | None] = []
         self.runs: list[np.ndarray] = []
         self.chars = 0
 
     def add(self, keys: list, texts: list[str]) -> None:
         numbers = self.numbers
-        for key, text, b_ids in zip(keys, texts, self.own.pieces.encode(texts, num_threads=1)):
-            n_a, n_b, windows = self.own.cut(text, b_ids) if text else (0, 0, [])
-            self.docs.append((key, n_a, n_b))
-            self.runs.append(np.array([numbers.setdefault(w, len(numbers)) for w in windows], dtype=np.uint32))
+        for key, text in zip(keys, texts):
+            stretches = _BREAK.split(" " + text) if text else []
+            self.keys.append(key)
+            self.runs.append(np.array([numbers.setdefault(s, len(numbers)) for s in stretches], dtype=np.int64))
             self.chars += len(text)
 
     def row(self, name: int) -> pa.RecordBatch:
-        aligned = [self.own.align(window) for window in self.numbers]
-        texts = [text for text, _, _ in aligned]
-        groups = np.array([n for _, n, _ in aligned], dtype=np.int64)
-        links = np.array([len(found) for _, _, found in aligned], dtype=np.int64)
-        flat = np.fromiter((pair for _, _, found in aligned for pair in found), dtype=np.int64, count=int(links.sum()))
+        a, a_counts, b, b_counts = self.own.tokenise(list(self.numbers))
+        self.runs = [run if (a_counts[run] > 0).all() else run[:0] for run in self.runs]
+        windows, stretch_windows, stretch_edges = self.own.cut(a, a_counts, b, b_counts)
+        texts, groups, flat, edges = self.own.align(windows)
+        stretches = np.concatenate(self.runs)
+        numbers = _spread(stretch_edges, stretch_windows, stretches)
+        stretch_doc = np.repeat(np.arange(len(self.runs)), [len(run) for run in self.runs])
+        n_a, n_b, sizes = (np.bincount(stretch_doc, counts[stretches], len(self.runs)).astype(np.int64)
+                           for counts in (a_counts, b_counts, np.diff(stretch_edges)))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        links = np.diff(edges)
+        n_groups, n_links = (np.bincount(doc, counts[numbers], len(sizes)).astype(np.int64) for counts in (groups, links))
         pairs, pair_numbers = np.unique(flat, return_inverse=True)
-        met = np.bincount(np.concatenate(self.runs), minlength=len(aligned)) if aligned else np.empty(0, np.int64)
+        met = np.bincount(numbers, minlength=len(texts))
         counts = np.bincount(pair_numbers, np.repeat(met, links), len(pairs)).astype(np.int64)
-        digests = [hashlib.sha256(";".join([texts[w] for w in run.tolist()]).encode()).hexdigest() if len(run) else ""
-                   for run in self.runs]
+        ends = np.cumsum(sizes).tolist()
+        spelled = [texts[w] for w in numbers.tolist()]
+        digests = [hashlib.sha256(";".join(spelled[p:q]).encode()).hexdigest() if p < q else "" for p, q in zip([0, *ends], ends)]
         column = lambda values: pa.array([values], pa.list_(pa.int64()))
-        keys, n_a, n_b = zip(*self.docs)
         return pa.RecordBatch.from_arrays([
-            pa.array([name], pa.int64()), column(keys), column(n_a), column(n_b),
-            *[column([int(values[run].sum()) for run in self.runs]) for values in (groups, links)],
-            pa.array([digests], pa.list_(pa.string())), pa.array([_packed(self.runs)], pa.binary()),
-            pa.array([_packed(np.split(pair_numbers, np.cumsum(links)[:-1]) if aligned else [])], pa.binary()),
+            pa.array([name], pa.int64()), *map(column, (self.keys, n_a, n_b, n_groups, n_links)),
+            pa.array([digests], pa.list_(pa.string())), pa.array([_packed(sizes, numbers)], pa.binary()),
+            pa.array([_packed(links, pair_numbers)], pa.binary()),
             column(pairs), column(counts)], schema=CHUNK_SCHEMA)
 
 
@@ -227,7 +262,7 @@ def _chunking(byte_path: str, piece_path: str, most: int) -> Callable[[Iterator[
                 if held.chars >= most:
                     yield held.row(name)
                     held, name = Chunk(own), name + 1
-        if held.docs:
+        if held.keys:
             yield held.row(name)
 
     return run

@@ -3,8 +3,11 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from annodelta.llm import alignment
@@ -87,14 +90,38 @@ def test_very_long_texts():
     tool.encode_special_tokens = True
     for text in (" " * 300_000, "\n" * 1_200_000, "ab " * 50_000):
         assert own.byte_ids(text).tolist() == tool.encode(text, add_special_tokens=False).ids
-    n_a, n_b, windows = own.cut("word " * 30_000, own.pieces.encode("word " * 30_000))
-    assert n_a > 30_000 and len(windows) >= 30_000 and len(set(windows)) <= 3
+    held = alignment.Chunk(own)
+    held.add([1, 2], ["word " * 30_000, "\n" * 1_200_000])
+    row = held.row(7).to_pylist()[0]
+    assert row["n_a"][0] == 30_001 and row["n_b"][0] == 30_001 and row["n_groups"] == [30_001, row["n_a"][1]]
 
 
-def test_windows_are_forgotten(monkeypatch):
-    monkeypatch.setattr(alignment, "CACHE_WINDOWS", 2)
-    own, fresh = alignment.Aligner(A, B), alignment.Aligner(A, B)
-    text = "some unusually tokenised wordings, unusually some"
-    windows = own.cut(text, own.pieces.encode(text))[2]
-    assert [own.align(w) for w in windows * 2] == [fresh._align(*[alignment.np.frombuffer(r, "u4").tolist() for r in w]) for w in windows * 2]
-    assert len(own.young) <= 3
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from([" ", "  ", "\n", " the", "ing", " \n ", "'s", " 12", "▁"]))))
+def test_ids_from_stretches_are_those_of_the_whole_text(parts):
+    text, own = "".join(parts), alignment.aligner(A, B)
+    stretches = alignment._BREAK.split(" " + text)
+    a, _, b, _ = own.tokenise(stretches)
+    if text and "▁" not in text:  # such a text has no tokens
+        assert a.tolist() == byte_ids(text)
+        assert b.tolist() == own.pieces.encode(text)
+
+
+def byte_ids(text):
+    tool = Tokenizer.from_file(A) if not TOOLS else TOOLS[0]
+    tool.encode_special_tokens = True
+    TOOLS[:] = [tool]
+    return tool.encode(" " + text, add_special_tokens=False).ids
+
+
+TOOLS: list[Tokenizer] = []
+
+
+def test_small_batches(monkeypatch):
+    own = alignment.aligner(A, B)
+    stretches = [" some", " unusually", " ", "  tokenised", " wordings,\n", " ▁x", " 日本"]
+    whole = own.tokenise(stretches)
+    monkeypatch.setattr(alignment, "BATCH_CHARS", 1)
+    for one, other in zip(whole, own.tokenise(stretches)):
+        assert one.tolist() == other.tolist()
+    assert (whole[1] > 0).tolist() == [True] * 5 + [False, True]
