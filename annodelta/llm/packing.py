@@ -23,6 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from annodelta.llm.bpe import read_ranks, text_groups
 from annodelta.llm.text import whole_text
@@ -41,6 +42,19 @@ def _tokens(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens=added)
 
 
+@cache
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def token_ids(text: str, path: str) -> np.ndarray:
+    """Ids as the tokenizer file's own library gives them; the rank library cannot take very long runs of one class."""
+    try:
+        return _tokens(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
 def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
     """Pieces of ``capacity`` tokens; the first takes what is left over."""
     first = len(ids) % capacity
@@ -50,13 +64,12 @@ def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
 
 def _cutting(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _tokens(path)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in text_groups(texts):
                 rows = []
                 for key, text in zip(keys[part], texts[part]):
-                    start, ids = 0, tool.encode_to_numpy(text, allowed_special="all")
+                    start, ids = 0, token_ids(text, path)
                     for n, piece in enumerate(cut(np.append(ids, END_ID).astype("<u4"), capacity)):
                         rows.append((key, n, start, len(piece), zlib.crc32(piece.tobytes())))
                         start += len(piece)
