@@ -13,6 +13,7 @@ package of public tokenizers by default).
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import sys
@@ -31,6 +32,8 @@ from annodelta.llm.text import whole_text
 BATCH_CHARS = 1 << 20
 #: Pieces kept merged per worker and generation; those not met again while a generation fills are forgotten.
 CACHE_PIECES = 250_000
+#: Texts taken from a batch at a time.
+BATCH_TEXTS = 256
 WIDTH = 256
 TAIL = 8
 
@@ -215,15 +218,15 @@ class Encoder:
             ranks = read_ranks(path)
             merge_all = lambda new: [merge(piece.encode("utf-8", "replace"), ranks) for piece in new]
         self.merge_all = merge_all
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = pieces(texts)
         self._learn(set().union(*split))
         cached = self.young
-        return [np.array([i for p in own for i in cached[p]], dtype=np.int32) for own in split]
+        return [np.frombuffer(b"".join([cached[p] for p in own]), dtype=np.int32) for own in split]
 
     def _learn(self, wanted: set[str]) -> None:
         if len(self.young) > CACHE_PIECES:
@@ -236,7 +239,7 @@ class Encoder:
             else:
                 self.young[piece] = known
         for piece, ids in zip(new, self.merge_all(new)):
-            self.young[piece] = tuple(ids)
+            self.young[piece] = np.array(ids, dtype=np.int32).tobytes()
 
 
 @cache
@@ -327,3 +330,31 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded`` (binary), the bytes of its ``ids``; null ids decode to nothing."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(_decoding(path), f"{kinds}, decoded binary")
+
+
+def _round_trip(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        shown = [str(i) for i in range(len(token_table(path)[1]) - 1)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_TEXTS):
+                keys, texts = batch.column(0).slice(at, BATCH_TEXTS), batch.column(1).slice(at, BATCH_TEXTS).to_pylist()
+                rows = []
+                for part in text_groups(texts):
+                    for ids in own.encode(texts[part]):
+                        digest = hashlib.sha256(" ".join([shown[i] for i in ids.tolist()]).encode()).hexdigest()
+                        rows.append((len(ids), digest, hashlib.sha256(decode_ids(ids, path)).hexdigest()))
+                counts, *digests = zip(*rows)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), *map(pa.array, digests)],
+                                                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids (decimal, joined by spaces) and of the decoded bytes of every row.
+
+    Encodes and decodes in one pass, so that neither ids nor offsets leave the task; otherwise as :func:`encode`.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return rows.mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -48,12 +48,7 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(documents(spark, folder), path), path)
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
