@@ -198,7 +198,7 @@ def test_report_modes(spark, folder, tmp_path):
     assert record == [">T1", contigs["1"][100:400]]
     main(["firstAnalysis", *sides, "--o", str(tmp_path / "first")])
     found = read_text(str(tmp_path / "first"))
-    assert "G3\tmissingInFile2\t" in found and "G1\tgene\tlength" in found
+    assert "G3\tgene\tmissingInFile2" in found and "G1\tgene\tlength" in found
     events = tmp_path / "events.json"
     events.write_text("\n".join(json.dumps(e) for e in [
         {"kind": "cpu", "ts": "2024-01-01T00:00:00Z", "frames": ["java.A", "my.B"], "bytes": 0, "recording": "r"},
