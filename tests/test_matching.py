@@ -1,10 +1,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from annodelta.operators import matching, regions
-from annodelta.operators.auction import match_by_auction
+from annodelta.functions.assignment import tie_value, unique_assignment
+from annodelta.operators.auction import match_exactly
+from annodelta.operators.components import linked_components
 
 TX = "contig string, fwd boolean, transcript_id string, start long, end long"
 FEATURE = "contig string, transcript_id string, type string, start long, end long, fwd boolean, ord int"
@@ -26,27 +29,46 @@ def release(spark, seed, prefix, n):
     return spark.createDataFrame(transcripts, TX), spark.createDataFrame(features, FEATURE)
 
 
-def test_large_loci_reach_the_same_total(spark, monkeypatch, use_strand=True):
+@pytest.mark.parametrize("most", [1, 10])
+def test_every_way_finds_the_same_matching(spark, monkeypatch, most):
     (t, tf), (q, qf) = release(spark, 1, "t", 7), release(spark, 2, "q", 9)
-    monkeypatch.setattr(matching, "AUCTION_STEP", 0.05)
-    exact = matching.match_transcripts(t, q, tf, qf, use_strand).collect()
-    monkeypatch.setattr(matching, "MAX_CELLS_PER_LOCUS", 10)
+    exact = matching.match_transcripts(t, q, tf, qf).collect()
+    assert len({r.target_transcript_id for r in exact}) == len({r.query_transcript_id for r in exact}) == len(exact) > 5
+    monkeypatch.setattr(matching, "MAX_CELLS_PER_LOCUS", most)
     monkeypatch.setattr(matching, "PART_TRANSCRIPTS", 3)
-    parts = matching.match_transcripts(t, q, tf, qf, use_strand).collect()
-    for rows in (exact, parts):
-        assert len({r.target_transcript_id for r in rows}) == len({r.query_transcript_id for r in rows}) == len(rows) > 5
-    assert sum(r.score for r in parts) == pytest.approx(sum(r.score for r in exact), abs=7 * 0.05)
-
-
-def test_auction_is_near_optimal_and_leaves_nobody_out(spark):
-    rng = random.Random(3)
-    weights = {(i, j): rng.randint(1, 20) / 10 for i in range(6) for j in range(5) if rng.random() < 0.7}
-    pairs = spark.createDataFrame([("1", f"t{i}", f"q{j}", w) for (i, j), w in weights.items()],
-                                  "contig string, target_transcript_id string, query_transcript_id string, score double")
-    found = match_by_auction(pairs, 0.05).collect()
-    best = max(sum(weights.get((i, j), 0) for j, i in enumerate(p)) for p in itertools.permutations(range(6), 5))
-    assert len({r.target_transcript_id for r in found}) == len(found) == len({r.query_transcript_id for r in found})
-    assert best - 6 * 0.05 <= sum(r.score for r in found) <= best + 1e-9
+    assert sorted(map(tuple, matching.match_transcripts(t, q, tf, qf).collect())) == sorted(map(tuple, exact))
+
+
+def _best_by_enumeration(units):
+    """The pairs of largest total, then of largest total tie value, over all one-to-one choices."""
+    n, m = 4, 5
+    best = max(
+        (sum(units.get((i, j), 0) for i, j in chosen), sum(tie_value(f"t{i}", f"q{j}") for i, j in chosen), chosen)
+        for order in itertools.permutations(range(m), n)
+        for chosen in [sorted((i, j) for i, j in enumerate(order) if (i, j) in units)])
+    return best[2]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_exact_with_many_ties(spark, seed):
+    rng = random.Random(seed)
+    units = {(i, j): rng.choice([100_000, 100_000, 200_000, 700_001]) for i in range(4) for j in range(5) if rng.random() < 0.8}
+    expected = _best_by_enumeration(units)
+    table = np.zeros((4, 5), dtype=np.int64)
+    for (i, j), w in units.items():
+        table[i, j] = w
+    assert unique_assignment(table, [f"t{i}" for i in range(4)], [f"q{j}" for j in range(5)]) == expected
+    pairs = spark.createDataFrame([("1", f"t{i}", f"q{j}", w) for (i, j), w in units.items()],
+                                  "contig string, target_transcript_id string, query_transcript_id string, units long")
+    found = match_exactly(pairs).collect()
+    assert sorted((int(r.target_transcript_id[1:]), int(r.query_transcript_id[1:])) for r in found) == expected
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(40)] + [(100, 103), (103, 101), (102, 101)] + [(200 + k, 250) for k in range(20)]
+    random.Random(1).shuffle(chain)
+    found = dict(linked_components(spark.createDataFrame(chain, "a long, b long")).collect())
+    assert found == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 104)}, **{k: 200 for k in range(200, 220)}, 250: 200}
 
 
 def test_matching_of_identical_releases_is_the_identity(spark):
