@@ -16,6 +16,7 @@ from annodelta.operators import (
 )
 from annodelta.session import cut_lineage
 from workload.core import REL, RANKED, STRANDED, _located
+from workload.matching_sql import MATCH
 from workload.release import releases, spread, table
 
 # --- genome text taken from the documents ------------------------------------------------
@@ -281,6 +282,10 @@ def bipartite_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir)[2]
 
 
+BIPARTITE_MATCHING = REL + "," + _painted("t") + "," + _painted("q") + MATCH + """
+SELECT contig, fwd, locus, target_transcript_id, query_transcript_id, score FROM match"""
+
+
 def exon_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All region pairs of the transcripts known to both releases."""
     target, query = (with_introns(x) for x in releases(spark, sf_dir))
@@ -506,7 +511,7 @@ QUERIES = {
     "model_jaccard": (model_jaccard, MODEL_JACCARD),
     "chain_similarity": (chain_similarity, CHAIN_SIMILARITY),
     "reciprocal_best_hits": (reciprocal_best_hits, RECIPROCAL),
-    "bipartite_matching": (bipartite_matching, None),
+    "bipartite_matching": (bipartite_matching, BIPARTITE_MATCHING),
     "exon_pairing": (exon_pairing, None),
     "analysis_differences": (analysis_differences, None),
     "comparator_diff_long": (comparator_diff_long, COMPARATOR_DIFF),
