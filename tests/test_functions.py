@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from annodelta.functions import exons as X
-from annodelta.functions import scoring
-from annodelta.functions.alignment import align, edit_distance
+from annodelta.functions import alignment, scoring
+from annodelta.functions.alignment import align, align_many, edit_distance, edit_distances
 from annodelta.functions.assignment import best_assignment
 
 
@@ -149,3 +149,41 @@ def test_alignment_leaves_foreign_ends_out():
     core, left, right = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (1000, 300, 300))
     q, t, edits, _ = align(left + core, core + right)
     assert abs(q - 1000) < 15 and abs(t - 1000) < 15 and edits < 5
+
+
+def _edited(rng, text, share):
+    out = []
+    for letter in text:
+        if rng.random() < share:
+            out.append(rng.choice(["", letter + rng.choice("acgt"), rng.choice("acgt")]))
+        else:
+            out.append(letter)
+    return "".join(out)
+
+
+def test_batch_alignment_is_the_single_one():
+    rng = random.Random(11)
+    pairs = [("", ""), ("a", ""), ("", "acgt"), ("acgt" * 30, "acgt" * 31), ("é" * 40 + "x", "x" + "é" * 40), ("abc", "abd")]
+    for k in range(150):
+        text = "".join(rng.choice("acgt" if k % 3 else "acgtéß語😀 ") for _ in range(rng.choice([5, 40, 300, 900])))
+        other = _edited(rng, text, rng.choice([0.0, 0.02, 0.1, 0.5]))
+        if k % 5 == 0:  # blocks changed round, so that anchors do not rise
+            cut = len(text) // 3
+            other = text[cut:2 * cut] + text[:cut] + _edited(rng, text[2 * cut:], 0.05)
+        if k % 7 == 0:
+            other = "".join(rng.choice("acgt") for _ in range(30)) + other + text[:20]
+        pairs.append((text, other))
+    queries, targets = map(list, zip(*pairs))
+    assert align_many(queries, targets).tolist() == [list(align(q, t)) for q, t in pairs]
+    assert align_many(queries, targets, 4).tolist() == [list(align(q, t, 4)) for q, t in pairs]
+    assert align_many([], []).shape == (0, 4)
+
+
+def test_edit_distances_side_by_side(monkeypatch):
+    rng = random.Random(12)
+    pairs = [("".join(rng.choice("abé") for _ in range(rng.choice([0, 1, 3, 63, 64, 65, 130]))),
+              "".join(rng.choice("abé") for _ in range(rng.choice([0, 1, 5, 64, 90])))) for _ in range(300)]
+    expected = [edit_distance(a, b) for a, b in pairs]
+    assert edit_distances(pairs).tolist() == expected
+    monkeypatch.setattr(alignment, "SHORT_AT_ONCE", 7)
+    assert edit_distances(pairs).tolist() == expected
