@@ -27,7 +27,8 @@ def _parser() -> argparse.ArgumentParser:
     flag = {"action": "store_true"}
     sides = ("target-gtf!", "query-gtf!")
     texts = ("target-fasta", "query-fasta", "target-fidx", "query-fidx")
-    mode("newMapping", *sides, *texts, "o!", allowed_types={"nargs": "*"}, useHomology=flag)
+    cutoff = {"type": float, "default": 1.0}
+    mode("newMapping", *sides, *texts, "o!", allowed_types={"nargs": "*"}, useHomology=flag, similarity=cutoff)
     mode("newTranscriptMapping", *sides, *texts, "mapping!", "o!", allowed_types={"nargs": "*"}, useHomology=flag)
     mode("newMappingVal", *sides, "target-fasta!", "query-fasta!", "target-fidx", "query-fidx", "mapping!", "o!")
     mode("filterGeneMappings", "mapping!", "o!", origins={"nargs": "+", "required": True, "choices": C.MAPPING_ORIGINS}, require_all=flag)
@@ -55,7 +56,7 @@ def _run(spark, a: argparse.Namespace) -> None:
 
     if a.mode == "newMapping":
         mapping.map_genes(spark, a.target_gtf, a.query_gtf, a.o, a.allowed_types, a.target_fasta, a.query_fasta,
-                          a.target_fidx, a.query_fidx, a.useHomology)
+                          a.target_fidx, a.query_fidx, a.useHomology, a.similarity)
     elif a.mode == "newTranscriptMapping":
         mapping.map_transcripts(spark, a.target_gtf, a.query_gtf, a.mapping, a.o, a.allowed_types, a.target_fasta,
                                 a.query_fasta, a.target_fidx, a.query_fidx, a.useHomology)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from annodelta import constants as C
 from annodelta.annotation import Annotation, is_protein_coding
+from annodelta.operators.similarity import as_query_signatures, similar_signatures
 from annodelta.operators.skew import salted_join
 from annodelta.session import cut_lineage
 
@@ -130,15 +131,19 @@ def map_genes(
     target_sequences: DataFrame | None = None,
     query_sequences: DataFrame | None = None,
     require_coding: bool = True,
+    cutoff: float = 1.0,
 ) -> DataFrame:
     """Gene pairs sharing at least one transcript signature, one row per gene pair.
 
-    The reported transcript pair is one with equal ids if there is any, otherwise the smallest
+    Below a ``cutoff`` of 1 they share transcripts at least so similar in structure. The reported transcript pair is one with equal ids if there is any, otherwise the smallest
     by (target id, query id). At least one gene of a pair has to be protein coding.
     """
     # Signatures are read by two joins and by the check for hot signatures; building them is what costs.
     t_sig = cut_lineage(transcript_signatures(target.features, allowed_types, target_sequences))
     q_sig = cut_lineage(transcript_signatures(query.features, allowed_types, query_sequences))
+    if cutoff < 1.0:
+        t_sig = cut_lineage(as_query_signatures(t_sig, similar_signatures(
+            t_sig, q_sig, target.features, query.features, cutoff, allowed_types, target_sequences is not None)))
 
     t_gene_sig, q_gene_sig = _per_gene(t_sig), _per_gene(q_sig)
     candidates = salted_join(

@@ -41,7 +41,7 @@ def _sequences(spark, sides, fastas, fais, types, use_homology):
 def map_genes(
     spark: SparkSession, target_gtf: str, query_gtf: str, out: str, types: list[str] | None = None,
     target_fasta: str | None = None, query_fasta: str | None = None,
-    target_fai: str | None = None, query_fai: str | None = None, use_homology: bool = False,
+    target_fai: str | None = None, query_fai: str | None = None, use_homology: bool = False, cutoff: float = 1.0,
 ) -> None:
     """Gene mapping to ``out``, unmapped protein coding genes to ``out``.unmapped."""
     target, query = _sides(spark, target_gtf, query_gtf)
@@ -49,7 +49,7 @@ def map_genes(
     t_seq, q_seq = _sequences(
         spark, (target, query), (target_fasta, query_fasta), (target_fai, query_fai), types, use_homology
     )
-    pairs = signature.map_genes(target, query, types, t_seq, q_seq)
+    pairs = signature.map_genes(target, query, types, t_seq, q_seq, cutoff=cutoff)
     writers.write_mapping(pairs, out)
     written = origins.parse_mapping_rows(tables.read_mapping(spark, out))
     writers.write_unmapped(

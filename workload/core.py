@@ -50,6 +50,30 @@ def render_mapping(pairs: DataFrame) -> DataFrame:
     )
 
 
+def signature_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene mapping by transcripts of similar structure."""
+    target, query = releases(spark, sf_dir)
+    return render_mapping(signature.map_genes(target, query, cutoff=SIMILAR))
+
+
+SIMILAR = 0.9
+_LISTS = """
+{p}_sig AS (SELECT contig, gene_id, transcript_id, list({{'t': type, 'n': "end" - start + 1}}
+    ORDER BY CASE WHEN fwd THEN start ELSE -start END, ln, pk, sk, px, sub) AS sig FROM {p}_feat GROUP BY 1, 2, 3)"""
+SIGNATURE_SIMILAR = REL + "," + _LISTS.format(p="t") + "," + _LISTS.format(p="q") + """,
+near AS (
+  SELECT contig, a, b FROM (SELECT DISTINCT contig, sig AS a FROM t_sig) JOIN (SELECT DISTINCT contig, sig AS b FROM q_sig) USING (contig)
+  WHERE least(len(a), len(b)) >= 0.9 * greatest(len(a), len(b)) - 1e-9
+    AND list_sum(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: CASE WHEN a[i].t = b[i].t
+      THEN least(a[i].n, b[i].n) / greatest(a[i].n, b[i].n) ELSE 0 END)) / greatest(len(a), len(b)) >= 0.9 - 1e-9),
+cand AS (
+  SELECT t.contig, t.gene_id AS tg, q.gene_id AS qg, t.transcript_id AS tt, q.transcript_id AS qt,
+    row_number() OVER (PARTITION BY t.contig, t.gene_id, q.gene_id
+      ORDER BY t.transcript_id <> q.transcript_id, t.transcript_id, q.transcript_id) AS rn
+  FROM t_sig t JOIN near n ON n.contig = t.contig AND n.a = t.sig JOIN q_sig q ON q.contig = n.contig AND q.sig = n.b),
+""" + SIG[SIG.index("coding AS ("):] + "\nSELECT * FROM map"
+
+
 def signature_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, query = releases(spark, sf_dir)
     pairs = signature.map_genes(target, query)
@@ -498,6 +522,7 @@ QUERIES = {
     "signature_gene_mapping_cds_only": (signature_allowed_types, SIG.replace("FROM t_feat GROUP BY 1, 2, 3", "FROM t_feat WHERE type = 'CDS' GROUP BY 1, 2, 3")
                                         .replace("FROM q_feat GROUP BY 1, 2, 3", "FROM q_feat WHERE type = 'CDS' GROUP BY 1, 2, 3")
                                         + "\nSELECT * FROM map"),
+    "signature_gene_mapping_similar": (signature_similar, SIGNATURE_SIMILAR),
     "signature_unmapped": (signature_unmapped, SIGNATURE_UNMAPPED),
     "transcript_mapping": (transcript_mapping, TRANSCRIPT_MATCHES + "\nSELECT * FROM tmap"),
     "transcript_unmapped": (transcript_unmapped, TRANSCRIPT_UNMAPPED),
