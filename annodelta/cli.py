@@ -8,6 +8,7 @@ import time
 from annodelta import constants as C
 from annodelta.compat import Compat
 from annodelta.session import build_session
+from annodelta.sinks.writers import write_overall_time, write_stage_times
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -29,7 +30,7 @@ def _parser() -> argparse.ArgumentParser:
     texts = ("target-fasta", "query-fasta", "target-fidx", "query-fidx")
     cutoff = {"type": float, "default": 1.0}
     mode("newMapping", *sides, *texts, "o!", allowed_types={"nargs": "*"}, useHomology=flag, similarity=cutoff)
-    mode("newTranscriptMapping", *sides, *texts, "mapping!", "o!", allowed_types={"nargs": "*"}, useHomology=flag)
+    mode("newTranscriptMapping", *sides, *texts, "mapping!", "o!", allowed_types={"nargs": "*"}, useHomology=flag, similarity=cutoff)
     mode("newMappingVal", *sides, "target-fasta!", "query-fasta!", "target-fidx", "query-fidx", "mapping!", "o!")
     mode("filterGeneMappings", "mapping!", "o!", origins={"nargs": "+", "required": True, "choices": C.MAPPING_ORIGINS}, require_all=flag)
     mode("analysis", *sides, "config!", "fasta", "fidx", "o!", mapping_only_cds=flag, ignore_strand=flag, compat=flag)
@@ -48,7 +49,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(f"annodelta-{args.mode}", args.master)
     began = time.perf_counter()
     _run(spark, args)
-    print(f"{args.mode}: {round((time.perf_counter() - began) * 1000)} ms")
+    spent = round((time.perf_counter() - began) * 1000)
+    if args.mode in ("newMapping", "newTranscriptMapping"):
+        write_overall_time(spark, spent, args.o)
+    elif args.mode == "firstAnalysis":
+        write_stage_times(spark, [(args.mode, spent)], args.o)
+    print(f"{args.mode}: {spent} ms")
 
 
 def _run(spark, a: argparse.Namespace) -> None:
@@ -59,7 +65,7 @@ def _run(spark, a: argparse.Namespace) -> None:
                           a.target_fidx, a.query_fidx, a.useHomology, a.similarity)
     elif a.mode == "newTranscriptMapping":
         mapping.map_transcripts(spark, a.target_gtf, a.query_gtf, a.mapping, a.o, a.allowed_types, a.target_fasta,
-                                a.query_fasta, a.target_fidx, a.query_fidx, a.useHomology)
+                                a.query_fasta, a.target_fidx, a.query_fidx, a.useHomology, a.similarity)
     elif a.mode == "newMappingVal":
         mapping.validate_mapping(spark, a.target_gtf, a.query_gtf, a.mapping, a.target_fasta, a.query_fasta, a.o,
                                  a.target_fidx, a.query_fidx)

@@ -16,6 +16,35 @@ def method_of(frames: Column, packages: list[str]) -> Column:
     return F.coalesce(F.get(inside, F.lit(0)), F.get(frames, F.lit(0)))
 
 
+# The letters of primitive types in method descriptors.
+PRIMITIVE_TYPES = {"V": "void", "Z": "boolean", "B": "byte", "C": "char", "S": "short", "I": "int", "J": "long", "F": "float", "D": "double"}
+_ONE_TYPE = r"\[*(?:L[^;]*;|[^\[])"
+
+
+def _type_name(code: Column) -> Column:
+    """One type of a descriptor as it is written in source text."""
+    core = F.ltrim(code, F.lit("["))
+    name = F.when(core.startswith("L") & core.endswith(";"), F.translate(core.substr(F.lit(2), F.length(core) - 2), "/", "."))
+    for letter, word in PRIMITIVE_TYPES.items():
+        name = name.when(core == letter, word)
+    return F.concat(name.otherwise(core), F.repeat(F.lit("[]"), F.length(code) - F.length(core)))
+
+
+def readable_descriptor(descriptor: Column) -> Column:
+    """A method descriptor as a list of parameter types and the returned type; other text as it is, nothing as ``()``."""
+    whole = F.coalesce(descriptor, F.lit(""))
+    close = F.instr(whole, ")")
+    params = F.regexp_extract_all(whole.substr(F.lit(2), close - 2), F.lit(_ONE_TYPE), F.lit(0))
+    shown = F.concat(F.lit("("), F.array_join(F.transform(params, _type_name), ", "), F.lit(")"),
+                     _type_name(whole.substr(close + 1, F.length(whole))))
+    return F.when(whole == "", "()").when(~whole.startswith("(") | (close == 0), whole).otherwise(shown)
+
+
+def one_line(text: Column) -> Column:
+    """Text without tabs and line ends, as a cell of a table; null is empty."""
+    return F.translate(F.coalesce(text, F.lit("")), "\t\r\n", "   ")
+
+
 def method_totals(events: DataFrame) -> DataFrame:
     """Per recording and method: CPU samples, allocations and allocated bytes.
 

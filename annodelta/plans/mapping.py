@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from annodelta import constants as C
 from annodelta.annotation import Annotation
 from annodelta.operators import genome as G
-from annodelta.operators import origins, signature
+from annodelta.operators import origins, signature, similarity
+from annodelta.session import cut_lineage
 from annodelta.sinks import writers
 from annodelta.sources import fasta, gtf, tables
 
@@ -61,9 +62,9 @@ def map_genes(
 def map_transcripts(
     spark: SparkSession, target_gtf: str, query_gtf: str, mapping: str, out: str, types: list[str] | None = None,
     target_fasta: str | None = None, query_fasta: str | None = None,
-    target_fai: str | None = None, query_fai: str | None = None, use_homology: bool = False,
+    target_fai: str | None = None, query_fai: str | None = None, use_homology: bool = False, cutoff: float = 1.0,
 ) -> None:
-    """All structurally equal transcript pairs inside the gene pairs of a mapping file."""
+    """All transcript pairs of equal (below a ``cutoff`` of 1, of similar) structure inside the gene pairs of a mapping file."""
     target, query = _sides(spark, target_gtf, query_gtf)
     types = allowed_types(types)
     t_seq, q_seq = _sequences(
@@ -72,10 +73,12 @@ def map_transcripts(
     pairs = origins.resolve_mapping(
         origins.parse_mapping_rows(tables.read_mapping(spark, mapping)), target.genes, query.genes
     )
-    matches = signature.map_transcripts(
-        pairs, signature.transcript_signatures(target.features, types, t_seq),
-        signature.transcript_signatures(query.features, types, q_seq),
-    )
+    t_sig = cut_lineage(signature.transcript_signatures(target.features, types, t_seq))
+    q_sig = cut_lineage(signature.transcript_signatures(query.features, types, q_seq))
+    if cutoff < 1.0:
+        t_sig = similarity.as_query_signatures(t_sig, similarity.similar_signatures(
+            t_sig, q_sig, target.features, query.features, cutoff, types, t_seq is not None))
+    matches = signature.map_transcripts(pairs, t_sig, q_sig)
     writers.write_mapping(matches, out)
     written = origins.parse_mapping_rows(tables.read_mapping(spark, out))
     writers.write_unmapped(

@@ -166,7 +166,7 @@ def extract_sequences(
 
 def aggregate_profiles(spark: SparkSession, events: str, out: str, packages: list[str]) -> None:
     """Per-method totals of exported profiler recordings, with the top lists and a summary."""
-    rows = tables.read_profile_events(spark, events).withColumn("method", profile.method_of(F.col("frames"), packages))
+    rows = tables.read_profile_events(spark, events).withColumn("method", profile.one_line(profile.method_of(F.col("frames"), packages)))
     totals = profile.method_totals(rows)
     writers.write_tsv(profile.recording_summary(rows), out + "/summary")
     writers.write_tsv(profile.top_methods(totals, "cpu_samples"), out + "/top_cpu")

@@ -6,12 +6,13 @@ sorted, so concatenating the parts gives the sorted file and no single task hold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annodelta import constants as C
 from annodelta.compat import Compat
 from annodelta.operators.difference import ordered_report
+from annodelta.operators.profile import task_totals
 from annodelta.operators.signature import render_origins
 
 
@@ -62,3 +63,15 @@ def write_fasta(sequences: DataFrame, path: str) -> None:
     sequences.select(
         F.col("transcript_id"), F.concat(F.lit(">"), "transcript_id", F.lit("\n"), "sequence").alias("value")
     ).write.mode("overwrite").partitionBy("transcript_id").text(path)
+
+
+def write_overall_time(spark: SparkSession, milliseconds: int, path: str) -> None:
+    """How long a mapping took, beside its result."""
+    spark.createDataFrame([(str(milliseconds),)], "value string").write.mode("overwrite").text(path + ".overall_time")
+
+
+def write_stage_times(spark: SparkSession, stages: list[tuple[str, int]], path: str) -> None:
+    """Milliseconds of every named task, repeated ones summed."""
+    log = spark.createDataFrame(stages, "task string, millis long")
+    write_tsv(task_totals(log).select(F.col("task").alias("Task Name"), F.col("millis").alias("Milliseconds")).orderBy("Task Name"),
+              path + ".time_eval")

@@ -164,6 +164,9 @@ def test_mapping_modes_chain(spark, folder, tmp_path):
         "contig\tqueryId\ttargetId\tqueryTranscriptId\ttargetTranscriptId\tmapping_origins",
         "2\tG4\tG3\tT4\tT3\tNAME_MAPPING,STRUCTURE_BASED_MAPPING,DISTANCE:3701",
     ])
+    assert len(read_text(out + ".overall_time")) == 1 and int(read_text(out + ".overall_time")[0]) > 0
+    main(["newMapping", *sides, "--o", out + ".s", "--similarity", "0.7"])
+    assert set(read_text(out)) <= set(read_text(out + ".s"))
     assert sorted(r.split("\t")[1] for r in read_text(out + ".unmapped") if not r.startswith("contig")) == ["G1", "G1", "G2", "G2"]
     main(["newMapping", *sides, "--o", out + ".h", "--useHomology", "--target-fasta", genome, "--query-fasta", genome])
     assert len(read_text(out + ".h")) == 2
@@ -199,6 +202,7 @@ def test_report_modes(spark, folder, tmp_path):
     main(["firstAnalysis", *sides, "--o", str(tmp_path / "first")])
     found = read_text(str(tmp_path / "first"))
     assert "G3\tgene\tmissingInFile2" in found and "G1\tgene\tlength" in found
+    assert read_text(str(tmp_path / "first.time_eval"))[1].startswith("firstAnalysis\t")
     events = tmp_path / "events.json"
     events.write_text("\n".join(json.dumps(e) for e in [
         {"kind": "cpu", "ts": "2024-01-01T00:00:00Z", "frames": ["java.A", "my.B"], "bytes": 0, "recording": "r"},

@@ -54,3 +54,15 @@ def test_single_regions_by_sequence(spark):
     assert similarity.similar_signatures(sig, sig, frame, frame, 0.9).count() == 4
     with pytest.raises(ValueError):
         similarity.similar_signatures(sig, sig, frame, frame, 0.5)
+
+
+def test_readable_descriptors(spark):
+    from pyspark.sql import functions as F
+
+    from annodelta.operators import profile
+
+    cases = {"(ILjava/lang/String;[[D)V": "(int, java.lang.String, double[][])void", "()J": "()long", "": "()", None: "()",
+             "plain": "plain", "(broken": "(broken", "([La/B;Z)[Lc/D$E;": "(a.B[], boolean)c.D$E[]"}
+    frame = spark.createDataFrame([(c,) for c in cases], "d string")
+    assert {r[0]: r[1] for r in frame.select("d", profile.readable_descriptor(F.col("d"))).collect()} == cases
+    assert spark.range(1).select(profile.one_line(F.lit("a\tb\r\nc"))).first()[0] == "a b  c"

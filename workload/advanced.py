@@ -308,6 +308,24 @@ def analysis_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference.difference_table(pairs, target, query, SETTINGS)
 
 
+def descriptor_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method descriptors built from the line items, as a reader sees them."""
+    letters = "substr('ZBCSIJFD', cast(l_quantity as int) % 8 + 1, 1)"
+    raw = F.expr(f"""concat('(', repeat('[', cast(l_linenumber % 3 as int)), {letters}, case when l_linenumber > 3 then
+        concat('L', 'org/', l_returnflag, '/', l_linestatus, ';') else '' end, ')', repeat('[', cast(l_linenumber % 2 as int)), case when l_linenumber > 5
+        then 'Lorg/Sample;' else 'V' end)""")
+    shown = table(spark, sf_dir, "lineitem").select(profile.readable_descriptor(raw).alias("descriptor"))
+    return shown.groupBy("descriptor").agg(F.count("*").alias("n"))
+
+
+DESCRIPTOR_PRINT = """
+SELECT descriptor, count(*) AS n FROM (SELECT '(' ||
+    ['boolean', 'byte', 'char', 'short', 'int', 'long', 'float', 'double'][CAST(l_quantity AS INTEGER) % 8 + 1] || repeat('[]', l_linenumber % 3)
+    || CASE WHEN l_linenumber > 3 THEN ', org.' || l_returnflag || '.' || l_linestatus ELSE '' END || ')'
+    || CASE WHEN l_linenumber > 5 THEN 'org.Sample' ELSE 'void' END || repeat('[]', l_linenumber % 2) AS descriptor FROM lineitem)
+GROUP BY descriptor"""
+
+
 def _ranked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, query = releases(spark, sf_dir)
     ranked = pairing.pair_by_rank(target.features, query.features)
@@ -511,6 +529,7 @@ QUERIES = {
     "model_jaccard": (model_jaccard, MODEL_JACCARD),
     "chain_similarity": (chain_similarity, CHAIN_SIMILARITY),
     "reciprocal_best_hits": (reciprocal_best_hits, RECIPROCAL),
+    "descriptor_print": (descriptor_print, DESCRIPTOR_PRINT),
     "bipartite_matching": (bipartite_matching, BIPARTITE_MATCHING),
     "exon_pairing": (exon_pairing, None),
     "analysis_differences": (analysis_differences, None),
