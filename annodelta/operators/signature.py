@@ -210,8 +210,9 @@ def map_genes_by_coding_sequence(target_cds: DataFrame, query_cds: DataFrame) ->
         return cds.groupBy("contig", digest.alias("digest"), "gene_id").agg(F.min("transcript_id").alias(f"{side}_tx")) \
             .withColumnRenamed("gene_id", f"{side}_gene")
 
+    # Transcripts without coding sequence share one digest, so that key is as hot as there are genes with them.
     return (
-        keyed(target_cds, "t").join(keyed(query_cds, "q"), ["contig", "digest"])
+        salted_join(cut_lineage(keyed(target_cds, "t")), cut_lineage(keyed(query_cds, "q")), ["contig", "digest"])
         .groupBy("contig", "t_gene", "q_gene")
         .agg(F.min(F.struct("t_tx", "q_tx")).alias("p"))
         .select(
