@@ -63,6 +63,7 @@ WEIGHT_CHAIN = 0.2
 WEIGHT_ENDS = 0.55
 WEIGHT_DISTANCE = 0.5
 MIN_MATCH_SCORE = 0.1
+MODEL_SHARE = 0.5
 MIDPOINT_DECAY_BP = 10_000.0
 START_DECAY_BP = 150.0
 STOP_DECAY_BP = 250.0

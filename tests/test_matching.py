@@ -39,6 +39,17 @@ def test_every_way_finds_the_same_matching(spark, monkeypatch, most):
     assert sorted(map(tuple, matching.match_transcripts(t, q, tf, qf).collect())) == sorted(map(tuple, exact))
 
 
+def test_reciprocal_hits_do_not_depend_on_the_parts(spark, monkeypatch):
+    (t, tf), (q, qf) = release(spark, 1, "t", 7), release(spark, 2, "q", 9)
+    whole = sorted(map(tuple, matching.reciprocal_model_hits(t, q, tf, qf).collect()))
+    assert len({r[3] for r in whole}) == len({r[4] for r in whole}) == len(whole) > 2
+    monkeypatch.setattr(matching, "MAX_CELLS_PER_LOCUS", 10)
+    monkeypatch.setattr(matching, "PART_TRANSCRIPTS", 3)
+    assert sorted(map(tuple, matching.reciprocal_model_hits(t, q, tf, qf).collect())) == whole
+    same = matching.reciprocal_model_hits(t, t, tf, tf).collect()
+    assert same and all(r.score >= 0.5 for r in same)  # each has its own chain at least
+
+
 def _best_by_enumeration(units):
     """The pairs of largest total, then of largest total tie value, over all one-to-one choices."""
     n, m = 4, 5

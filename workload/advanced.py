@@ -16,7 +16,7 @@ from annodelta.operators import (
 )
 from annodelta.session import cut_lineage
 from workload.core import REL, RANKED, STRANDED, _located
-from workload.matching_sql import MATCH
+from workload.matching_sql import MATCH, PAIRS
 from workload.release import releases, spread, table
 
 # --- genome text taken from the documents ------------------------------------------------
@@ -286,6 +286,22 @@ BIPARTITE_MATCHING = REL + "," + _painted("t") + "," + _painted("q") + MATCH + "
 SELECT contig, fwd, locus, target_transcript_id, query_transcript_id, score FROM match"""
 
 
+def reciprocal_model_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of a locus that are each other's most similar model."""
+    target, query = (with_introns(x) for x in releases(spark, sf_dir))
+    return matching.reciprocal_model_hits(
+        target.transcripts.where("start is not null"), query.transcripts.where("start is not null"), target.features, query.features)
+
+
+RECIPROCAL_MODELS = REL + "," + _painted("t") + "," + _painted("q") + PAIRS + """,
+hit AS (SELECT contig, fwd, locus, t, q, CAST(floor((0.5::DOUBLE * (CASE WHEN whole > 0 THEN shared / whole ELSE 0 END)
+    + 0.5::DOUBLE * chain) * 1000000 + 0.5001) AS BIGINT) AS units FROM pair JOIN chained USING (a, b)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY contig, fwd, locus, t ORDER BY units DESC, q) AS rt,
+    row_number() OVER (PARTITION BY contig, fwd, locus, q ORDER BY units DESC, t) AS rq FROM hit)
+SELECT contig, fwd, locus, t AS target_transcript_id, q AS query_transcript_id, units / 1000000 AS score FROM ranked
+WHERE rt = 1 AND rq = 1"""
+
+
 def exon_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All region pairs of the transcripts known to both releases."""
     target, query = (with_introns(x) for x in releases(spark, sf_dir))
@@ -530,6 +546,7 @@ QUERIES = {
     "chain_similarity": (chain_similarity, CHAIN_SIMILARITY),
     "reciprocal_best_hits": (reciprocal_best_hits, RECIPROCAL),
     "descriptor_print": (descriptor_print, DESCRIPTOR_PRINT),
+    "reciprocal_model_hits": (reciprocal_model_hits, RECIPROCAL_MODELS),
     "bipartite_matching": (bipartite_matching, BIPARTITE_MATCHING),
     "exon_pairing": (exon_pairing, None),
     "analysis_differences": (analysis_differences, None),
