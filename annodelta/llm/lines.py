@@ -5,8 +5,9 @@ every position) are hashed once each, and the minimum under sixteen exclusive-or
 signature. Bands of four minima put lines into buckets; in a bucket every line is compared with the first one. Buckets that
 this leaves in several components are open: all their other lines are joined exactly, by a prefix filter that loses no pair. Two
 sets of a and b shingles that are similar enough share 4/9 (a + b) of them, so in an order common to all lines (rarest
-first) they meet within the first (5a - 4b)/9 + 1 and (5b - 4a)/9 + 1. What a template shares stands behind these, so the
-pairs of a large family of lines are not all met. Compared lines are linked if the exact Jaccard similarity of their shingle sets is 0.8 or more. Classes are connected
+first) they meet within the first (5a - 4b)/9 + 1 and (5b - 4a)/9 + 1. What a template shares stands behind these, and 512
+parity bits of each line's shingles turn down, inside the join, pairs that differ in more than (a + b)/9 bits. Of the pairs
+left, one for every two classes is compared first; the others only if that did not join their classes. Compared lines are linked if the exact Jaccard similarity of their shingle sets is 0.8 or more. Classes are connected
 components of links and of equality; the first line of a class (least doc_id, then line number) stays.
 
 Defined cases: null text has no lines to remove; lines without a word are left alone and belong to no class; lines
@@ -29,6 +30,8 @@ MINIMA, BANDS, BAND_ROWS = 16, 8, 4
 NEAR = (4, 5)
 #: Lines with one shingle that meet in one cell of the exact join.
 CELL_LINES = 1_000
+#: Words of 64 bits in a line's parity bits.
+PARITY_WORDS = 8
 
 
 def _pattern(k: int) -> int:
@@ -88,8 +91,23 @@ def open_lines(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
     return pairs.join(apart.select("a"), "a", "left_semi").select(F.col("b").alias("k1")).distinct()
 
 
+def parity_bits(shingled: DataFrame) -> DataFrame:
+    """k1, k2, bits (a struct of words): per bit, whether an odd number of the line's shingles fall on it; ``shingled``: k1, k2, h.
+
+    Each bit in which two lines differ needs a shingle of its own that only one of them has. So the differing bits never
+    exceed the shingles that are not shared, and a pair with too many of them cannot be near enough.
+    """
+    words = (F.bit_xor(F.expr(f"if(h & {PARITY_WORDS - 1} = {w}, shiftleft(1L, cast(shiftright(h, 32) & 63 as int)), 0L)"))
+             .alias(f"w{w}") for w in range(PARITY_WORDS))
+    return shingled.groupBy("k1", "k2").agg(*words).select(
+        "k1", "k2", F.struct(*(f"w{w}" for w in range(PARITY_WORDS))).alias("bits"))
+
+
 def prefix_pairs(rooted: DataFrame) -> DataFrame:
-    """(a, b): first keys of all lines of ``rooted`` (k1, k2, line, root) of different roots that may be near enough."""
+    """a, b, ra, rb, differing: first keys of all lines of ``rooted`` (k1, k2, line, root) of different roots that may be near enough.
+
+    ra and rb are hashes of their roots, differing counts unequal parity bits. The parity bits travel with the prefix, so that the join itself turns down what shares a prefix by its template only.
+    """
     keys = ["k1", "k2"]
     shingled = rooted.select(*keys, _shingle_set("line").alias("_set")).select(
         *keys, F.size("_set").alias("n"), F.explode("_set").alias("h"))
@@ -98,22 +116,32 @@ def prefix_pairs(rooted: DataFrame) -> DataFrame:
     met = shingled.join(times, "h").groupBy(*keys, "n").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("_met"))
     alone = F.col("n") - F.size("_met")
     wide = F.expr(f"n div {NEAR[1]}") + 1 - alone
-    placed = met.where(wide > 0).join(rooted.select(*keys, "root"), keys).select(
-        *keys, "root", "n", alone.alias("_alone"), F.posexplode(F.slice("_met", F.lit(1), wide)).alias("_at", "_x")).select(
-        F.struct("n", *keys).alias("line"), "root", (F.col("_at") + F.col("_alone")).alias("at"), F.col("_x.h").alias("h"),
-        F.ceil(F.col("_x.times") / CELL_LINES).cast("int").alias("cells"))
-    placed = cut_lineage(placed)
+    named = rooted.select(*keys, F.xxhash64("root").alias("root")).join(parity_bits(shingled), keys)
+    placed = cut_lineage(met.where(wide > 0).select(*keys, "n", alone.alias("_alone"), F.slice("_met", F.lit(1), wide).alias("_met")).join(
+        named, keys))
+
+    def entries(side: str) -> DataFrame:
+        """h, cells and a struct named ``side`` for each place in a line's prefix."""
+        return placed.select(*keys, "n", "root", "bits", "_alone", F.posexplode("_met").alias("_at", "_x")).select(
+            F.col("_x.h").alias("h"), F.ceil(F.col("_x.times") / CELL_LINES).cast("int").alias("cells"),
+            F.struct("n", *keys, "root", (F.col("_at") + F.col("_alone")).alias("at"), "bits").alias(side))
+
     total = NEAR[0] + NEAR[1]
     # The smaller line of a pair never needs more than a ninth of its shingles.
-    small = placed.where(F.col("at") * total <= F.col("line.n")).select(
-        "h", F.pmod(F.xxhash64("line"), "cells").cast("int").alias("cell"),
-        F.col("line").alias("x"), F.col("root").alias("_rx"), F.col("at").alias("_ax"))
-    large = placed.select("h", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
-                          F.col("line").alias("y"), F.col("root").alias("_ry"), F.col("at").alias("_ay"))
-    reach = [(F.col(p) * total <= F.col(f"{own}.n") * NEAR[1] - F.col(f"{other}.n") * NEAR[0])
-             for p, own, other in (("_ax", "x", "y"), ("_ay", "y", "x"))]
-    found = small.join(large, ["h", "cell"]).where((F.col("x") < F.col("y")) & (F.col("_rx") != F.col("_ry")) & reach[0] & reach[1])
-    return found.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
+    small = entries("x").where(F.col("x.at") * total <= F.col("x.n")).select(
+        "h", F.pmod(F.xxhash64("x.k1", "x.k2"), "cells").cast("int").alias("cell"), "x")
+    large = entries("y").select("h", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "y")
+    reach = [(F.col(f"{own}.at") * total <= F.col(f"{own}.n") * NEAR[1] - F.col(f"{other}.n") * NEAR[0])
+             for own, other in (("x", "y"), ("y", "x"))]
+    differing = sum((F.bit_count(F.col(f"x.bits.w{w}").bitwiseXOR(F.col(f"y.bits.w{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
+    near = differing * total <= (F.col("x.n") + F.col("y.n")) * (NEAR[1] - NEAR[0])
+    before = F.struct("x.n", "x.k1", "x.k2") < F.struct("y.n", "y.k1", "y.k2")
+    found = small.join(large, ["h", "cell"]).where((F.col("x.root") != F.col("y.root")) & reach[0] & reach[1] & near & before)
+    turned = F.col("x.k1") > F.col("y.k1")
+    return found.select(
+        F.when(turned, F.col("y.k1")).otherwise(F.col("x.k1")).alias("a"), F.when(turned, F.col("x.k1")).otherwise(F.col("y.k1")).alias("b"),
+        F.when(turned, F.col("y.root")).otherwise(F.col("x.root")).alias("ra"),
+        F.when(turned, F.col("x.root")).otherwise(F.col("y.root")).alias("rb"), differing.alias("differing")).distinct()
 
 
 def _shingle_set(line: str) -> Column:
@@ -145,6 +173,32 @@ def verified_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(F.exists(sets, near)).select(F.col("_na").alias("a"), F.col("_nb").alias("b"))
 
 
+def root_links(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): the roots of both ends of ``links`` (node names); ``rooted``: node, root."""
+    roots = rooted.select("node", "root")
+    return links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(
+        F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+
+
+def joined_roots(texts: DataFrame, rooted: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root): roots that the pairs of ``found`` join, under the smallest root of each new class.
+
+    For every two roots the most promising pair is compared first. Pairs whose roots this joins need no more comparison; all
+    others are compared.
+    """
+    best = found.groupBy(F.least("ra", "rb").alias("_r"), F.greatest("ra", "rb").alias("_s")).agg(
+        F.min(F.struct("differing", "a", "b")).alias("_best")).select("_best.a", "_best.b")
+    links = cut_lineage(root_links(rooted, verified_links(texts, best)))
+    joined = components(links).select(F.xxhash64("node").alias("_r"), F.xxhash64("root").alias("_to"))
+    left = joined.select(F.col("_r").alias("ra"), F.col("_to").alias("_ta"))
+    right = joined.select(F.col("_r").alias("rb"), F.col("_to").alias("_tb"))
+    rest = found.join(left, "ra", "left").join(right, "rb", "left").where(
+        F.coalesce("_ta", "ra") != F.coalesce("_tb", "rb")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = cut_lineage(root_links(rooted, verified_links(texts, rest)))
+    return components(links.union(more))
+
+
 def _node(k1: str, k2: str) -> Column:
     return F.concat(F.hex(k1), F.lit("-"), F.hex(k2))
 
@@ -158,11 +212,14 @@ def line_classes(docs: DataFrame) -> DataFrame:
     roots = components(stars)
     node = _node("k1", "k2").alias("node")
     rooted = cut_lineage(texts.select("k1", "k2", "line", node).join(roots, "node", "left").select(
-        "k1", "k2", "line", F.coalesce("root", "node").alias("root")))
+        "k1", "k2", "line", "node", F.coalesce("root", "node").alias("root")))
     unsettled = cut_lineage(rooted.join(open_lines(pairs, rooted), "k1", "left_semi"))
-    more = cut_lineage(verified_links(texts, prefix_pairs(unsettled)))
-    if not more.isEmpty():
-        roots = components(stars.union(more))
+    found = cut_lineage(prefix_pairs(unsettled))
+    if not found.isEmpty():
+        joined = cut_lineage(joined_roots(texts, rooted, found))
+        nodes = roots.union(joined.select("node", F.col("node").alias("root"))).distinct()
+        roots = nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
+            "node", F.coalesce("_to", "root").alias("root"))
     occurrences = lines.select("doc_id", "no", _node("k1", "k2").alias("node"))
     repeated = occurrences.groupBy("node").agg(F.count("*").alias("_times")).where("_times > 1").select("node")
     classed = repeated.join(roots, "node", "full_outer").select("node", F.coalesce("root", "node").alias("class_id"))
