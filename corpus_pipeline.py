@@ -26,10 +26,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of smallest id of every SimHash class; of rows with that id, the one of smallest text."""
-    classes = trie.near_classes(trie.document_prints(docs.where(F.col("doc_id").isNotNull())))
-    kept = classes.select(F.col("component_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id") == F.col("_kept"))
+    """One document of every SimHash class: that of smallest id. Rows of one id with different texts are different documents."""
+    name = F.xxhash64(F.col("doc_id").cast("long"), F.lit("text"), "text")
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_name", name)
+    classes = trie.near_classes(trie.document_prints(named.select(F.col("_name").alias("doc_id"), "text")))
+    members = classes.select(F.col("doc_id").alias("_name"), "component_id").distinct().join(
+        named.select("_name", F.col("doc_id").alias("_id")).distinct(), "_name")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("_id", "_name")).alias("_kept")).select("_kept.*").distinct()
+    found = named.join(kept.withColumnRenamed("_name", "_kept"), (F.col("_name") == F.col("_kept")) & (F.col("doc_id") == F.col("_id")))
     first = Window.partitionBy("_kept").orderBy(F.col("text").asc_nulls_first())
     return found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(docs.columns).unionByName(
         docs.where(F.col("doc_id").isNull()))
