@@ -26,3 +26,12 @@ def test_stages_on_awkward_rows(spark, docs, empty):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() > 0, name
         assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_near_copies_with_one_id_and_different_texts(spark):
+    clean = " ".join(f"clean{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, clean), (7, clean), (7, other), (7, other), (9, other), (None, other)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    key = lambda row: (row[0] is None, row)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == [(1, clean), (7, other), (None, other)]
