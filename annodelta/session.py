@@ -48,7 +48,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if context.master.split("[")[0] != "local":  # local-cluster has executors of its own
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="annodelta-checkpoint-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(folder)
