@@ -14,6 +14,7 @@ from annodelta.compat import Compat
 from annodelta.operators.difference import ordered_report
 from annodelta.operators.profile import task_totals
 from annodelta.operators.signature import render_origins
+from annodelta.sources.fasta_source import FastaSource, qualified, register
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
@@ -59,10 +60,10 @@ def write_differences(differences: DataFrame, path: str, compat: Compat = Compat
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:
-    """One folder per transcript id with its header and sequence (id, sequence)."""
-    sequences.select(
-        F.col("transcript_id"), F.concat(F.lit(">"), "transcript_id", F.lit("\n"), "sequence").alias("value")
-    ).write.mode("overwrite").partitionBy("transcript_id").text(path)
+    """Records (transcript_id, sequence) by id in few files, each with its index; ``read_genome`` takes the folder."""
+    register(sequences.sparkSession)
+    records = sequences.select("transcript_id", "sequence").repartitionByRange("transcript_id").sortWithinPartitions("transcript_id")
+    records.write.format(FastaSource.name()).mode("overwrite").save(qualified(sequences.sparkSession, path))
 
 
 def write_overall_time(spark: SparkSession, milliseconds: int, path: str) -> None:

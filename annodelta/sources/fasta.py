@@ -2,7 +2,7 @@
 
 The index gives the byte position of every contig, so a file is cut into ranges that tasks read
 independently; no task sees more than its ranges. Block-compressed files (BGZF) are cut at their
-compression blocks instead.
+compression blocks instead. The data sources behind it are in ``fasta_source``.
 """
 
 from __future__ import annotations
@@ -13,13 +13,28 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annodelta.operators.genome import CHUNK_BASES
-
-BLOCKS_PER_TASK_ROW = 64
-BGZF_HEADER = 18
+from annodelta.session import cut_lineage
+from annodelta.sources.fasta_source import (
+    BGZF_HEADER,
+    BGZF_MARKS,
+    BLOCK_BYTES,
+    BLOCKS_PER_RUN,
+    PUSHDOWN,
+    SPLIT_BYTES,
+    BlockSource,
+    FastaSource,
+    block_length,
+    locate,
+    open_file,
+    qualified,
+    register,
+)
+
+RANGES_PER_GROUP = 1024
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
@@ -29,106 +44,63 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
     ).csv(path, sep="\t", mode="DROPMALFORMED")
 
 
-def _open(path: str):
-    filesystem, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    return filesystem.open_input_file(name)
-
-
 def is_block_compressed(path: str) -> bool:
-    with _open(path) as handle:
-        return handle.read(4) == b"\x1f\x8b\x08\x04"
-
-
-def read_genome(spark: SparkSession, fasta: str, fai: str | None = None, chunk: int = CHUNK_BASES) -> DataFrame:
-    """Chunked genome (contig, chunk_id, chunk_start, seq) of an indexed FASTA file."""
-    index = read_fai(spark, fai or fasta + ".fai")
-    return _from_blocks(spark, fasta, index, chunk) if is_block_compressed(fasta) else _from_plain(fasta, index, chunk)
-
-
-def _from_plain(fasta: str, index: DataFrame, chunk: int) -> DataFrame:
-    base = F.expr(f"chunk_id * {chunk}")
-    last = F.least(base + chunk, F.col("bases")) - 1
-
-    def byte(position):
-        lines = F.expr("line_bases")
-        return F.col("offset") + F.floor(position / lines) * F.col("line_width") + position % lines
-
-    ranges = (
-        index.where("bases > 0")
-        .withColumn("chunk_id", F.explode(F.expr(f"sequence(0L, (bases - 1) div {chunk})")))
-        .select("contig", "chunk_id", byte(base).alias("first"), byte(last).alias("last"))
-    )
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with _open(fasta) as handle:
-            for batch in batches:
-                texts = []
-                for first, last_byte in zip(batch["first"], batch["last"]):
-                    handle.seek(int(first))
-                    raw = handle.read(int(last_byte - first + 1))
-                    texts.append(raw.replace(b"\n", b"").replace(b"\r", b"").decode("ascii"))
-                yield pd.DataFrame({
-                    "contig": batch["contig"], "chunk_id": batch["chunk_id"],
-                    "chunk_start": batch["chunk_id"] * chunk + 1, "seq": texts,
-                })
-
-    return ranges.repartition("contig", "chunk_id").mapInPandas(
-        read, "contig string, chunk_id long, chunk_start long, seq string"
-    )
-
-
-def _block_index(fasta: str) -> Iterator[tuple[int, int, int]]:
-    """(compressed offset, uncompressed offset, number of blocks) of runs of blocks; reads headers only."""
-    with _open(fasta) as handle:
-        size = handle.size()
-        at = plain = count = 0
-        run = (0, 0)
-        while at < size:
-            handle.seek(at)
-            header = handle.read(BGZF_HEADER)
-            length = struct.unpack_from("<H", header, 16)[0] + 1
-            handle.seek(at + length - 4)
-            if count == BLOCKS_PER_TASK_ROW:
-                yield (*run, count)
-                run, count = (at, plain), 0
-            plain += struct.unpack("<I", handle.read(4))[0]
-            at += length
-            count += 1
-        if count:
-            yield (*run, count)
-
-
-def _from_blocks(spark: SparkSession, fasta: str, index: DataFrame, chunk: int) -> DataFrame:
-    """One task walks the block headers; decompression runs on all of them, a run of blocks a row."""
-    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in batches:
-            pending = []
-            for entry in _block_index(fasta):
-                pending.append(entry)
-                if len(pending) == 10_000:
-                    yield pd.DataFrame(pending, columns=["at", "plain", "blocks"])
-                    pending = []
-            if pending:
-                yield pd.DataFrame(pending, columns=["at", "plain", "blocks"])
-
+    filesystem, name = locate(path)
+    if filesystem.get_file_info(name).type == pafs.FileType.Directory:
+        return False
+    with filesystem.open_input_file(name) as handle:
+        return handle.read(4) == BGZF_MARKS[0][1]
+
+
+def read_genome(
+    spark: SparkSession, fasta: str, fai: str | None = None, chunk: int = CHUNK_BASES, split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """Chunked genome (contig, chunk_id, chunk_start, seq) of an indexed FASTA file, or of a folder of plain ones."""
+    register(spark)
+    fasta, fai = qualified(spark, fasta), fai and qualified(spark, fai)
+    if is_block_compressed(fasta):
+        return _from_blocks(spark, fasta, read_fai(spark, fai or fasta + ".fai"), chunk, split_bytes)
+    return spark.read.format(FastaSource.name()).options(
+        path=fasta, fai=fai or "", chunk=chunk, splitBytes=split_bytes, pushdown=spark.conf.get(PUSHDOWN, "false")).load()
+
+
+def block_runs(spark: SparkSession, fasta: str, split_bytes: int) -> DataFrame:
+    """(at, plain, blocks): where runs of blocks begin in the file and in its text.
+
+    Every byte range lists its own blocks. What lies before a range is summed in groups of ranges, then over the groups.
+    """
+    ranges = cut_lineage(spark.read.format(BlockSource.name()).options(path=fasta, splitBytes=split_bytes).load()).withColumn(
+        "group", F.expr(f"number div {RANGES_PER_GROUP}"))
+    before = (Window.unboundedPreceding, -1)
+    groups = ranges.groupBy("group").agg(F.sum("text_bytes").alias("group_bytes"))
+    across = Window.orderBy("group").rowsBetween(*before)  # a row for every 16 GB of file
+    groups = groups.select("group", F.coalesce(F.sum("group_bytes").over(across), F.lit(0)).alias("group_start"))
+    inside = Window.partitionBy("group").orderBy("number").rowsBetween(*before)
+    placed = ranges.withColumn("start", F.coalesce(F.sum("text_bytes").over(inside), F.lit(0))).join(groups, "group")
+    return placed.select("group_start", "start", F.explode("runs").alias("run")).select(
+        "run.at", (F.col("group_start") + F.col("start") + F.col("run.inner")).alias("plain"), "run.blocks")
+
+
+def _from_blocks(spark: SparkSession, fasta: str, index: DataFrame, chunk: int, split_bytes: int) -> DataFrame:
+    """Blocks are found by byte ranges and decompressed on all tasks, a run of blocks a row."""
     def inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with _open(fasta) as handle:
+        with open_file(fasta) as handle:
             for batch in batches:
                 for at, plain, blocks in zip(batch["at"], batch["plain"], batch["blocks"]):
                     handle.seek(int(at))
                     parts = []
                     for _ in range(int(blocks)):
                         header = handle.read(BGZF_HEADER)
-                        length = struct.unpack_from("<H", header, 16)[0] + 1
-                        body = handle.read(length - BGZF_HEADER)
+                        body = handle.read(block_length(header, 0) - BGZF_HEADER)
                         parts.append(zlib.decompress(body[:-8], wbits=-15))
+                        if zlib.crc32(parts[-1]) != struct.unpack_from("<I", body, len(body) - 8)[0]:
+                            raise ValueError(f"damaged block in the run at byte {at}")
                     text = b"".join(parts)
                     yield pd.DataFrame({"plain": [plain], "plain_end": [plain + len(text)], "text": [text.decode("ascii")]})
 
-    runs = spark.range(1).mapInPandas(headers, "at long, plain long, blocks int").repartition("at")
-    texts = runs.mapInPandas(inflate, "plain long, plain_end long, text string")
+    texts = block_runs(spark, fasta, split_bytes).repartition("at").mapInPandas(inflate, "plain long, plain_end long, text string")
     # A run of blocks covers at most 4 MiB of text: place both sides on a grid of that size.
-    grid = BLOCKS_PER_TASK_ROW * 65536
+    grid = BLOCKS_PER_RUN * BLOCK_BYTES
     contigs = index.where("bases > 0").withColumn(
         "stop", F.expr("offset + ((bases - 1) div line_bases) * line_width + (bases - 1) % line_bases + 1")
     )

@@ -6,10 +6,12 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from annodelta.cli import main
 from annodelta.operators.genome import fetch_spans
-from annodelta.sources import fasta, gtf
+from annodelta.sinks.writers import write_fasta
+from annodelta.sources import fasta, fasta_source, gtf
 from annodelta.streaming.gtf_stream import stream_gtf_lines
 
 
@@ -91,10 +93,10 @@ def read_text(path):
 
 @pytest.mark.parametrize("name", ["genome.fa", "packed.fa.gz"])
 @pytest.mark.parametrize("chunk", [64, 1000])
-def test_genome_chunks_hold_the_whole_text(spark, folder, name, chunk, monkeypatch):
+@pytest.mark.parametrize("split", [300, 2500, 1 << 20])
+def test_genome_chunks_hold_the_whole_text(spark, folder, name, chunk, split):
     root, contigs = folder
-    monkeypatch.setattr(fasta, "BLOCKS_PER_TASK_ROW", 2)
-    rows = fasta.read_genome(spark, str(root / name), chunk=chunk).collect()
+    rows = fasta.read_genome(spark, str(root / name), chunk=chunk, split_bytes=split).collect()
     for contig, bases in contigs.items():
         parts = sorted((r.chunk_id, r.chunk_start, r.seq) for r in rows if r.contig == contig)
         assert "".join(p[2] for p in parts) == bases
@@ -109,6 +111,62 @@ def test_spans_across_chunks(spark, folder):
     assert found == {1: contigs["1"][59:200], 2: None, 3: contigs["2"], 4: None}
 
 
+def test_ranges_of_a_file(folder):
+    root, contigs = folder
+    options = {"path": str(root / "genome.fa"), "chunk": "64", "splitBytes": "2500"}
+    reader = fasta_source.FilteringFastaReader(options)
+    parts = reader.partitions()
+    assert sorted((p.first, p.count) for p in parts) == [(0, -1), (0, 39), (39, 39), (78, 39), (117, 39)]
+    assert list(reader.pushFilters([EqualTo(("contig",), "1"), EqualTo(("seq",), "A")])) == [EqualTo(("seq",), "A")]
+    assert [(p.first, p.count) for p in reader.partitions()] == [(0, -1)]
+    read = [row for p in reader.partitions() for batch in reader.read(p) for row in batch.to_pylist()]
+    assert "".join(r["seq"] for r in read) == contigs["1"] and {r["contig"] for r in read} == {"1"}
+    assert list(reader.pushFilters([In(("contig",), ("2",))])) == [] and [p.fasta for p in reader.partitions()] == [""]
+
+
+def test_contig_filter_reaches_the_source(spark, folder):
+    root, contigs = folder
+    before = spark.conf.get(fasta_source.PUSHDOWN)
+    spark.conf.set(fasta_source.PUSHDOWN, "true")
+    try:
+        rows = fasta.read_genome(spark, str(root / "genome.fa"), chunk=64).where("contig = '1' and chunk_id > 2")
+        assert "".join(r.seq for r in rows.orderBy("chunk_id").collect()) == contigs["1"][192:]
+    finally:
+        spark.conf.set(fasta_source.PUSHDOWN, before)
+
+
+def test_blocks_are_found_from_any_byte(folder):
+    data = (folder[0] / "packed.fa.gz").read_bytes()
+    starts, at = [], 0
+    while at < len(data):
+        starts.append(at)
+        at += fasta_source.block_length(data, at)
+    for k in range(0, starts[-1], 7):
+        assert fasta_source.first_block(data[k:], True) + k == min(s for s in starts if s >= k)
+    # A mark inside compressed text is no block: its length leads nowhere.
+    fake = bytearray(b"x" * 40 + data)
+    fake[5:21] = data[:16]
+    assert fasta_source.first_block(bytes(fake), True) == 40
+
+
+def test_written_records_are_read_back(spark, tmp_path):
+    texts = {f"T{k:03d}": "ACGT" * k + "A" for k in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "transcript_id string, sequence string")
+    out = str(tmp_path / "records")
+    for _ in range(2):  # the second writing takes the place of the first
+        write_fasta(df, out)
+    names = os.listdir(out)
+    assert "_SUCCESS" in names and 2 <= len(names) < 50
+    assert len([n for n in names if n.endswith(".fa")]) == len([n for n in names if n.endswith(".fai")])
+    genome = fasta.read_genome(spark, out, chunk=64, split_bytes=500)
+    got = {}
+    for r in genome.orderBy("contig", "chunk_id").collect():
+        got[r.contig] = got.get(r.contig, "") + r.seq
+    assert got == texts
+    write_fasta(df.where("false"), out)
+    assert fasta.read_genome(spark, out).count() == 0
+
+
 def test_annotation_of_a_file(spark, folder):
     annotation = gtf.read_annotation(spark, str(folder[0] / "target.gtf"))
     genes = {r.gene_id: (r.contig, r.start, r.end, r.gene_name) for r in annotation.genes.collect()}
@@ -197,7 +255,7 @@ def test_report_modes(spark, folder, tmp_path):
     assert len(rewritten) == len(target_lines()) - 1
     assert [r.split("\t")[3:5] for r in rewritten if '"T3"' in r] == [["2001", "2300"], ["2001", "2300"]]
     main(["seqExtractor", "--gtf", str(root / "target.gtf"), "--fasta", genome, "--o", str(tmp_path / "seq"), "--gene-id", "G1"])
-    record = read_text(str(tmp_path / "seq" / "transcript_id=T1"))
+    record = [row for path in (tmp_path / "seq").glob("*.fa") for row in path.read_text().splitlines()]
     assert record == [">T1", contigs["1"][100:400]]
     main(["firstAnalysis", *sides, "--o", str(tmp_path / "first")])
     found = read_text(str(tmp_path / "first"))
