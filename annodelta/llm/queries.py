@@ -52,7 +52,8 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return fertility.judge(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+    return fertility.judge(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"),
+                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

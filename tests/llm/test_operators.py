@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -135,8 +137,8 @@ def test_bpe_round_trip(docs, rows, empty, reference_encoding):
 
 # 4 -------------------------------------------------------------------------------------------------------------------
 def test_fertility(docs, rows, empty):
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    got = {r["doc_id"]: r for r in fertility.judge(docs, path).collect()}
+    paths = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = {r["doc_id"]: r for r in fertility.judge(docs, *paths).collect()}
     for i, t, _ in rows:
         t = t or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -148,7 +150,61 @@ def test_fertility(docs, rows, empty):
             len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(own) - len(set(own)), len(repeated))
         assert r.base_failed == (len(words) < 20 or 100 * len(repeated) > 30 * len(words)) and not (r.base_failed and r.kept)
     assert got[6].kept and got[0].byte_share == 0 and got[9].script == "cjk"
-    assert fertility.judge(empty, path).count() == 0
+    assert fertility.judge(empty, *paths).count() == 0
+
+
+#: Sentences of several scripts, to be kept whatever language is given.
+FLUENT = {
+    "latin": "The committee met on Tuesday and agreed that the old bridge over the river should be repaired before winter, "
+             "because several farmers use it every day to bring milk and grain to the market in town.",
+    "cyrillic": "Комитет собрался во вторник и решил, что старый мост через реку нужно отремонтировать до зимы, потому что "
+                "несколько фермеров каждый день возят по нему молоко и зерно на городской рынок. Работы начнутся летом.",
+    "greek": "Η επιτροπή συνεδρίασε την Τρίτη και αποφάσισε ότι η παλιά γέφυρα πάνω από το ποτάμι πρέπει να επισκευαστεί πριν "
+             "από τον χειμώνα, γιατί πολλοί αγρότες τη χρησιμοποιούν κάθε μέρα για να φέρνουν γάλα στην αγορά.",
+    "arabic": "اجتمعت اللجنة يوم الثلاثاء وقررت أن الجسر القديم فوق النهر يجب أن يتم إصلاحه قبل الشتاء لأن الكثير من المزارعين "
+              "يستخدمونه كل يوم لنقل الحليب والحبوب إلى السوق في المدينة القريبة من هنا",
+    "hebrew": "הוועדה התכנסה ביום שלישי והחליטה כי יש לתקן את הגשר הישן מעל הנהר לפני החורף כי חקלאים רבים משתמשים בו בכל יום "
+              "כדי להביא חלב ותבואה אל השוק בעיר הקרובה אליהם",
+    "other": "समिति की बैठक मंगलवार को हुई और तय किया गया कि नदी पर बने पुराने पुल की मरम्मत सर्दियों से पहले की जानी चाहिए क्योंकि "
+             "कई किसान हर दिन बाज़ार में दूध और अनाज लाने के लिए इसका उपयोग करते हैं",
+    "cjk": " ".join(["委员会", "在", "星期二", "开会", "决定", "冬天", "以前", "修理", "河上", "的", "旧桥", "因为", "很多", "农民", "每天",
+                     "用", "它", "把", "牛奶", "和", "粮食", "运到", "城里", "市场"]),
+}
+
+
+def test_fertility_verdicts(spark):
+    rng = random.Random(4)
+    private = [chr(c) for c in range(0xE000, 0xE100)]
+    garbage = {
+        "figures": " ".join(str(rng.randrange(10 ** 6, 10 ** 9)) for _ in range(200)),
+        "marks": " ".join("".join(rng.choice("!?#$%&*+=~^@;:") for _ in range(6)) for _ in range(200)),
+        "private": " ".join("".join(rng.choice(private) for _ in range(5)) for _ in range(200)),
+        "rare": " ".join("".join(chr(rng.randrange(0x3400, 0x4DB0)) for _ in range(4)) for _ in range(200)),
+        "hex": " ".join("%016x" % rng.getrandbits(64) for _ in range(200)),
+        "figures and a letter": "a " + " ".join(str(rng.randrange(10 ** 6)) for _ in range(200)),
+    }
+    rows = [(name, lang, text, wanted) for texts, wanted in ((FLUENT, True), (garbage, False))
+            for name, text in texts.items() for lang in (None, "xx")]
+    docs = spark.createDataFrame([(k, r[2], r[1]) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    paths = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = {r.doc_id: r for r in fertility.judge(docs, *paths).collect()}
+    wrong = [(rows[k][:2], r.asDict()) for k, r in got.items() if r.kept != rows[k][3]]
+    assert not wrong, wrong
+    assert all(got[k].script == r[0] for k, r in enumerate(rows) if r[3])
+
+    # The measures of one text, counted plainly with both libraries.
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=paths[0])
+    words = FLUENT["greek"].split()
+    ids = [i for w in words for i in model.encode(w)]
+    greek = next(got[k] for k, r in enumerate(rows) if r[0] == "greek")
+    shares = [n / len(ids) for n in Counter(ids).values()]
+    assert greek.chars_per_token == pytest.approx(sum(map(len, words)) / len(ids))
+    assert greek.byte_share == pytest.approx(sum(map(model.is_byte, ids)) / len(ids))
+    assert greek.token_entropy == pytest.approx(-sum(x * math.log2(x) for x in shares))
+    multi = fertility.rank_encoding(paths[1])
+    assert greek.chars_per_token_multi == pytest.approx(
+        sum(map(len, words)) / sum(len(multi.encode_ordinary(" " + w)) for w in words))
 
 
 # 5 -------------------------------------------------------------------------------------------------------------------
@@ -397,3 +453,55 @@ def test_licenses(docs, rows, empty):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[12].labels == "gpl-3" and got[12].score > 0.9 and got[11].labels == "apache-2,cc-by-nc"
     assert licenses.scan(empty).count() == 0
+
+
+def _plain_labels(texts, accept=0.7):
+    """Labels and score by trying every template at every place of every text."""
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for i, t in texts.items()}
+    seen = Counter(w for own in words.values() for w in set(own))
+    idf = {w: math.log((len(texts) + 1) / (seen[w] + 1)) + 1 for t in licenses.TEMPLATES for w in t.words.split()}
+    found = {}
+    for i, own in words.items():
+        labels = {label for label, p in licenses.BASE_PHRASES.items() if f" {p} " in f" {' '.join(own)} "}
+        best = 1.0 if labels else 0.0
+        for t in licenses.TEMPLATES:
+            wanted = t.words.split()
+            keys = [(k.split(), licenses.offset(t, k)) for k in t.keys]
+            for start in range(-len(wanted), len(own)):
+                if all(start + at >= 0 and own[start + at:start + at + len(k)] == k for k, at in keys):
+                    share = sum(idf[w] for k, w in enumerate(wanted) if 0 <= start + k < len(own) and own[start + k] == w)
+                    share /= sum(idf[w] for w in wanted)
+                    if share >= accept:
+                        labels.add(t.label)
+                        best = max(best, share)
+        found[i] = (",".join(sorted(labels)), pytest.approx(min(best, 1.0)))
+    return found
+
+
+def test_license_notices(spark):
+    rng = random.Random(10)
+    notices = {
+        "gpl-3": "it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+                 "version 3 of the License, or (at your option) any later version.",
+        "apache-2": "// SPDX-License-Identifier: Apache-2.0",
+        "bsd": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+               "disclaimer.",
+        "mit": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+               "THE WARRANTIES OF MERCHANTABILITY",
+        "": "The software foundation published a license for the general public, and the warranty of any kind is as is.",
+    }
+    texts = dict(enumerate(notices.values()))
+    filler = "the of license a software public and version under".split()
+    for k in range(120):  # notices with words changed, cut at either end, or twice in a row
+        own = rng.choice(licenses.TEMPLATES).words.split()
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = rng.choice(filler)
+        low = rng.randrange(3)
+        own = own[low:len(own) - rng.randrange(3)]
+        before = [rng.choice(filler) for _ in range(rng.randrange(6))]
+        texts[len(texts)] = " ".join(before + own + before + (own if k % 5 == 0 else []))
+    texts[len(texts)] = "license gnu " * 30_000 + notices["gpl-3"]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert [got[k][0] for k in range(len(notices))] == list(notices)
+    assert got == _plain_labels(texts)
