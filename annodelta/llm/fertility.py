@@ -118,9 +118,15 @@ def fertility(path: str, multi: str) -> Fertility:
 
 
 @cache
-def letters() -> np.ndarray:
-    """For every code point, whether it is a letter or a mark on one."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
+def char_classes() -> np.ndarray:
+    """For every code point 0 (blank), 1 (no letter), 2 (letter, or mark on one, of no listed script), 3 and up: the scripts."""
+    table = np.array([2 if unicodedata.category(chr(c))[0] in "LM" else 1 for c in range(sys.maxunicode + 1)], dtype=np.uint8)
+    for number, spans in enumerate(RANGES.values(), 3):
+        for first, last in spans:
+            own = table[first:last + 1]
+            own[own == 2] = number
+    table[[ord(c) for c in SPACES]] = 0
+    return table
 
 
 def repeated_words(codes: np.ndarray) -> int:
@@ -146,13 +152,12 @@ def duplicate_lines(text: str) -> int:
 def main_script(text: str) -> str:
     """The listed script most letters are of, else "other"; "unlettered" if fewer than half of the visible are letters."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    n_letters = int(letters()[codes].sum())
-    n_visible = len(codes) - int(((codes == 32) | ((codes >= 9) & (codes <= 13))).sum())
-    if 2 * n_letters < n_visible or not n_letters:
+    counts = np.bincount(char_classes()[codes], minlength=len(RANGES) + 3)
+    n_letters = counts[2:].sum()
+    if 2 * n_letters < n_letters + counts[1] or not n_letters:
         return "unlettered"
-    counts = {name: sum(int(((codes >= a) & (codes <= b)).sum()) for a, b in spans) for name, spans in RANGES.items()}
-    best = max(counts, key=lambda name: counts[name])
-    return best if counts[best] >= n_letters - sum(counts.values()) else "other"
+    best = int(counts[2:].argmax())
+    return "other" if best == 0 else list(RANGES)[best - 1]
 
 
 def _measure(texts: list[str], langs: list[str | None], tool: Fertility) -> list[tuple]:
