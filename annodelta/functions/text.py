@@ -41,6 +41,12 @@ def attribute_value(text: Column, key: str) -> Column:
     return F.when(text.rlike(pattern), F.when(F.length(bare) > 0, bare).otherwise(quoted))
 
 
+def first_values(text: Column) -> Column:
+    """Attribute text with the first value of every key, keys by first appearance."""
+    entries = F.map_entries(parse_attributes(text))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(' "'), F.get(e["value"], F.lit(0)), F.lit('"'))), ";")
+
+
 def cigar_total(cigar: Column, letters: str) -> Column:
     """Summed length of the operations named in ``letters``."""
     lengths = F.regexp_extract_all(cigar, F.lit(f"([0-9]+)[{letters}]"), F.lit(1))

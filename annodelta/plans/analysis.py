@@ -48,22 +48,26 @@ def analyse(
     fasta_path: str | None = None, fai: str | None = None, use_strand: bool = True, coding_only: bool = False,
     compat: Compat = Compat(),
 ) -> None:
-    """Differences of overlap matches to ``out``, of sequence matches beside it, and unmapped lists."""
+    """Differences of overlap matches to ``out``, of sequence matches beside it, and unmapped lists.
+
+    Reports have the contigs in the order of the target file.
+    """
     target, query = gtf.read_annotation(spark, target_gtf), gtf.read_annotation(spark, query_gtf)
     settings = load_comparison(config) if isinstance(config, str) else config
     text = fasta.read_genome(spark, fasta_path, fai) if fasta_path else None
+    contigs = cut_lineage(gtf.contig_order(spark, target_gtf))
     matches = cut_lineage(match(target, query, use_strand))
     used = matches
     if text is not None:
         by_sequence = cut_lineage(search_leftovers(target, query, matches, text, text, coding_only))
         pairs = difference.transcript_pairs(by_sequence, target, query, settings)
         writers.write_differences(
-            difference.difference_table(pairs, target, query, settings, text, text, compat), out + SEQUENCE_REPORT_SUFFIX, compat
+            difference.difference_table(pairs, target, query, settings, text, text, compat), out + SEQUENCE_REPORT_SUFFIX, compat, contigs
         )
         columns = ["contig", "target_transcript_id", "query_transcript_id"]
         used = matches.select(*columns).unionByName(by_sequence.select(*columns))
     pairs = difference.transcript_pairs(matches, target, query, settings)
-    writers.write_differences(difference.difference_table(pairs, target, query, settings, text, text, compat), out, compat)
+    writers.write_differences(difference.difference_table(pairs, target, query, settings, text, text, compat), out, compat, contigs)
     for side, annotation in (("target", target), ("query", query)):
         name = {"target": "targets", "query": "queries"}[side]
         writers.write_tsv(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annodelta import constants as C
 from annodelta.annotation import Annotation
+from annodelta.functions.text import first_values
 from annodelta.operators import genome as G
 from annodelta.operators import loci, pairing, profile, statistics
 from annodelta.sinks import writers
@@ -40,10 +41,14 @@ def gtf_statistics(spark: SparkSession, folder: str, out: str, recursive: bool =
 
 
 def file_counts(annotation: Annotation, file_of) -> DataFrame:
+    """(prefix, name, count) of genes, transcripts and every counted type of every file, zeros included."""
+    names = [C.GENE, C.TRANSCRIPT, *statistics.COUNTED_TYPES]
     rows = annotation.genes.select(file_of, F.lit(C.GENE).alias("name")).unionByName(
         annotation.transcripts.select(file_of, F.lit(C.TRANSCRIPT).alias("name"))
-    ).unionByName(annotation.features.where(F.col("type").isin(statistics.COUNTED_TYPES)).select(file_of, F.col("type").alias("name")))
-    return rows.groupBy("prefix", "name").agg(F.count(F.lit(1)).alias("count"))
+    ).unionByName(annotation.features.select(file_of, F.col("type").alias("name")))
+    counts = rows.groupBy("prefix").agg(*(F.count_if(F.col("name") == name).alias(name) for name in names))
+    entries = F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).alias("count")) for name in names))
+    return counts.select("prefix", F.inline(entries))
 
 
 def file_lengths(annotation: Annotation, file_of) -> DataFrame:
@@ -130,7 +135,7 @@ def completed_lines(lines: DataFrame) -> DataFrame:
 
 
 def add_meta_features(spark: SparkSession, source: str, out: str) -> None:
-    """Rewrite an annotation file with completed transcript rows."""
+    """Rewrite an annotation file with completed transcript rows; of a repeated attribute the first value stays."""
     rows = completed_lines(gtf.read_gtf_lines(spark, source))
 
     def dot(c: str):
@@ -138,7 +143,7 @@ def add_meta_features(spark: SparkSession, source: str, out: str) -> None:
 
     ordered = rows.orderBy("gene_ord", F.col("tx_ord").asc_nulls_first(), "level", "ord")
     ordered.select(F.concat_ws(
-        "\t", "contig", "source", "type", dot("start"), dot("end"), dot("score"), "strand", dot("frame"), "attribute_text"
+        "\t", "contig", "source", "type", dot("start"), dot("end"), dot("score"), "strand", dot("frame"), first_values(F.col("attribute_text"))
     ).alias("value")).write.mode("overwrite").text(out)
 
 

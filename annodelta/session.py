@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +36,19 @@ def build_session(app: str = "annodelta", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, so that a job can be started from any folder."""
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="annodelta-package-")) / "annodelta.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for module in sorted(package.rglob("*.py")):
+            packed.write(module, Path("annodelta") / module.relative_to(package))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -50,13 +50,17 @@ def write_validation(rows: DataFrame, path: str, header: bool = False) -> None:
     write_tsv(ordered, path, header=header)
 
 
-def write_differences(differences: DataFrame, path: str, compat: Compat = Compat()) -> None:
-    """Report lines sorted by contig, order key and text, a header line first."""
+def write_differences(differences: DataFrame, path: str, compat: Compat = Compat(), contigs: DataFrame | None = None) -> None:
+    """Report lines sorted by contig, order key and text, a header line first.
+
+    ``contigs`` (contig, first: where it first appears) gives their order; contigs it lacks follow by name.
+    """
     lines = ordered_report(differences, compat)
-    header = differences.sparkSession.createDataFrame(
-        [("", -1, "\t".join(C.DIFFERENCE_COLUMNS))], lines.schema
-    )
-    lines.unionByName(header).orderBy("contig", "order_key", "line").select("line").write.mode("overwrite").text(path)
+    placed = lines.join(contigs, "contig", "left") if contigs is not None else lines.withColumn("first", F.lit(None).cast("int"))
+    header = differences.sparkSession.range(1).select(F.lit("\t".join(C.DIFFERENCE_COLUMNS)).alias("line"), F.lit(0).alias("part"))
+    ordered = placed.withColumn("part", F.lit(1)).unionByName(header, allowMissingColumns=True).orderBy(
+        "part", F.asc_nulls_last("first"), "contig", "order_key", "line")
+    ordered.select("line").write.mode("overwrite").text(path)
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:

@@ -104,6 +104,11 @@ def with_attributes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("attributes", parse_attributes(F.col("attribute_text")))
 
 
+def contig_order(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, first): where in a file each contig first appears."""
+    return read_gtf_lines(spark, path).groupBy("contig").agg(F.min("ord").alias("first"))
+
+
 def contig_differences(target: DataFrame, query: DataFrame) -> DataFrame:
     """Contigs known to one release only (contig, origin)."""
     t, q = target.select("contig").distinct(), query.select("contig").distinct()

@@ -2,13 +2,18 @@ import json
 import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
 
+from annodelta import constants as C
 from annodelta.cli import main
+from annodelta.functions.text import first_values
 from annodelta.operators.genome import fetch_spans
 from annodelta.sinks.writers import write_fasta
 from annodelta.sources import fasta, fasta_source, gtf
@@ -212,6 +217,40 @@ def test_analysis_reports_the_made_changes(spark, folder, tmp_path):
     assert read_text(out + ".unmapped_queries") == read_text(out + ".unmapped_targets") == []
 
 
+def test_report_has_contigs_in_file_order(spark, folder, tmp_path):
+    def lines(stop):
+        return [line(c, kind, 101, stop, "+", "G" + c, "T" + c, **CODING) for c in ("11", "7", "1") for kind in ("transcript", "exon")]
+
+    for side, stop in (("target", 400), ("query", 420)):
+        (tmp_path / f"{side}.gtf").write_text("\n".join(lines(stop)) + "\n")
+    out = str(tmp_path / "diff.tsv")
+    main(["analysis", "--target-gtf", str(tmp_path / "target.gtf"), "--query-gtf", str(tmp_path / "query.gtf"), "--config",
+          str(folder[0] / "config.json"), "--o", out])
+    rows = [r.split("\t") for r in read_text(out)]
+    assert rows[0] == list(C.DIFFERENCE_COLUMNS)
+    assert list(dict.fromkeys(r[8] for r in rows[1:])) == ["T11", "T7", "T1"]
+    by_contig = [[r for r in rows[1:] if r[8] == t] for t in ("T11", "T7", "T1")]
+    assert all(len(part) > 2 for part in by_contig)
+
+
+def test_first_attribute_values_stay(spark):
+    text = 'gene_id "G1"; tag "basic"; tag "CCDS"; level 2; note "a; b";'
+    row = spark.createDataFrame([(text,)], "t string").select(first_values(F.col("t"))).first()
+    assert row[0] == 'gene_id "G1";tag "basic";level "2";note "a; b"'
+
+
+def test_jobs_start_in_any_folder(folder, tmp_path):
+    """Workers find the package though neither the folder nor the environment names it."""
+    repo = Path(__file__).parents[1]
+    code = (f"import sys; sys.path.insert(0, {str(repo)!r})\n"
+            "from annodelta.session import build_session\nfrom annodelta.sources.fasta import read_genome\n"
+            "spark = build_session(master='local[1]')\n"
+            f"print('chunks', read_genome(spark, {str(folder[0] / 'packed.fa.gz')!r}).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "chunks 3" in done.stdout, done.stderr[-2000:]
+
+
 def test_mapping_modes_chain(spark, folder, tmp_path):
     root, _ = folder
     sides = ["--target-gtf", str(root / "target.gtf"), "--query-gtf", str(root / "query.gtf")]
@@ -249,7 +288,8 @@ def test_report_modes(spark, folder, tmp_path):
     main(["gtfStats", "--inDir", str(root), "--outDir", str(tmp_path / "stats")])
     stats = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "stats" / "global"))
     assert {r["name"]: r["count"] for r in stats.where("prefix = 'target'").collect()} == {
-        "gene": "3", "transcript": "3", "exon": "6", "CDS": "2", "intron": "3"}
+        "gene": "3", "transcript": "3", "exon": "6", "CDS": "2", "intron": "3",
+        C.UTR5: "0", C.UTR3: "0", C.START_CODON: "0", C.STOP_CODON: "0"}
     main(["addMetaFeatures", "--gtf", str(root / "target.gtf"), "--o", str(tmp_path / "meta")])
     rewritten = read_text(str(tmp_path / "meta"))
     assert len(rewritten) == len(target_lines()) - 1
