@@ -73,8 +73,7 @@ def map_transcripts(
     pairs = origins.resolve_mapping(
         origins.parse_mapping_rows(tables.read_mapping(spark, mapping)), target.genes, query.genes
     )
-    t_sig = cut_lineage(signature.transcript_signatures(target.features, types, t_seq))
-    q_sig = cut_lineage(signature.transcript_signatures(query.features, types, q_seq))
+    t_sig, q_sig = (signature.signature_digests(x.features, types, seq) for x, seq in ((target, t_seq), (query, q_seq)))
     if cutoff < 1.0:
         t_sig = similarity.as_query_signatures(t_sig, similarity.similar_signatures(
             t_sig, q_sig, target.features, query.features, cutoff, types, t_seq is not None))
