@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annodelta.annotation import PART, per_transcript
 from annodelta.operators.skew import salted_join
 from annodelta.session import cut_lineage
 
@@ -28,8 +29,9 @@ def region_lists(features: DataFrame, allowed_types: list[str] | None = None) ->
         features = features.where(F.col("type").isin(allowed_types))
     along = F.when(F.col("fwd"), F.col("start")).otherwise(-F.col("start"))
     op = F.struct(along.alias("along"), "ord", "type", (F.col("end") - F.col("start") + 1).cast("long").alias("length"))
-    return features.groupBy("contig", "gene_id", "transcript_id").agg(
-        F.transform(F.sort_array(F.collect_list(op)), lambda o: F.struct(o["type"].alias("type"), o["length"].alias("length"))).alias("regions"))
+    return features.groupBy(*per_transcript(features, "contig", "gene_id", "transcript_id")).agg(
+        F.transform(F.sort_array(F.collect_list(op)), lambda o: F.struct(o["type"].alias("type"), o["length"].alias("length"))).alias("regions")
+    ).drop(PART)
 
 
 def structure_similarity(a: Column, b: Column) -> Column:
@@ -43,9 +45,12 @@ def structure_similarity(a: Column, b: Column) -> Column:
 
 
 def _structures(signatures: DataFrame, lists: DataFrame, side: str) -> DataFrame:
-    """contig, {side}_signature, {side}_regions: every structure once."""
-    return signatures.join(lists, ["contig", "gene_id", "transcript_id"]).groupBy(
-        "contig", F.col("signature").alias(f"{side}_signature")).agg(F.first("regions").alias(f"{side}_regions"))
+    """contig, {side}_signature, {side}_regions, {side}_id: every structure once. The list meets one transcript of each."""
+    keys = ["contig", "gene_id", "transcript_id"]
+    one = signatures.groupBy("contig", F.col("signature").alias(f"{side}_signature")).agg(
+        F.min(F.struct("gene_id", "transcript_id")).alias("one")).select("contig", f"{side}_signature", "one.*")
+    return one.join(lists, keys).select("contig", f"{side}_signature", F.col("regions").alias(f"{side}_regions")).withColumn(
+        f"{side}_id", F.monotonically_increasing_id())
 
 
 def _keys(regions: Column, chosen: Column | None, width: float, steps: list[int]) -> Column:
@@ -75,15 +80,16 @@ def similar_signatures(
     width = -math.log(1.0 - max(PLACE_LOSS, share))
     n, m = F.size("q_regions"), F.size("t_regions")
     places = F.least(n, (F.floor(n * share / PLACE_LOSS + SLACK) + 1).cast("int"))
-    q_keys = q.select("contig", "q_signature", n.alias("n"), F.explode(_keys(F.col("q_regions"), places, width, [-1, 0, 1])).alias("k"))
-    t_keys = t.select("contig", "t_signature", m.alias("m"), F.explode(_keys(F.col("t_regions"), None, width, [0])).alias("k"))
-    flat = ["k.place", "k.type", "k.step"]
-    met = salted_join(
-        cut_lineage(t_keys.select("contig", "t_signature", "m", *flat)), cut_lineage(q_keys.select("contig", "q_signature", "n", *flat)),
-        ["contig", "place", "type", "step"],
-    ).where((F.least("n", "m") >= F.greatest("n", "m") * cutoff - SLACK))
-    pairs = met.select("contig", "t_signature", "q_signature").distinct()
-    compared = pairs.join(t, ["contig", "t_signature"]).join(q, ["contig", "q_signature"]).withColumn(
+    # A key is eight bytes, and a structure its number: two keys that meet by chance only give one more pair to compare.
+    # Structures are cut off, so their keys are made anew where they are read.
+    q_keys = q.select("contig", "q_id", n.alias("n"), F.explode(_keys(F.col("q_regions"), places, width, [-1, 0, 1])).alias("k"))
+    t_keys = t.select("contig", "t_id", m.alias("m"), F.explode(_keys(F.col("t_regions"), None, width, [0])).alias("k"))
+    met = salted_join(*(
+        keys.select(F.xxhash64("contig", "k.place", "k.type", "k.step").alias("key"), *rest)
+        for keys, rest in ((t_keys, ("t_id", "m")), (q_keys, ("q_id", "n")))
+    ), ["key"]).where((F.least("n", "m") >= F.greatest("n", "m") * cutoff - SLACK))
+    pairs = met.select("t_id", "q_id").distinct()
+    compared = pairs.join(t, "t_id").join(q.withColumnRenamed("contig", "q_contig"), "q_id").where("contig = q_contig").withColumn(
         "similarity", structure_similarity(F.col("t_regions"), F.col("q_regions"))).where(F.col("similarity") >= cutoff - SLACK)
     if single_by_sequence:
         compared = compared.where("size(t_regions) > 1 or size(q_regions) > 1 or t_signature = q_signature")
