@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from annodelta import constants as C
 
-#: Optional column of ``features``: a value all children of a transcript share, by which the rows are dealt over the tasks
-#: already. Steps per transcript add it to their keys, and need no shuffle then.
+#: Optional column of ``features``: a value that follows from the transcript id, alike in both releases, by which the rows
+#: are dealt over the tasks already. Steps per transcript add it to their keys, and need no shuffle then.
 PART = "part"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annodelta import constants as C
+from annodelta.annotation import per_transcript
 from annodelta.operators.genome import CHUNK_BASES, compare_spans
 
 
@@ -34,12 +35,22 @@ def pair_by_rank(target: DataFrame, query: DataFrame) -> DataFrame:
     Regions are ranked by (start, end, ord); the longer side keeps its leftovers unpaired.
     """
     keys = ["contig", "transcript_id", "type"]
-    order = Window.partitionBy(*keys).orderBy("start", "end", "ord")
 
-    def ranked(features: DataFrame) -> DataFrame:
-        return features.withColumn("rank", F.row_number().over(order)).select(*keys, "rank", "start", "end", "fwd")
-
-    return pair_by_id(ranked(target), ranked(query), [*keys, "rank"])
+    def ranked(features: DataFrame, is_query: bool) -> DataFrame:
+        order = Window.partitionBy(*per_transcript(features, *keys)).orderBy("start", "end", "ord")
+        return features.withColumn("rank", F.row_number().over(order)).select(
+            *keys, "rank", "start", "end", "fwd", F.lit(is_query).alias("is_query"))
+
+    # One shuffle of both sides by transcript, which pairs them and serves whatever a caller asks per transcript.
+    both = ranked(target, False).unionByName(ranked(query, True)).repartition("contig", "transcript_id")
+    # A null in a key equals nothing, so it keeps the sides apart.
+    apart = F.when(F.concat(*[F.col(k).cast("string") for k in keys]).isNull(), F.col("is_query")).alias("apart")
+    paired = both.groupBy(*keys, "rank", apart).agg(
+        *[F.max(F.when(F.col("is_query") == is_query, F.col(c))).alias(f"{side}_{c}")
+          for side, is_query in (("t", False), ("q", True)) for c in ("start", "end", "fwd")],
+        F.min("is_query").alias("only_query"), F.max("is_query").alias("any_query"))
+    state = F.when(F.col("only_query"), "missing_in_target").when(~F.col("any_query"), "missing_in_query").otherwise("both")
+    return paired.withColumn("side_state", state).drop("apart", "only_query", "any_query")
 
 
 def exact_gene_difference(pairs: DataFrame) -> DataFrame:
