@@ -124,8 +124,7 @@ def difference_table(
     The 18 report columns plus ``order_key``; all values are strings except the key.
     """
     regions = pair_regions(pairs, target.features, query.features, list(config.feature_types), compat)
-    strands = pairs.select(*PAIR_KEYS, "t_fwd", "q_fwd")
-    regions = regions.join(strands, PAIR_KEYS)
+    strands = ["t_fwd", "q_fwd"]
     with_sequences = target_genome is not None and query_genome is not None
     if with_sequences and (config.enabled("sequence") or config.enabled("same_protein")):
         # Only regions of equal length need their text: a different length already decides.
@@ -133,7 +132,9 @@ def difference_table(
         keys = [*PAIR_KEYS[1:], "type", "t_start", "t_end", "q_start", "q_end"]
         wanted = regions.where(length_t == length_q).select("contig", *keys).distinct()
         texts = compare_spans(wanted, target_genome, query_genome, keys, chunk)
-        regions = regions.join(texts, ["contig", *keys], "left")
+        # Only texts are read along the strand; otherwise the changed regions alone learn it, for the report.
+        regions = regions.join(pairs.select(*PAIR_KEYS, *strands), PAIR_KEYS).join(texts, ["contig", *keys], "left")
+        strands = []
     elif with_sequences:
         with_sequences = False
     flagged = region_differences(regions, config, compat, with_sequences)
@@ -183,7 +184,7 @@ def difference_table(
     order = ["t_start", "q_start", "t_end", "q_end"]
     own_place = [text(c, "null") if located else F.lit("null") for c in order]
     rows = report(transcripts, F.lit(C.TRANSCRIPT), own_place)
-    details = pairs.select(*PAIR_KEYS, "t_gene_id", "q_gene_id", "t_gene_biotype", "q_gene_biotype", "t_biotype", "q_biotype")
+    details = pairs.select(*PAIR_KEYS, "t_gene_id", "q_gene_id", "t_gene_biotype", "q_gene_biotype", "t_biotype", "q_biotype", *strands)
     whole_type = F.col("absent").isNotNull()
     place = [F.when(whole_type, F.lit("")).otherwise(text(c, "-1")) for c in order]
     region_rows = report(
