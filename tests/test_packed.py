@@ -1,5 +1,8 @@
 """Children travel as one row per transcript and come back whole and in order."""
 
+import numpy as np
+
+from annodelta.functions import scoring
 from annodelta.operators import matching, regions
 from tests.test_shuffles import COLUMNS, _dealt, _features, _shuffles
 
@@ -31,3 +34,34 @@ def test_a_pair_listed_twice_has_its_regions_twice(spark):
 
 def test_dealt_children_need_no_shuffle(spark):
     assert _shuffles(matching._children(_dealt(_features(spark)))) == 1  # the dealing itself
+
+
+def test_models_compared_together_score_as_one_by_one():
+    random = np.random.default_rng(3)
+    frames, expected = [], []
+    for pair in range(300):
+        sides = []
+        for side in (0, 1):
+            n = 60 if pair == 7 else int(random.integers(0, 9))
+            starts = random.integers(1, 40, n)
+            sides.append((starts, starts + random.integers(0, 15, n), random.choice([-1, -1, 0, 1, 2, 4], n)))
+            frames.append((np.full(n, 2 * pair + side), *sides[-1]))
+        if pair % 3 == 0 and pair != 7:  # equal models too
+            frames[-1] = (np.full(len(sides[0][0]), 2 * pair + 1), *sides[0])
+            sides[1] = sides[0]
+        cuts = scoring.cut_points(*[x[:2] for x in sides])
+        painted = [scoring.paint(*x, cuts)[None] for x in sides]
+        exons = [(s, e) for s, e in ((x[0][x[2] == -1], x[1][x[2] == -1]) for x in sides)]
+        chains = [(e - s + 1)[np.argsort(s, kind="stable")] for s, e in exons]
+        expected.append((scoring.jaccards(*painted, np.ones(max(len(cuts) - 1, 0)))[0, 0],
+                         scoring.chain_similarities([chains[0]], [chains[1]])[0, 0]))
+    side, starts, ends, codes = (np.concatenate(c) for c in zip(*frames))
+    for cells in (scoring.CELLS_AT_ONCE, 40):  # also in small pieces
+        held, scoring.CELLS_AT_ONCE = scoring.CELLS_AT_ONCE, cells
+        try:
+            exons = np.flatnonzero(codes == -1)
+            exons = exons[np.lexsort((starts[exons], side[exons]))]
+            found = zip(scoring.paired_jaccards(side, starts, ends, codes, 300), scoring.paired_chains(side[exons], (ends - starts + 1)[exons], 300))
+            assert list(found) == expected
+        finally:
+            scoring.CELLS_AT_ONCE = held
