@@ -31,6 +31,7 @@ from annodelta.session import cut_lineage
 
 END_ID = 2
 BUCKET_ROWS = 20_000
+ROWS_AT_ONCE = 256  # of texts taken out of a batch together
 
 
 @cache
@@ -64,8 +65,9 @@ def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
 
 def _cutting(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        slices = (batch.slice(begin, ROWS_AT_ONCE) for batch in batches for begin in range(0, batch.num_rows, ROWS_AT_ONCE))
+        for rows_of in slices:
+            keys, texts = rows_of.column(0).to_pylist(), rows_of.column(1).to_pylist()
             for part in text_groups(texts):
                 rows = []
                 for key, text in zip(keys[part], texts[part]):

@@ -41,6 +41,7 @@ CHUNK = 1 << 20
 BUCKET_BYTES = 12 << 20
 NULL_ID = (1 << 63) - 1
 BLOB = "target int, data binary"
+ROWS_AT_ONCE = 256  # of texts taken out of a batch together
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -160,7 +161,7 @@ def _send_anchors(buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, block = batch.column("_uid").to_numpy(), batch.column("_block").to_numpy().astype(np.int32)
-            texts = [t.encode("utf-8", "replace") for t in batch.column("_text").to_pylist()]
+            texts = batch.column("_text").cast(pa.binary()).to_pylist()
             for data, starts, row, place, anchor, hashed in _windows(texts, length):
                 first = _first_of_runs(anchor)
                 h, r, at = hashed[first], row[first], (place + anchor - starts)[first]
@@ -263,7 +264,8 @@ def _send_contexts(buckets: int, length: int) -> Callable[[pa.Table, pa.Table],
             for t, c in _by_target(target, h, uid[r], ids[r], at, size.astype(np.int32), state, number):
                 body = b"".join(bodies[k] for k, s in zip(c[6].tolist(), c[5].tolist()) if not s)
                 blocks = np.full(len(c[0]), block, np.int32)
-                rows.append((t, pack_arrays(*c[:3], blocks, c[3].astype(np.int64), *c[4:6], np.frombuffer(body, np.uint8))))
+                # The lower 32 bits of the hash, which an anchor's being least does not bias; contexts are compared in full.
+                rows.append((t, pack_arrays(c[0].astype(np.uint32), *c[1:3], blocks, c[3].astype(np.int64), *c[4:6], np.frombuffer(body, np.uint8))))
         return pa.Table.from_batches([_blob_batch(rows)])
 
     return run
@@ -393,8 +395,10 @@ def _keyed(docs: DataFrame, blocks: int) -> DataFrame:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = pa.array([pack.compress(t.encode("utf-8", "replace")) for t in batch.column("_text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["_id", "_uid", "_block", "_packed"])
+        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(begin, ROWS_AT_ONCE)
+            packed = pa.array(map(pack.compress, part.column("_text").cast(pa.binary()).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], names=["_id", "_uid", "_block", "_packed"])
 
 
 class Repeats:
