@@ -93,8 +93,9 @@ def with_introns(annotation: Annotation) -> Annotation:
     """Add synthesized introns to the transcripts that list none. One pass, one shuffle."""
     features = annotation.features
     keys = per_transcript(features, "contig", "transcript_id")
-    of_transcript = Window.partitionBy(*keys)
-    of_kind = Window.partitionBy(*keys, "is_exon").orderBy("start", "end", "ord")
+    # One order serves both: exons stand last in their transcript, each before the next of them.
+    exons_last = Window.partitionBy(*keys).orderBy("is_exon", "start", "end", "ord")
+    of_transcript = exons_last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gap = F.col("is_exon") & ~F.col("listed") & (F.col("next_start") > F.col("end") + 1)
     intron = F.struct(
         F.lit(C.INTRON).alias("type"), (F.col("end") + 1).alias("start"), (F.col("next_start") - 1).alias("end")
@@ -102,7 +103,7 @@ def with_introns(annotation: Annotation) -> Annotation:
     rows = (
         features.withColumn("is_exon", F.col("type") == C.EXON)
         .withColumn("listed", F.max(F.col("type") == C.INTRON).over(of_transcript))
-        .withColumn("next_start", F.lead("start").over(of_kind))
+        .withColumn("next_start", F.lead("start").over(exons_last))
         .withColumn("row", F.explode(F.array_compact(F.array(F.struct("type", "start", "end"), F.when(gap, intron)))))
     )
     kept = [F.col(f"row.{c}").alias(c) if c in ("type", "start", "end") else F.col(c) for c in features.columns]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annodelta import constants as C
-from annodelta.annotation import Annotation, biotype, length
+from annodelta.annotation import Annotation, biotype, length, with_introns
 
 # Feature types counted by the statistics, in report order.
 COUNTED_TYPES = [C.EXON, C.INTRON, C.CDS, C.UTR5, C.UTR3, C.START_CODON, C.STOP_CODON]
@@ -52,8 +52,9 @@ def regions_per_transcript(annotation: Annotation, types: tuple[str, ...] = (C.E
     ).select("contig", "transcript_id", *[F.coalesce(f"n_{t}", F.lit(0)).cast("long").alias(f"n_{t}") for t in types])
 
 
-def lengths(annotation: Annotation) -> DataFrame:
-    """(kind, length) of genes, transcripts and the measured regions, one row each.
+def lengths(annotation: Annotation, introns: bool = False) -> DataFrame:
+    """(kind, length) of genes, transcripts and the measured regions, one row each; with ``introns`` also of those that follow
+    from the exons. These lie between children, so the extent of a transcript is taken without them.
 
     A transcript lacking either coordinate is measured by the extent of its children.
     """
@@ -66,7 +67,8 @@ def lengths(annotation: Annotation) -> DataFrame:
          - F.when(incomplete, F.col("cs")).otherwise(F.col("start")) + 1).alias("length"),
     )
     genes = annotation.genes.select(F.lit(C.GENE).alias("kind"), length().alias("length"))
-    regions = annotation.features.where(F.col("type").isin(MEASURED_TYPES)).select(
+    features = (with_introns(annotation) if introns else annotation).features
+    regions = features.where(F.col("type").isin(MEASURED_TYPES)).select(
         F.col("type").alias("kind"), length().alias("length")
     )
     return genes.unionByName(transcripts).unionByName(regions).where(F.col("length").isNotNull())

@@ -2,8 +2,9 @@
 
 import numpy as np
 
+from annodelta.annotation import Annotation, with_introns
 from annodelta.functions import scoring
-from annodelta.operators import matching, regions
+from annodelta.operators import matching, regions, statistics
 from tests.test_shuffles import COLUMNS, _dealt, _features, _shuffles
 
 
@@ -65,3 +66,18 @@ def test_models_compared_together_score_as_one_by_one():
             assert list(found) == expected
         finally:
             scoring.CELLS_AT_ONCE = held
+
+
+def test_introns_take_one_sort(spark):
+    plan = with_introns(Annotation(None, None, _dealt(_features(spark)))).features._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Sort [") == 1
+
+
+def test_lengths_with_introns_are_those_of_the_whole_annotation(spark):
+    features = spark.createDataFrame(_rows("T1", [("exon", 50, 60), ("exon", 10, 20), ("CDS", 52, 58)]) + _rows("T2", [("exon", 1, 9)]), COLUMNS)
+    transcripts = spark.createDataFrame([("c", "G", "T1", None, None), ("c", "G", "T2", 1, 9)], "contig string, gene_id string, transcript_id string, start long, end long")
+    genes = spark.createDataFrame([("c", "G", 1, 60)], "contig string, gene_id string, start long, end long")
+    annotation = Annotation(genes, transcripts, features)
+    found = statistics.lengths(annotation, introns=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, statistics.lengths(with_introns(annotation)).collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

@@ -442,7 +442,7 @@ FROM t_tx x LEFT JOIN t_all f ON f.contig = x.contig AND f.transcript_id = x.tra
 
 
 def stats_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.lengths(A.with_introns(release(spark, sf_dir, "target")))
+    return statistics.lengths(release(spark, sf_dir, "target"), introns=True)
 
 
 STATS_LENGTHS = INTRONS + """
