@@ -254,3 +254,33 @@ def test_id_report_compares_texts_of_equal_length(spark):
     assert ("same", "", "") in found and not {r for r in found if r[0] == "same"} - {("same", "", "")}
     assert {r for r in found if "seq" in r[2]} == {("other", "gene", "seq"), ("other", "transcript", "seq_o"), ("other", "feature", "seq_o_exon")}
     assert ("other", "", "") not in found
+
+
+def test_fallback_keeps_only_target_words_that_queries_have(spark, monkeypatch):
+    """What is kept between the steps grows with the queries, not with the positions of all targets."""
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("ACGT") for _ in range(2000)) for _ in range(20)]
+    kept = []
+
+    def counted(df):
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(fallback, "cut_lineage", counted)
+    targets = spark.createDataFrame([(f"t{i}", s) for i, s in enumerate(texts)], "id string, sequence string")
+    queries = spark.createDataFrame([("q", texts[3][:700] + "A" + texts[3][701:])], "id string, sequence string")
+    found = [(r.query_id, r.target_id) for r in fallback.candidates(targets, queries).collect()]
+    assert found == [("q", "t3")] and max(kept) < 1000
+
+
+def test_fallback_tells_contigs_apart_and_splits_long_texts(spark, monkeypatch):
+    """Words of texts taken at once, of pieces of a text, and of texts beyond the basic plane are found all the same."""
+    monkeypatch.setattr(fallback, "LETTERS_AT_ONCE", 500)
+    monkeypatch.setattr(fallback, "LETTERS_A_BUCKET", 100)
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("AC😀é") for _ in range(n)) for n in (90, 300, 499, 501, 1700, 4)]
+    schema = "contig int, id string, sequence string"
+    targets = spark.createDataFrame([(c, f"t{c}{i}", s) for c in (1, 2) for i, s in enumerate(texts)], schema)
+    queries = spark.createDataFrame([(2, f"q{i}", s[:len(s) // 2] + "é" + s[len(s) // 2:]) for i, s in enumerate(texts[:5])], schema)
+    found = {tuple(r) for r in fallback.candidates(targets, queries, ["contig"]).collect()}
+    assert {(f"q{i}", f"t2{i}") for i in range(5)} <= found and all(t.startswith("t2") for _, t in found)
