@@ -3,7 +3,7 @@
 DataFrame functions only. Lines are keyed by two hashes of their text. A line's shingles (``SHINGLE`` characters, from
 every position) are hashed once each, and the minimum under sixteen exclusive-or permutations of the hash is its
 signature. Bands of four minima put lines into buckets; in a bucket every line is compared with the first one. Buckets that
-this leaves in several components are open: all their other lines are joined exactly, by a prefix filter that loses no pair. Two
+this leaves in several components are open: in each, the lines are compared with a few more of its lines in turn. Of buckets still open all other lines are joined exactly, by a prefix filter that loses no pair. Two
 sets of a and b shingles that are similar enough share 4/9 (a + b) of them, so in an order common to all lines (rarest
 first) they meet within the first (5a - 4b)/9 + 1 and (5b - 4a)/9 + 1. What a template shares stands behind these, and 512
 parity bits of each line's shingles turn down, inside the join, pairs that differ in more than (a + b)/9 bits. Of the pairs
@@ -30,6 +30,8 @@ MINIMA, BANDS, BAND_ROWS = 16, 8, 4
 NEAR = (4, 5)
 #: Lines with one shingle that meet in one cell of the exact join.
 CELL_LINES = 1_000
+#: Further lines of an open bucket that all others are compared with.
+STAR_ROUNDS = 1
 #: Words of 64 bits in a line's parity bits.
 PARITY_WORDS = 8
 
@@ -91,6 +93,26 @@ def open_lines(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
     return pairs.join(apart.select("a"), "a", "left_semi").select(F.col("b").alias("k1")).distinct()
 
 
+def other_stars(pairs: DataFrame, rooted: DataFrame, step: int) -> DataFrame:
+    """(a, b): in each bucket that is still open, another line and those of the others that have another root; ``rooted``: k1, root.
+
+    ``step`` picks the line, a different one in each bucket, so that a large family comes together in few steps.
+    """
+    others = pairs.join(rooted.select(F.col("k1").alias("b"), "root"), "b")
+    lead = others.groupBy("a").agg(
+        F.min("root").alias("_least"), F.max("root").alias("_most"),
+        F.min(F.struct(F.xxhash64(F.lit(step), "a", "b").alias("_by"), F.col("b").alias("lead"), F.col("root").alias("_of"))).alias("_l"),
+    ).where("_least < _most").select("a", "_l.lead", "_l._of")
+    met = others.join(lead, "a").where(F.col("root") != F.col("_of"))
+    return met.select(F.least("lead", "b").alias("a"), F.greatest("lead", "b").alias("b")).distinct()
+
+
+def moved_roots(rooted: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rooted`` (k1, node, root) with the roots that ``joined`` (node, root) has joined replaced."""
+    return rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
+        "k1", "node", F.coalesce("_to", "root").alias("root"))
+
+
 def parity_bits(shingled: DataFrame) -> DataFrame:
     """k1, k2, bits (a struct of words): per bit, whether an odd number of the line's shingles fall on it; ``shingled``: k1, k2, h.
 
@@ -122,9 +144,10 @@ def prefix_pairs(rooted: DataFrame) -> DataFrame:
 
     def entries(side: str) -> DataFrame:
         """h, cells and a struct named ``side`` for each place in a line's prefix."""
-        return placed.select(*keys, "n", "root", "bits", "_alone", F.posexplode("_met").alias("_at", "_x")).select(
+        return placed.select(*keys, "n", "root", "bits", "_alone", "_met", F.posexplode("_met").alias("_at", "_x")).select(
             F.col("_x.h").alias("h"), F.ceil(F.col("_x.times") / CELL_LINES).cast("int").alias("cells"),
-            F.struct("n", *keys, "root", (F.col("_at") + F.col("_alone")).alias("at"), "bits").alias(side))
+            F.struct("n", *keys, "root", (F.col("_at") + F.col("_alone")).alias("at"), "bits",
+                     F.slice("_met.h", F.lit(1), F.col("_at")).alias("earlier")).alias(side))
 
     total = NEAR[0] + NEAR[1]
     # The smaller line of a pair never needs more than a ninth of its shingles.
@@ -136,12 +159,15 @@ def prefix_pairs(rooted: DataFrame) -> DataFrame:
     differing = sum((F.bit_count(F.col(f"x.bits.w{w}").bitwiseXOR(F.col(f"y.bits.w{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
     near = differing * total <= (F.col("x.n") + F.col("y.n")) * (NEAR[1] - NEAR[0])
     before = F.struct("x.n", "x.k1", "x.k2") < F.struct("y.n", "y.k1", "y.k2")
-    found = small.join(large, ["h", "cell"]).where((F.col("x.root") != F.col("y.root")) & reach[0] & reach[1] & near & before)
+    # Both lists are in one order, so a pair is made at its first common place only, which reaches if any does.
+    first = ~F.arrays_overlap("x.earlier", "y.earlier")
+    found = small.join(large, ["h", "cell"]).where(
+        (F.col("x.root") != F.col("y.root")) & reach[0] & reach[1] & near & before & first)
     turned = F.col("x.k1") > F.col("y.k1")
     return found.select(
         F.when(turned, F.col("y.k1")).otherwise(F.col("x.k1")).alias("a"), F.when(turned, F.col("x.k1")).otherwise(F.col("y.k1")).alias("b"),
         F.when(turned, F.col("y.root")).otherwise(F.col("x.root")).alias("ra"),
-        F.when(turned, F.col("x.root")).otherwise(F.col("y.root")).alias("rb"), differing.alias("differing")).distinct()
+        F.when(turned, F.col("x.root")).otherwise(F.col("y.root")).alias("rb"), differing.alias("differing"))
 
 
 def _shingle_set(line: str) -> Column:
@@ -209,17 +235,21 @@ def line_classes(docs: DataFrame) -> DataFrame:
     pairs = cut_lineage(candidate_pairs(signatures(lines)))
     texts = line_texts(lines, pairs)
     stars = cut_lineage(verified_links(texts, pairs))
-    roots = components(stars)
-    node = _node("k1", "k2").alias("node")
-    rooted = cut_lineage(texts.select("k1", "k2", "line", node).join(roots, "node", "left").select(
-        "k1", "k2", "line", "node", F.coalesce("root", "node").alias("root")))
-    unsettled = cut_lineage(rooted.join(open_lines(pairs, rooted), "k1", "left_semi"))
+    named = texts.withColumn("node", _node("k1", "k2"))
+    rooted = cut_lineage(named.join(components(stars), "node", "left").select("k1", "node", F.coalesce("root", "node").alias("root")))
+    for step in range(STAR_ROUNDS):
+        more = cut_lineage(other_stars(pairs, rooted, step))
+        if more.isEmpty():
+            break
+        links = cut_lineage(root_links(rooted, verified_links(texts, more)))
+        rooted = cut_lineage(moved_roots(rooted, components(links)))
+    unsettled = cut_lineage(named.join(rooted.select("node", "root"), "node").join(open_lines(pairs, rooted), "k1", "left_semi").select(
+        "k1", "k2", "line", "root"))
     found = cut_lineage(prefix_pairs(unsettled))
     if not found.isEmpty():
-        joined = cut_lineage(joined_roots(texts, rooted, found))
-        nodes = roots.union(joined.select("node", F.col("node").alias("root"))).distinct()
-        roots = nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select(
-            "node", F.coalesce("_to", "root").alias("root"))
+        rooted = cut_lineage(moved_roots(rooted, joined_roots(texts, rooted, found)))
+    apart = rooted.where("node <> root").select("node", "root")
+    roots = apart.union(apart.select("root", "root").distinct())
     occurrences = lines.select("doc_id", "no", _node("k1", "k2").alias("node"))
     repeated = occurrences.groupBy("node").agg(F.count("*").alias("_times")).where("_times > 1").select("node")
     classed = repeated.join(roots, "node", "full_outer").select("node", F.coalesce("root", "node").alias("class_id"))
