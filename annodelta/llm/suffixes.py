@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ CHUNK = 1 << 20
 BUCKET_BYTES = 12 << 20
 NULL_ID = (1 << 63) - 1
 BLOB = "target int, data binary"
+WORD = 1 << 63
 ROWS_AT_ONCE = 256  # of texts taken out of a batch together
 
 
@@ -271,6 +273,22 @@ def _send_contexts(buckets: int, length: int) -> Callable[[pa.Table, pa.Table],
     return run
 
 
+def _joined(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns of numbers from 0 as one column in the same order, if a word holds it."""
+    widths = [int(c.max()) + 1 if len(c) else 1 for c in columns]
+    if math.prod(widths) >= WORD:
+        return columns
+    joined = columns[0]
+    for column, width in zip(columns[1:], widths[1:]):
+        joined = joined * width + column
+    return (joined,)
+
+
+def _sorted_places(*columns: np.ndarray) -> np.ndarray:
+    """Places in ascending order of the columns; equal ones in any order."""
+    return np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffixes of ``text`` (numbers above 0) in order, by the difference cover {1, 2} modulo 3."""
     n = len(text)
@@ -280,8 +298,8 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     ones = np.arange(1, n + (n % 3 == 1), 3)  # a place behind the end keeps the two halves of the names apart
     twos = np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    triples = padded[sample], padded[np.minimum(sample + 1, n + 2)], padded[np.minimum(sample + 2, n + 2)]
-    order = np.lexsort(triples[::-1])
+    triples = _joined(padded[sample], padded[np.minimum(sample + 1, n + 2)], padded[np.minimum(sample + 2, n + 2)])
+    order = _sorted_places(*triples)
     named = np.cumsum(_first_of_runs(*(t[order] for t in triples)))
     names = np.empty(len(sample), np.int64)
     names[order] = named
@@ -293,7 +311,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     sample_order = sample[order]
     sample_order = sample_order[sample_order < n]
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.lexsort([rank[zeros + 1], padded[zeros]])]
+    zeros = zeros[_sorted_places(*_joined(padded[zeros], rank[zeros + 1]))]
     return _merge(padded, rank, zeros, sample_order, n)
 
 
@@ -305,9 +323,10 @@ def _merge(padded: np.ndarray, rank: np.ndarray, zeros: np.ndarray, sample_order
     width = int(padded.max()) + 1
     pairs_two = padded[seconds] * width + padded[seconds + 1]
     pairs_zero = padded[zeros] * width + padded[zeros + 1]
-    _, number = np.unique(np.concatenate([pairs_two, pairs_zero]), return_inverse=True)
-    before = before + np.searchsorted(number[:len(seconds)] * top + rank[seconds + 2],
-                                      number[len(seconds):] * top + rank[zeros + 2])
+    if width * width * top >= WORD:
+        _, number = np.unique(np.concatenate([pairs_two, pairs_zero]), return_inverse=True)
+        pairs_two, pairs_zero = number[:len(seconds)], number[len(seconds):]
+    before = before + np.searchsorted(pairs_two * top + rank[seconds + 2], pairs_zero * top + rank[zeros + 2])
     merged = np.full(n, -1, np.int64)
     merged[np.arange(len(zeros)) + before] = zeros
     merged[merged < 0] = sample_order
@@ -326,10 +345,16 @@ def window_classes(bodies: list[bytes], owners: np.ndarray, length: int) -> list
     order = order[valid[order]]
     owner = np.repeat(owners, sizes)[order]
     new = np.ones(len(order), dtype=bool)
-    for a in range(1, len(order), 1 << 16):  # adjacent prefixes
+    # Adjacent prefixes, eight bytes at a time; the last eight may overlap those before.
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    steps = [*range(0, length - 8, 8), length - 8]
+    for a in range(1, len(order), 1 << 16):
         part = order[a - 1:a + (1 << 16)]
-        rows = data[part[:, None] + np.arange(length)]
-        new[a:a + len(part) - 1] = (rows[1:] != rows[:-1]).any(axis=1)
+        differ = np.zeros(len(part) - 1, dtype=bool)
+        for step in steps:
+            word = eight[part + step]
+            differ |= word[1:] != word[:-1]
+        new[a:a + len(part) - 1] = differ
     least = np.empty(len(data), np.int64)
     if len(order):
         least[order] = np.minimum.reduceat(owner, np.flatnonzero(new))[np.cumsum(new) - 1]

@@ -76,6 +76,19 @@ def test_suffix_order(symbols):
     assert suffixes.suffix_order(np.array(symbols, dtype=np.int64)).tolist() == expected
 
 
+def test_suffix_order_sorts_one_word_a_suffix(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(1, 1 + top, n) for top in (1, 2, 5, 200) for n in (3, 4, 5, 50, 301)]
+    expected = [sorted(range(len(t)), key=lambda i: t[i:].tolist()) for t in texts]
+    monkeypatch.setattr(suffixes, "WORD", 8)  # columns that no word holds
+    assert [suffixes.suffix_order(t).tolist() for t in texts] == expected
+    monkeypatch.undo()
+    monkeypatch.setattr(np, "lexsort", None)  # columns that one holds need no sort by several
+    assert [suffixes.suffix_order(t).tolist() for t in texts] == expected
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 def _brute_print(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
