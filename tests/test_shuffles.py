@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from annodelta.operators import pairing, signature, skew
+from workload import release
 
+SMALL = "/root/testdata/sf0.001"
 COLUMNS = "contig string, gene_id string, transcript_id string, type string, start long, end long, fwd boolean, ord long"
 
 
@@ -51,3 +53,28 @@ def test_hot_keys_of_unlike_types_lose_no_pair(spark):
     for one, other in ((left, right), (right.withColumnRenamed("b", "a"), right)):
         joined = skew.salted_join(one, other, ["k"], rows_per_cell=20, pairs_per_cell=500)
         assert joined.select("a", "b").distinct().count() == joined.count() == 30_000
+
+
+def test_mapping_lists_shuffle_lines_once_and_sort_no_region(spark):
+    lists = release.feature_lists(spark, SMALL)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Window" not in plan
+
+
+def test_digests_of_lists_tell_the_same_transcripts_apart(spark):
+    for types in (None, ["CDS", "stop_codon"]):
+        sides = signature.digests_of_lists(release.feature_lists(spark, SMALL), types)
+        of_rows = [signature.signature_digests(a.features, types).withColumnRenamed("signature", "row") for a in release.releases(spark, SMALL)]
+        keys = ["contig", "gene_id", "transcript_id"]
+        joined = [one.join(other, keys, "full_outer").select("signature", "row") for one, other in zip(sides, of_rows)]
+        classes = [tuple(map(bytes, r)) for r in joined[0].union(joined[1]).collect()]
+        assert len({a for a, _ in classes}) == len({b for _, b in classes}) == len(set(classes)) > 100
+
+
+def test_extents_of_signed_transcripts_are_those_of_the_release(spark):
+    sides = signature.digests_of_lists(release.feature_lists(spark, SMALL))
+    for side, signed in zip(release.SIDES, sides):
+        genes = release.with_extents(spark, SMALL, side, signed).genes
+        plain = release.release(spark, SMALL, side).genes
+        assert genes.columns == plain.columns
+        assert sorted(map(str, genes.collect())) == sorted(map(str, plain.collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annodelta import annotation as A
 from annodelta.operators import loci, origins, pairing, signature, statistics
 from annodelta.session import cut_lineage
-from workload.release import release, release_sql, releases
+from workload.release import SIDES, feature_lists, release, release_sql, releases, with_extents
 
 REL = release_sql()
 
@@ -37,10 +37,17 @@ map AS (
   FROM coding)"""
 
 
+def _signed_releases(spark: SparkSession, sf_dir: str) -> tuple[A.Annotation, A.Annotation, tuple[DataFrame, DataFrame]]:
+    """Both releases and their signatures, from lines shuffled once; the genes' extents come from the signed transcripts."""
+    signatures = signature.digests_of_lists(feature_lists(spark, sf_dir))
+    target, query = (with_extents(spark, sf_dir, side, signed) for side, signed in zip(SIDES, signatures))
+    return target, query, signatures
+
+
 def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gene mapping in the layout of the mapping file."""
-    target, query = releases(spark, sf_dir)
-    return render_mapping(signature.map_genes(target, query))
+    target, query, signatures = _signed_releases(spark, sf_dir)
+    return render_mapping(signature.map_genes(target, query, signatures=signatures))
 
 
 def render_mapping(pairs: DataFrame) -> DataFrame:
@@ -53,8 +60,8 @@ def render_mapping(pairs: DataFrame) -> DataFrame:
 
 def signature_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gene mapping by transcripts of similar structure."""
-    target, query = releases(spark, sf_dir)
-    return render_mapping(signature.map_genes(target, query, cutoff=SIMILAR))
+    target, query, signatures = _signed_releases(spark, sf_dir)
+    return render_mapping(signature.map_genes(target, query, cutoff=SIMILAR, signatures=signatures))
 
 
 SIMILAR = 0.9
@@ -76,8 +83,8 @@ cand AS (
 
 
 def signature_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, query = releases(spark, sf_dir)
-    pairs = cut_lineage(signature.map_genes(target, query).select("contig", "target_gene_id", "query_gene_id"))
+    target, query, signatures = _signed_releases(spark, sf_dir)
+    pairs = cut_lineage(signature.map_genes(target, query, signatures=signatures).select("contig", "target_gene_id", "query_gene_id"))
     return signature.unmapped_genes(target, pairs, "target").unionByName(
         signature.unmapped_genes(query, pairs, "query")
     )
@@ -95,12 +102,11 @@ WHERE g.gene_biotype IS NOT NULL AND (g.gene_biotype = 'protein_coding' OR g.sou
 
 def signature_allowed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, query = releases(spark, sf_dir)
-    return render_mapping(signature.map_genes(target, query, allowed_types=["CDS"]))
+    return render_mapping(signature.map_genes(target, query, signatures=signature.digests_of_lists(feature_lists(spark, sf_dir), ["CDS"])))
 
 
 def _transcript_matches(spark: SparkSession, sf_dir: str):
-    target, query = releases(spark, sf_dir)
-    signatures = tuple(signature.signature_digests(side.features) for side in (target, query))
+    target, query, signatures = _signed_releases(spark, sf_dir)
     pairs = cut_lineage(signature.map_genes(target, query, signatures=signatures))
     return target, query, pairs, signature.map_transcripts(pairs, *signatures)
 

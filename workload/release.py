@@ -9,6 +9,8 @@ segment, so their number grows with the data while their density stays the same.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,31 +43,48 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def _customers(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+def _contig() -> Column:
+    return F.concat("c_mktsegment", F.lit("_"), F.expr(f"c_custkey div {CUSTOMERS_PER_CONTIG}").cast("string"))
+
+
+def _forward() -> Column:
+    return F.col("c_nationkey") <= 12
+
+
+def _gene_id(side: str) -> Column:
     renamed = F.lit(side == "query") & (F.col("c_acctbal") < -800)
+    return F.concat(F.lit("G"), F.col("c_custkey").cast("string"), F.when(renamed, "n").otherwise(""))
+
+
+def _customers(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
-        F.concat(
-            "c_mktsegment", F.lit("_"), F.expr(f"c_custkey div {CUSTOMERS_PER_CONTIG}").cast("string")
-        ).alias("contig"),
-        F.concat(F.lit("G"), F.col("c_custkey").cast("string"), F.when(renamed, "n").otherwise("")).alias("gene_id"),
+        _contig().alias("contig"),
+        _gene_id(side).alias("gene_id"),
         F.when(F.col("c_nationkey") != 7, F.col("c_name")).alias("gene_name"),
         F.when(F.col("c_nationkey") == 24, F.lit(None))
         .when(F.col("c_acctbal") > 0, "protein_coding").otherwise("lncRNA").alias("gene_biotype"),
         F.when(F.col("c_nationkey") == 3, "protein_coding").otherwise("havana").alias("source"),
-        (F.col("c_nationkey") <= 12).alias("fwd"),
+        _forward().alias("fwd"),
     )
 
 
+def _present(side: str) -> Column:
+    return F.col("o_totalprice") <= 495_000 if side == "target" else F.col("o_totalprice") >= 6_000
+
+
+def _transcript_id(side: str) -> Column:
+    renamed = F.lit(side == "query") & (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")
+    return F.concat(F.lit("T"), F.col("o_orderkey").cast("string"), F.when(renamed, ".2").otherwise(""))
+
+
 def _orders(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    price, priority, status = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
-    present = price <= 495_000 if side == "target" else price >= 6_000
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     revised = F.lit(side == "query")
-    renamed = revised & (priority == "5-LOW") & (status == "P")
-    return table(spark, sf_dir, "orders").where(present).select(
+    return table(spark, sf_dir, "orders").where(_present(side)).select(
         "o_orderkey",
         "o_custkey",
-        F.concat(F.lit("T"), F.col("o_orderkey").cast("string"), F.when(renamed, ".2").otherwise("")).alias("transcript_id"),
+        _transcript_id(side).alias("transcript_id"),
         F.when(revised & (priority == "1-URGENT") & (status == "F"), "retained_intron")
         .when(priority.isin("1-URGENT", "2-HIGH"), "protein_coding")
         .when(priority == "3-MEDIUM", "nonsense_mediated_decay")
@@ -73,52 +92,73 @@ def _orders(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    hundredths = {c: F.round(F.col(c) * 100).cast("int") for c in ("l_discount", "l_tax")}
+def _hundredths(column: str) -> Column:
+    return F.round(F.col(column) * 100).cast("int")
+
+
+def _kept(side: str, tax: Column) -> Column:
+    """Whether a release has the line."""
+    return tax != 8 if side == "query" else F.lit(True)
+
+
+def _offsets(side: str, discount: Column) -> tuple[Column, Column]:
+    """Start and end of a line's region from the place of its gene."""
+    day = F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")) * DAY_WIDTH
+    shift = F.when(discount == 0, 3).otherwise(0) if side == "query" else F.lit(0)
+    growth = F.when(discount == 10, 7).otherwise(0) if side == "query" else F.lit(0)
+    return ((day + 1 + shift).cast("long"),
+            (day + growth + F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).cast("long"))
+
+
+def _read_lines(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     if side == "query":
-        lines = lines.where(hundredths["l_tax"] != 8)
-        shift = F.when(hundredths["l_discount"] == 0, 3).otherwise(0)
-        growth = F.when(hundredths["l_discount"] == 10, 7).otherwise(0)
-    else:
-        shift = growth = F.lit(0)
-    derived = lines.select(
+        lines = lines.where(_kept(side, _hundredths("l_tax")))
+    offset, offset_end = _offsets(side, _hundredths("l_discount"))
+    return lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
-        (F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")) * DAY_WIDTH + 1 + shift).cast("long").alias("offset"),
-        (F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")) * DAY_WIDTH + growth
-         + F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).cast("long").alias("offset_end"),
+        offset.alias("offset"), offset_end.alias("offset_end"),
     )
-    return spread(derived, "l_orderkey", "l_partkey")
 
 
-def _features(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    # The place of a line in its order stands for the values it follows from; equal lines share a place.
+def _lines(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    # By order only: what is done per order then needs no second shuffle.
+    return spread(_read_lines(spark, sf_dir, side), "l_orderkey")
+
+
+def _ranked(lines: DataFrame) -> DataFrame:
+    """The place of a line in its order stands for the values it follows from; equal lines share a place."""
     of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = _lines(spark, sf_dir, side).withColumn("line", F.rank().over(of_order).cast("long")).drop(
-        "l_partkey", "l_suppkey", "l_extendedprice")
-    # Orders meet their customers first, so that lines are shuffled once, by order.
-    orders = _orders(spark, sf_dir, side).join(_customers(spark, sf_dir, side), F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "contig", "gene_id", "transcript_id", "fwd", (F.col("c_custkey") * LOCUS_SPACING).alias("locus"))
-    located = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("start", F.col("locus") + F.col("offset"))
-        .withColumn("end", F.col("locus") + F.col("offset_end"))
-    )
-    ln, flag, status = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus")
+    return lines.withColumn("line", F.rank().over(of_order).cast("long")).drop("l_partkey", "l_suppkey", "l_extendedprice")
+
 
+def _children(start: Column, end: Column, ln: Column, flag: Column, status: Column) -> Column:
+    """The features of a line at ``start`` and ``end``."""
     def child(kind: str, start: Column, end: Column, rank: Column | int) -> Column:
         return F.struct(
             F.lit(kind).alias("type"), start.cast("long").alias("start"), end.cast("long").alias("end"),
             (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("sub"),
         )
 
-    start, end = F.col("start"), F.col("end")
-    children = F.array_compact(F.array(
+    return F.array_compact(F.array(
         child("exon", start, end, 1),
         F.when(flag != "N", child("CDS", start + ln, end, F.when(flag == "A", 0).otherwise(2))),
         F.when(flag == "A", child("five_prime_utr", start, start + ln - 1, 3)),
         F.when((flag == "R") & (status == "F"), child("stop_codon", end - 2, end, 4)),
     ))
+
+
+def _features(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    lines = _ranked(_lines(spark, sf_dir, side))
+    # Orders meet their customers first, so that lines are shuffled once, by order.
+    orders = _orders(spark, sf_dir, side).join(_customers(spark, sf_dir, side), F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "contig", "gene_id", "transcript_id", "fwd", (F.col("c_custkey") * LOCUS_SPACING).alias("locus"))
+    located = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("start", F.col("locus") + F.col("offset"))
+        .withColumn("end", F.col("locus") + F.col("offset_end"))
+    )
+    children = _children(*(F.col(c) for c in ("start", "end", "l_linenumber", "l_returnflag", "l_linestatus")))
     return located.select(
         "contig", "gene_id", "transcript_id", "fwd", "line", F.col("l_orderkey").alias(PART), F.explode(children).alias("child"),
     ).select(
@@ -127,6 +167,52 @@ def _features(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
+def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """side, contig, gene_id, transcript_id, fwd, features (type, start, end, ord): one row per transcript of either release.
+
+    Lines are shuffled once for both releases and gathered by order as they are; what an order knows is joined to the gathered
+    rows, and features exist only inside the lists. Starts and ends count from the place of the gene.
+    """
+    places = {side: _offsets(side, _hundredths("l_discount")) for side in SIDES}
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
+        *(place.alias(f"{side}_{name}") for side in SIDES for place, name in zip(places[side], ("start", "end"))),
+        *(F.coalesce(_kept(side, _hundredths("l_tax")), F.lit(False)).alias(f"{side}_kept") for side in SIDES))
+    gathered = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(*(c for c in lines.columns if c != "l_orderkey"))).alias("lines"))
+    ids = [F.when(_present(side), _transcript_id(side)).alias(f"{side}_transcript") for side in SIDES]
+    genes = [_gene_id(side).alias(f"{side}_gene") for side in SIDES]
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *ids).join(
+        table(spark, sf_dir, "customer").select("c_custkey", _contig().alias("contig"), _forward().alias("fwd"), *genes),
+        F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+
+    def features(side: str) -> Column:
+        def of(line: Column) -> Column:
+            values = (line[c] for c in (f"{side}_start", f"{side}_end", "l_linenumber", "l_returnflag", "l_linestatus"))
+            return F.transform(_children(*values), lambda child: F.struct(
+                child["type"].alias("type"), child["start"].alias("start"), child["end"].alias("end"), F.struct(
+                    line["l_linenumber"], line["l_partkey"], line["l_suppkey"], line["l_extendedprice"], child["sub"]).alias("ord")))
+
+        return F.flatten(F.transform(F.filter("lines", lambda line: line[f"{side}_kept"]), of))
+
+    revised = [F.when(F.col(f"{side}_transcript").isNotNull(), F.struct(
+        F.lit(side).alias("side"), F.col(f"{side}_gene").alias("gene_id"), F.col(f"{side}_transcript").alias("transcript_id"),
+        features(side).alias("features"))) for side in SIDES]
+    located = gathered.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "contig", "fwd", F.explode(F.array_compact(F.array(*revised))).alias("of"))
+    return located.select("of.side", "contig", "of.gene_id", "of.transcript_id", "fwd", "of.features")
+
+
+def with_extents(spark: SparkSession, sf_dir: str, side: str, transcripts: DataFrame) -> Annotation:
+    """A release whose genes take their extent from ``transcripts`` (contig, gene_id, start, end from the place of the gene)."""
+    locus = F.col("c_custkey") * LOCUS_SPACING
+    spans = transcripts.groupBy("contig", "gene_id").agg(F.min("start").alias("offset"), F.max("end").alias("offset_end"))
+    genes = _customers(spark, sf_dir, side).join(spans, ["contig", "gene_id"], "left").select(
+        "contig", "gene_id", "gene_name", "gene_biotype", "source", (locus + F.col("offset")).alias("start"),
+        (locus + F.col("offset_end")).alias("end"), "fwd")
+    return replace(release(spark, sf_dir, side), genes=genes)
+
+
 def release(spark: SparkSession, sf_dir: str, side: str) -> Annotation:
     """The target or query release; transcripts without line items keep null coordinates."""
     key = (spark.sparkContext.applicationId, sf_dir, side)
@@ -136,7 +222,8 @@ def release(spark: SparkSession, sf_dir: str, side: str) -> Annotation:
 
 
 def _derive(spark: SparkSession, sf_dir: str, side: str) -> Annotation:
-    extent = _lines(spark, sf_dir, side).groupBy("l_orderkey").agg(
+    # The lines of an order combine where they are read.
+    extent = _read_lines(spark, sf_dir, side).groupBy("l_orderkey").agg(
         F.min("offset").alias("offset"), F.max("offset_end").alias("offset_end")
     )
     customers, locus = _customers(spark, sf_dir, side), F.col("c_custkey") * LOCUS_SPACING
@@ -151,9 +238,13 @@ def _derive(spark: SparkSession, sf_dir: str, side: str) -> Annotation:
         "contig", "gene_id", "transcript_id", F.lit(None).cast("string").alias("transcript_name"),
         "transcript_biotype", "source", "start", "end", "fwd",
     )
-    spans = transcripts.groupBy("contig", "gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    genes = customers.join(spans, ["contig", "gene_id"], "left").select(
-        "contig", "gene_id", "gene_name", "gene_biotype", "source", "start", "end", "fwd"
+    # Genes take their extent from the orders of a customer, by its key: the ids and names of transcripts stay out of it.
+    spans = _orders(spark, sf_dir, side).select("o_orderkey", "o_custkey").join(
+        extent, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(
+        F.min("offset").alias("offset"), F.max("offset_end").alias("offset_end"))
+    genes = customers.join(spans, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        "contig", "gene_id", "gene_name", "gene_biotype", "source", (locus + F.col("offset")).alias("start"),
+        (locus + F.col("offset_end")).alias("end"), "fwd"
     )
     return Annotation(genes, transcripts, _features(spark, sf_dir, side))
 
