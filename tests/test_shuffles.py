@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from annodelta.operators import pairing, signature, skew
+from annodelta.operators import loci, pairing, signature, skew
 from workload import release
 
 SMALL = "/root/testdata/sf0.001"
@@ -78,3 +78,13 @@ def test_extents_of_signed_transcripts_are_those_of_the_release(spark):
         plain = release.release(spark, SMALL, side).genes
         assert genes.columns == plain.columns
         assert sorted(map(str, genes.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_overlaps_read_their_inputs_once(spark):
+    one = F.udf(lambda k: read.add(1) or k, "long").asNondeterministic()
+    read = spark.sparkContext.accumulator(0)
+    made = spark.range(100).withColumn("start", one("id")).select(
+        F.lit("c").alias("contig"), (F.col("start") * 10).alias("start"), (F.col("start") * 10 + 14).alias("end"))
+    pairs = loci.overlapping_pairs(made, made.withColumn("name", F.lit("q")), ["contig"])
+    assert pairs.count() == 100 + 2 * 99
+    assert read.value == 200
