@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from annodelta.operators import loci, pairing, signature, skew
+from annodelta.operators import loci, matching, pairing, signature, skew
 from workload import release
 
 SMALL = "/root/testdata/sf0.001"
@@ -88,3 +88,22 @@ def test_overlaps_read_their_inputs_once(spark):
     pairs = loci.overlapping_pairs(made, made.withColumn("name", F.lit("q")), ["contig"])
     assert pairs.count() == 100 + 2 * 99
     assert read.value == 200
+
+
+def test_reciprocal_hits_make_their_pairs_once(spark):
+    rows = [("c", f"t{t}", f"q{q}", round(1 / (1 + abs(t - q) % 3), 6), t) for t in range(9) for q in range(9)]
+    rows += [("c", None, "q1", 9.0, 0), (None, "t1", "q1", 9.0, 0), ("c", "t0", "q0", 0.5, 7)]
+    made = F.udf(lambda s: read.add(1) or s, "double").asNondeterministic()
+    read = spark.sparkContext.accumulator(0)
+    scores = spark.createDataFrame(rows, "contig string, target_transcript_id string, query_transcript_id string, score double, n int")
+    found = matching.reciprocal_best_hits(scores.withColumn("score", made("score")))
+    assert found.columns == scores.columns
+    per = {}
+    for own, other in ((1, 2), (2, 1)):
+        for r in rows:
+            key = (own, r[0], r[own])
+            if key not in per or (-r[3], r[other] or "") < (-per[key][3], per[key][other] or ""):
+                per[key] = r
+    mutual = [r for (own, c, i), r in per.items() if own == 1 and None not in (c, *r[1:3]) and per[(2, c, r[2])][1] == i]
+    assert sorted(map(tuple, found.collect())) == sorted(mutual) != []
+    assert read.value == len(rows)
