@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from annodelta.functions import sequence
 from annodelta.operators import loci, matching, pairing, signature, skew
 from workload import release
 
@@ -107,3 +108,19 @@ def test_reciprocal_hits_make_their_pairs_once(spark):
     mutual = [r for (own, c, i), r in per.items() if own == 1 and None not in (c, *r[1:3]) and per[(2, c, r[2])][1] == i]
     assert sorted(map(tuple, found.collect())) == sorted(mutual) != []
     assert read.value == len(rows)
+
+
+def test_verdicts_equal_comparing_the_whole_proteins(spark):
+    letters = [("ATGTAAC", "ATGTAGC"), ("TAAATG", "TAGCTG"), ("ATGCCC", "ATGACC"), ("ATGCC", "ATGCCC"), ("NNNXY ", "NNNXYA"),
+               ("TTTTAATTT", "TTCTAGCTT"), (None, "ATG"), ("ATG", None), ("", ""), ("AA", "AC"), ("TAACCC", "TAAACC"), ("GGGTAA", "GGATAA")]
+    frame = spark.createDataFrame(letters, "a string, b string")
+    got = frame.select("a", "b", *(sequence.protein_changed(F.col("a"), F.col("b"), skip) for skip in (True, False)),
+                       sequence.translate_codons(F.col("a")), sequence.translate_codons(F.col("b"))).collect()
+    for a, b, skipping, whole, x, y in got:
+        if a is None or b is None:
+            assert skipping is None and whole is None
+            continue
+        for skip, changed in ((1, skipping), (0, whole)):
+            used = (len(a) - skip) // 3 if a else 0
+            stop = next((k for k in range(used) if x[k:k + 1] == y[k:k + 1] == "*"), used)
+            assert changed == (len(a) != len(b) or x[:stop] != y[:stop]), (a, b, skip)
