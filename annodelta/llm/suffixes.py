@@ -24,8 +24,8 @@ rows with equal doc_id never remove from each other; equal rows give equal resul
 from __future__ import annotations
 
 import hashlib
-import io
 import math
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,24 +44,32 @@ NULL_ID = (1 << 63) - 1
 BLOB = "target int, data binary"
 WORD = 1 << 63
 ROWS_AT_ONCE = 256  # of texts taken out of a batch together
+ANCHORS_AT_ONCE = 1 << 20  # sent together: the more buckets, the more of them are needed for blobs of some size
+CONTEXT_BYTES_AT_ONCE = 16 << 20
+HEAD = struct.Struct("<3sq")  # type and length of a packed array
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob; the bytes of equal weight stand together, which suits sorted and small numbers."""
-    out = io.BytesIO()
+    """Arrays as one compressed blob; the bytes of equal weight stand together, which suits sorted and small numbers.
+
+    Each array, which may be empty, follows its type and length, so that many small blobs cost little.
+    """
+    out = []
     for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
-        np.save(out, np.array([a.dtype.str]), allow_pickle=False)
-        np.save(out, np.ascontiguousarray(planes), allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        out += [HEAD.pack(a.dtype.str.encode(), len(a)), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
-    raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(data))
-    arrays = []
-    while raw.tell() < len(raw.getbuffer()):
-        kind = np.dtype(str(np.load(raw, allow_pickle=False)[0]))
-        arrays.append(np.ascontiguousarray(np.load(raw, allow_pickle=False).T).reshape(-1).view(kind))
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    arrays, at = [], 0
+    while at < len(raw):
+        kind, size = HEAD.unpack_from(raw, at)
+        kind, at = np.dtype(kind.decode()), at + HEAD.size
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        arrays.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += size * kind.itemsize
     return arrays
 
 
@@ -135,6 +143,8 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _by_target(target: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if len(target) and target.max() < 65_536:
+        target = target.astype(np.uint16)  # sorted by counting
     order = np.argsort(target, kind="stable")
     target = target[order]
     cuts = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.empty(0, np.int64)
@@ -160,35 +170,45 @@ def _first_of_runs(*sorted_columns: np.ndarray) -> np.ndarray:
 def _send_anchors(buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Anchors by bucket of their hash: (hash, uid, block, place, state). State 0: to be decided; 1: shared, to be passed
     on; 2: a mark that the hash is shared."""
+    def packed(h: np.ndarray, row: np.ndarray, uid: np.ndarray, block: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(h, kind="stable")  # rows and places ascend already
+        h, row, uid, block, at = (c[order] for c in (h, row, uid, block, at))
+        once = _first_of_runs(h, row, at)
+        h, row, uid, block, at = (c[once] for c in (h, row, uid, block, at))
+        run_of = np.cumsum(_first_of_runs(h)) - 1
+        shared = (np.bincount(run_of, _first_of_runs(h, row)) > 1)[run_of]
+        target = _bucket(h, buckets)
+        mark = np.flatnonzero(shared & _first_of_runs(h))
+        # What is decided goes to a bucket by its text, a mark for it to the bucket of its hash.
+        target[shared] = (uid[shared].astype(np.uint64) >> np.uint64(17)) % np.uint64(buckets)
+        take = np.concatenate([np.arange(len(h)), mark])
+        state = np.concatenate([shared.astype(np.uint8), np.full(len(mark), 2, np.uint8)])
+        target = np.concatenate([target, _bucket(h[mark], buckets)])
+        rows = []
+        for t, (own_h, own_uid, own_block, *rest) in _by_target(target, h[take], uid[take], block[take], at[take], state):
+            # 48 bits of the hash tell anchors apart well enough here, and each text is named once.
+            known, first, number = np.unique(own_uid, return_index=True, return_inverse=True)
+            rows.append((t, pack_arrays(own_h >> np.uint64(16), number.astype(np.uint16 if len(known) < 65_536 else np.uint32),
+                                        *rest, known, own_block[first])))
+        return _blob_batch(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows_before = size = 0
         for batch in batches:
             uid, block = batch.column("_uid").to_numpy(), batch.column("_block").to_numpy().astype(np.int32)
             texts = batch.column("_text").cast(pa.binary()).to_pylist()
             for data, starts, row, place, anchor, hashed in _windows(texts, length):
                 first = _first_of_runs(anchor)
-                h, r, at = hashed[first], row[first], (place + anchor - starts)[first]
-                order = np.lexsort([at, r, h])
-                h, r, at = h[order], r[order], at[order]
-                once = _first_of_runs(h, r, at)
-                h, r, at = h[once], r[once], at[once]
-                run_of = np.cumsum(_first_of_runs(h)) - 1
-                per_row = _first_of_runs(h, r)
-                shared = (np.bincount(run_of, per_row) > 1)[run_of] if len(h) else np.empty(0, bool)
-                target = _bucket(h, buckets)
-                mark = np.flatnonzero(shared & _first_of_runs(h))
-                # What is decided goes to a bucket by its text, a mark for it to the bucket of its hash.
-                target[shared] = (uid[r[shared]].astype(np.uint64) >> np.uint64(17)) % np.uint64(buckets)
-                take = np.concatenate([np.arange(len(h)), mark])
-                state = np.concatenate([shared.astype(np.uint8), np.full(len(mark), 2, np.uint8)])
-                target = np.concatenate([target, _bucket(h[mark], buckets)])
-                rows = []
-                for t, (own_h, own_r, *rest) in _by_target(target, h[take], r[take], at[take].astype(np.int32), state):
-                    # 48 bits of the hash tell anchors apart well enough here, and each text is named once.
-                    known, number = np.unique(own_r, return_inverse=True)
-                    rows.append((t, pack_arrays(own_h >> np.uint64(16), number.astype(np.uint16 if len(known) < 65_536 else np.uint32),
-                                                *rest, uid[known], block[known])))
-                if rows:
-                    yield _blob_batch(rows)
+                r = row[first]
+                held.append((hashed[first], r + rows_before, uid[r], block[r], (place + anchor - starts)[first].astype(np.int32)))
+                size += len(r)
+                if size >= ANCHORS_AT_ONCE:
+                    yield packed(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+            rows_before += batch.num_rows
+        if size:
+            yield packed(*map(np.concatenate, zip(*held)))
 
     return run
 
@@ -240,6 +260,30 @@ def _send_contexts(buckets: int, length: int) -> Callable[[pa.Table, pa.Table],
         texts = [t if k else b"" for t, k in zip(texts, np.isin(np.arange(len(texts)), wanted))]
         keys = np.unique(position.astype(np.int64) << 40 | shared_at)
         rows: list[tuple[int, bytes]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        bodies: list[bytes] = []
+
+        def send() -> None:
+            r, h, at, size = map(np.concatenate, zip(*held))
+            own = ids[r]
+            least: dict[bytes, int] = {}
+            for body, o in zip(bodies, own.tolist()):
+                if least.get(body, NULL_ID) >= o:
+                    least[body] = o
+            state = np.array([o > least[body] for body, o in zip(bodies, own.tolist())], dtype=np.uint8)
+            target = _bucket(h, buckets)
+            decided = state == 1
+            target[decided] = (uid[r[decided]].astype(np.uint64) >> np.uint64(17)) % np.uint64(buckets)
+            number = np.arange(len(r))
+            for t, c in _by_target(target, h, uid[r], own, at, size.astype(np.int32), state, number):
+                body = b"".join(bodies[k] for k, s in zip(c[6].tolist(), c[5].tolist()) if not s)  # none where all are decided
+                blocks = np.full(len(c[0]), block, np.int32)
+                # The lower 32 bits of the hash, which an anchor's being least does not bias; contexts are compared in full.
+                rows.append((t, pack_arrays(c[0].astype(np.uint32), *c[1:3], blocks, c[3].astype(np.int64), *c[4:6], np.frombuffer(body, np.uint8))))
+            held.clear()
+            bodies.clear()
+
+        held_bytes = 0
         for data, starts, row, place, anchor, hashed in _windows(texts, length):
             key = row.astype(np.int64) << 40 | (place + anchor - starts)
             found = np.searchsorted(keys, key)
@@ -250,24 +294,16 @@ def _send_contexts(buckets: int, length: int) -> Callable[[pa.Table, pa.Table],
             head = _first_of_runs(key)
             head[1:] |= starts[1:] != starts[:-1] + 1
             begin = np.flatnonzero(head)
-            count = np.diff(np.append(begin, len(starts)))
-            r, h, at, size = row[begin], hashed[begin], place[begin], count + length - 1
+            size = np.diff(np.append(begin, len(starts))) + length - 1
             raw = data.tobytes()
-            bodies = [raw[a:a + s] for a, s in zip(starts[begin].tolist(), size.tolist())]
-            least: dict[bytes, int] = {}
-            for body, own in zip(bodies, ids[r].tolist()):
-                if least.get(body, NULL_ID) >= own:
-                    least[body] = own
-            state = np.array([own > least[body] for body, own in zip(bodies, ids[r].tolist())], dtype=np.uint8)
-            target = _bucket(h, buckets)
-            decided = state == 1
-            target[decided] = (uid[r[decided]].astype(np.uint64) >> np.uint64(17)) % np.uint64(buckets)
-            number = np.arange(len(r))
-            for t, c in _by_target(target, h, uid[r], ids[r], at, size.astype(np.int32), state, number):
-                body = b"".join(bodies[k] for k, s in zip(c[6].tolist(), c[5].tolist()) if not s)
-                blocks = np.full(len(c[0]), block, np.int32)
-                # The lower 32 bits of the hash, which an anchor's being least does not bias; contexts are compared in full.
-                rows.append((t, pack_arrays(c[0].astype(np.uint32), *c[1:3], blocks, c[3].astype(np.int64), *c[4:6], np.frombuffer(body, np.uint8))))
+            bodies += [raw[a:a + s] for a, s in zip(starts[begin].tolist(), size.tolist())]
+            held.append((row[begin], hashed[begin], place[begin], size))
+            held_bytes += int(size.sum())
+            if held_bytes >= CONTEXT_BYTES_AT_ONCE:
+                send()
+                held_bytes = 0
+        if held:
+            send()
         return pa.Table.from_batches([_blob_batch(rows)])
 
     return run
@@ -361,6 +397,67 @@ def window_classes(bodies: list[bytes], owners: np.ndarray, length: int) -> list
     return [least[end - size:end - length + 1] for end, size in zip(ends.tolist(), sizes.tolist())]
 
 
+def _later_in_parts(bodies: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each context whether each of its windows has a smaller owner too; suffixes are sorted a megabyte at a time.
+
+    Equal windows have their anchor at the same place, so windows with ``low`` to ``high`` bytes before it are equal only if
+    the bytes that all of these have, ``low`` before the anchor and ``spare - high`` behind its gram, are. Contexts are parted by
+    these; where a part is still large, its windows are taken in two ranges of places, in which more bytes have to be equal.
+    """
+    spare = length - GRAM
+    before = np.zeros(len(bodies), np.int64)  # bytes of the context before its anchor
+    for _, starts, row, place, anchor, _ in _windows(bodies, length):
+        head = place == 0
+        before[row[head]] = (anchor - starts)[head]
+    sizes = np.array([len(b) for b in bodies])
+    after = sizes - before - GRAM
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    # Every context with its anchor in the same columns.
+    grid = np.zeros((len(bodies), spare + length), np.uint8)
+    owner_row = np.repeat(np.arange(len(bodies)), sizes)
+    column = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grid[owner_row, column + (spare - before)[owner_row]] = data
+    del owner_row, column
+    fewest = spare - after  # bytes before the anchor in the last window of a context
+    later = np.zeros((len(bodies), spare + 1), dtype=bool)  # by the bytes before the anchor
+
+    def decide(rows: np.ndarray, low: int, high: int) -> None:
+        firsts, ends = np.minimum(before[rows], high), np.maximum(fewest[rows], low)
+        texts = [grid[r, spare - f:spare + length - e].tobytes() for r, f, e in zip(rows.tolist(), firsts.tolist(), ends.tolist())]
+        for r, f, e, mins in zip(rows.tolist(), firsts.tolist(), ends.tolist(), window_classes(texts, owners[rows], length)):
+            later[r, e:f + 1] = (mins < owners[r])[::-1]
+
+    def solve(rows: np.ndarray, low: int, high: int) -> None:
+        rows = rows[(before[rows] >= low) & (fewest[rows] <= high)]
+        alike = np.ascontiguousarray(grid[rows, spare - low:spare + length - high])
+        _, number, times = np.unique(alike.view(f"V{alike.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+        del alike
+        rows, number = rows[times[number] > 1], number[times[number] > 1]  # a context alone repeats nowhere
+        order = np.argsort(number, kind="stable")
+        rows, number = rows[order], number[order]
+        edges = np.append(np.flatnonzero(_first_of_runs(number)), len(rows)).tolist()
+        most = max(CHUNK // (spare + length), 1)
+        begun = 0
+        for a, b in zip(edges, edges[1:]):
+            if b - a > most or b - begun > 2 * most:
+                if begun < a:
+                    decide(rows[begun:a], low, high)
+                begun = a
+            if b - a > most:
+                if low == high:  # all are one window
+                    later[rows[a:b], low] = owners[rows[a:b]] > owners[rows[a:b]].min()
+                else:
+                    half = (low + high + 1) // 2
+                    solve(rows[a:b], half, high)
+                    solve(rows[a:b], low, half - 1)
+                begun = b
+        if begun < len(rows):
+            decide(rows[begun:], low, high)
+
+    solve(np.arange(len(bodies)), 0, spare)
+    return [later[k, f:b + 1][::-1] for k, (f, b) in enumerate(zip(fewest.tolist(), before.tolist()))]
+
+
 def _repeats(length: int) -> Callable[[pa.Table], pa.Table]:
     """Windows that also start in a text of smaller id, by block: (uid, first start, number of starts)."""
     def run(table: pa.Table) -> pa.Table:
@@ -396,9 +493,11 @@ def _repeats(length: int) -> Callable[[pa.Table], pa.Table]:
                 total += len(distinct[several[last]])
                 last += 1
             part = several[begun:last]
-            classes = window_classes([distinct[k] for k in part], least[part], length)
-            for k, mins in zip(part.tolist(), classes):
-                marked = np.concatenate([[False], mins < least[k], [False]])
+            bodies = [distinct[k] for k in part]
+            later_windows = _later_in_parts(bodies, least[part], length) if total >= 2 * CHUNK else [
+                mins < own for mins, own in zip(window_classes(bodies, least[part], length), least[part].tolist())]
+            for k, later in zip(part.tolist(), later_windows):
+                marked = np.concatenate([[False], later, [False]])
                 change = np.flatnonzero(marked[1:] != marked[:-1])
                 for a, b in zip(change[::2].tolist(), change[1::2].tolist()):
                     rows = todo[places.get(k, [])]
