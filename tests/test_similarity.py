@@ -66,3 +66,29 @@ def test_readable_descriptors(spark):
     frame = spark.createDataFrame([(c,) for c in cases], "d string")
     assert {r[0]: r[1] for r in frame.select("d", profile.readable_descriptor(F.col("d"))).collect()} == cases
     assert spark.range(1).select(profile.one_line(F.lit("a\tb\r\nc"))).first()[0] == "a b  c"
+
+
+def test_codes_rule_out_no_pair_at_the_cutoff(spark):
+    """Of all pairs of lists, those as similar as the cutoff pass the bound of the codes, and most others do not."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    base = [[(rng.choice(["exon", "CDS", "utr"]), rng.randint(1, 3000)) for _ in range(rng.choice([1, 3, 7, 8, 12]))] for _ in range(30)]
+    near = [[(t, max(1, round(n * rng.uniform(0.75, 1.0)))) for t, n in x][:rng.randint(1, 12)] for x in base for _ in range(2)]
+    frame = spark.createDataFrame(list(enumerate(base + near)), "id long, regions array<struct<type:string,length:long>>")
+    t, q = (frame.select(F.col("id").alias(s), F.col("regions").alias(f"{s}_regions"), *similarity._place_codes(F.col("regions"), s),
+                         F.size("regions").alias(size)) for s, size in (("t", "m"), ("q", "n")))
+    for cutoff in (0.6, 0.9):
+        pairs = t.crossJoin(q).select(
+            similarity.structure_similarity(F.col("t_regions"), F.col("q_regions")).alias("s"), similarity._may_reach(cutoff).alias("passed")).collect()
+        assert all(r.passed for r in pairs if r.s >= cutoff)
+        assert cutoff < 0.9 or sum(r.passed for r in pairs) < len(pairs) // 4
+
+
+def test_lists_that_have_no_codes_pass(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [("exon", 0)]), (2, [("exon", None)]), (3, [(None, 5)]), (4, [])]
+    frame = spark.createDataFrame(rows, "id long, regions array<struct<type:string,length:long>>")
+    coded = frame.select("id", *similarity._place_codes(F.col("regions"), "t")).orderBy("id").collect()
+    assert [r.t_code_a for r in coded] == [None, None, None, 0]

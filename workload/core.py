@@ -61,7 +61,8 @@ def render_mapping(pairs: DataFrame) -> DataFrame:
 def signature_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gene mapping by transcripts of similar structure."""
     target, query, signatures = _signed_releases(spark, sf_dir)
-    return render_mapping(signature.map_genes(target, query, cutoff=SIMILAR, signatures=signatures))
+    structures = signature.structures_of_lists(feature_lists(spark, sf_dir))
+    return render_mapping(signature.map_genes(target, query, cutoff=SIMILAR, signatures=signatures, structures=structures))
 
 
 SIMILAR = 0.9
