@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annodelta import constants as C
-from annodelta.annotation import Annotation
+from annodelta.annotation import PART, Annotation, per_transcript, transcript_extents
 from annodelta.compat import Compat
 from annodelta.config import Comparison
 from annodelta.operators.comparators import Comparator, of_grain
@@ -43,21 +43,22 @@ def impact(kind: Column, label: str, config: Comparison, compat: Compat = Compat
 
 
 def transcript_pairs(matches: DataFrame, target: Annotation, query: Annotation, config: Comparison) -> DataFrame:
-    """Matched pairs with ids, biotypes, strand and child extent of both sides.
+    """Matched pairs with ids, biotypes, strand and child extent of both sides, and the parts they lie in if known.
 
     A biotype allow list lets a pair through if either transcript is on it.
     """
     def side(a: Annotation, p: str, name: str) -> DataFrame:
-        extent = a.features.groupBy("contig", "transcript_id").agg(F.min("start").alias("cs"), F.max("end").alias("ce"))
+        extent = transcript_extents(a.features, p == "q_")
         genes = a.genes.select("contig", "gene_id", F.coalesce("gene_biotype", "source").alias("gene_kind"))
         return (
-            a.transcripts.join(extent, ["contig", "transcript_id"], "left")
+            a.transcripts.join(extent, per_transcript(extent, "contig", "transcript_id"), "left")
             .join(genes, ["contig", "gene_id"], "left")
             .select(
                 "contig", F.col("transcript_id").alias(name), F.col("gene_id").alias(p + "gene_id"),
                 F.col("gene_kind").alias(p + "gene_biotype"),
                 F.coalesce("transcript_biotype", "source").alias(p + "biotype"),
                 F.col("cs").alias(p + "start"), F.col("ce").alias(p + "end"), F.col("fwd").alias(p + "fwd"),
+                *(F.col(c).alias(p + c) for c in extent.columns if c == PART),
             )
         )
 
