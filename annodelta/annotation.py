@@ -33,10 +33,12 @@ def of_both_sides(target: DataFrame, query: DataFrame, make: Callable[[DataFrame
     return make(target).withColumn("is_query", F.lit(False)).unionByName(make(query).withColumn("is_query", F.lit(True)))
 
 
-def join_by_transcript(rows: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
-    """``rows`` with what ``lists`` know of a transcript (contig, is_query, transcript_id). Where both have ``part`` they meet by
-    it alone, so that the lists, which lie so already, are not shuffled."""
-    keys = ["contig", "is_query", "transcript_id"]
+def join_by_transcript(
+    rows: DataFrame, lists: DataFrame, how: str = "left", keys: tuple[str, ...] = ("contig", "is_query", "transcript_id")
+) -> DataFrame:
+    """``rows`` with what ``lists`` know of a transcript. Where both have ``part`` they meet by it alone, so that the lists,
+    which lie so already, are not shuffled."""
+    keys = list(keys)
     if not (PART in rows.columns and PART in lists.columns):
         return rows.join(lists.drop(PART), keys, how).drop(PART)
     own = lists.where(" and ".join(f"{k} is not null" for k in keys)).withColumnsRenamed({k: f"_{k}" for k in [*keys, PART]})

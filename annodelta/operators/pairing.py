@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annodelta import constants as C
-from annodelta.annotation import per_transcript
+from annodelta.annotation import PART, are_listed, join_by_transcript, per_transcript
 from annodelta.operators.genome import CHUNK_BASES, compare_spans
 
 
@@ -53,6 +53,29 @@ def pair_by_rank(target: DataFrame, query: DataFrame) -> DataFrame:
     return paired.withColumn("side_state", state).drop("apart", "only_query", "any_query")
 
 
+def _regions_by_rank(df: DataFrame) -> DataFrame:
+    """As :func:`pair_by_rank` with ``type_in_both``, from rows with the lists ``t`` and ``q`` of a transcript; types are known."""
+    def ranked(side: str, kind: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(side, lambda f: f["type"] == kind), lambda f: F.struct(
+            *(f[c].alias(c) for c in ("start", "end", "ord", "fwd")))))
+
+    kinds = F.array_distinct(F.concat(F.col("t.type"), F.col("q.type")))
+    of_kind = df.withColumn("type", F.explode(kinds)).withColumns({"t": ranked("t", F.col("type")), "q": ranked("q", F.col("type"))})
+    sizes = F.size("t"), F.size("q")
+    rows = of_kind.withColumn("type_in_both", F.least(*sizes) > 0).withColumn("rank", F.explode(F.sequence(F.lit(1), F.greatest(*sizes))))
+    state = F.when(F.col("rank") > sizes[0], "missing_in_target").when(F.col("rank") > sizes[1], "missing_in_query").otherwise("both")
+    return rows.withColumn("side_state", state).withColumns({
+        f"{side}_{c}": F.get(F.col(side), F.col("rank") - 1)[c] for side in "tq" for c in ("start", "end", "fwd")}).drop("t", "q")
+
+
+def _lists_of_both(lists: DataFrame) -> DataFrame:
+    """part, contig, transcript_id and the lists of the target (t) and of the query (q) release, empty where there is none."""
+    sides = lists.groupBy(PART, "contig", "transcript_id").agg(*[
+        F.first(F.when(F.col("is_query") == is_query, F.col("features")), ignorenulls=True).alias(side) for side, is_query in (("t", False), ("q", True))])
+    return sides.withColumns({
+        side: F.coalesce(side, F.filter(other, lambda f: F.lit(False))) for side, other in (("t", "q"), ("q", "t"))})
+
+
 def exact_gene_difference(pairs: DataFrame) -> DataFrame:
     """Flags of the exact gene comparison: length, strand, start and stop, no thresholds."""
     def changed(c: str) -> Column:
@@ -158,9 +181,13 @@ def old_style_differences(
 def old_style_region_pairs(target: DataFrame, query: DataFrame, transcript_pairs: DataFrame) -> DataFrame:
     """Rank-paired regions of the transcripts both releases know, with their gene id.
 
-    ``type_in_both`` tells whether both transcripts have regions of the type at all.
+    ``type_in_both`` tells whether both transcripts have regions of the type at all. Regions in lists are ranked and paired where
+    they lie; ``transcript_pairs`` then know the parts.
     """
-    shared = transcript_pairs.where(F.col("side_state") == "both").select("contig", "transcript_id", "gene_id")
+    shared = transcript_pairs.where(F.col("side_state") == "both").select(
+        "contig", "transcript_id", "gene_id", *(F.col(c).alias(PART) for c in transcript_pairs.columns if c == f"t_{PART}"))
+    if are_listed(target):
+        return _regions_by_rank(join_by_transcript(shared, _lists_of_both(target), "inner", ("contig", "transcript_id")))
     in_both = F.max(F.col("side_state") == "both").over(Window.partitionBy("contig", "transcript_id", "type"))
     return pair_by_rank(target, query).withColumn("type_in_both", in_both).join(shared, ["contig", "transcript_id"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annodelta.annotation import PART, Annotation, join_by_transcript, transcript_extents, with_introns
 from annodelta.config import Comparison
-from annodelta.operators import difference, matching, regions
+from annodelta.operators import difference, matching, pairing, regions
 from tests.test_shuffles import _shuffles
 
 FEATURES = "contig string, gene_id string, transcript_id string, type string, start long, end long, fwd boolean, ord int, part long"
@@ -36,7 +36,7 @@ def _release(spark, seed):
     return Annotation(genes, spark.createDataFrame(transcripts, TRANSCRIPTS), spark.createDataFrame(features, FEATURES))
 
 
-def _listed(target, query):
+def _plain_lists(target, query):
     """Every transcript, also one without features, has a row."""
     parts = []
     for is_query, a in ((False, target), (True, query)):
@@ -44,7 +44,11 @@ def _listed(target, query):
         parts.append(a.transcripts.select("contig", "transcript_id", PART).join(lists, ["contig", "transcript_id"], "left").select(
             F.lit(is_query).alias("is_query"), "contig", "transcript_id", PART,
             F.coalesce("features", F.expr("cast(array() as array<struct<type:string,start:bigint,end:bigint,ord:int,fwd:boolean>>)")).alias("features")))
-    lists = parts[0].unionByName(parts[1]).repartition(PART)
+    return parts[0].unionByName(parts[1]).repartition(PART)
+
+
+def _listed(target, query):
+    lists = _plain_lists(target, query)
     return tuple(with_introns(Annotation(a.genes, a.transcripts, lists)) for a in (target, query))
 
 
@@ -102,3 +106,17 @@ def test_an_order_that_comes_twice_is_one_transcript(spark, tmp_path):
         lists = listed.where((F.col("is_query") == is_query) & (F.size("features") > 0)).select("contig", "transcript_id", F.sort_array(F.transform(
             "features", lambda f: F.struct(f["type"].alias("type"), f["start"].alias("start"), f["end"].alias("end"), f["fwd"].alias("fwd")))).alias("f"))
         assert rows.exceptAll(lists).count() == 0 and lists.exceptAll(rows).count() == 0 and rows.count() > 1000
+
+
+def test_ranked_regions(spark):
+    target, query = _release(spark, 5), _release(spark, 5)
+    query = Annotation(query.genes, query.transcripts, query.features.where("part % 4 != 1 or ord != 0"))
+    lists = _plain_lists(target, query)
+    pairs = []
+    for more in ([], [PART]):
+        columns = ["contig", "gene_id", "transcript_id", "start", "end", "fwd", *more]
+        pairs.append(pairing.pair_by_id(target.transcripts.select(columns), query.transcripts.select(columns), ["contig", "gene_id", "transcript_id"]))
+    columns = ["contig", "transcript_id", "gene_id", "type", "rank", "type_in_both", "side_state", *(f"{p}_{c}" for p in "tq" for c in ("start", "end", "fwd"))]
+    rows = pairing.old_style_region_pairs(target.features, query.features, pairs[0])
+    listed = pairing.old_style_region_pairs(lists, lists, pairs[1])
+    assert _rows(rows.select(columns)) == _rows(listed.select(columns)) and rows.where("side_state != 'both'").count() > 5

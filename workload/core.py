@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annodelta import annotation as A
 from annodelta.operators import loci, origins, pairing, signature, statistics
 from annodelta.session import cut_lineage
-from workload.release import SIDES, feature_lists, release, release_sql, releases, with_extents
+from workload.release import SIDES, feature_lists, listed_releases, release, release_sql, releases, with_extents
 
 REL = release_sql()
 
@@ -207,7 +207,7 @@ FROM t_gene t FULL OUTER JOIN q_gene q ON t.contig = q.contig AND t.gene_id = q.
 
 
 def _transcripts_of_gene_pairs(target: A.Annotation, query: A.Annotation, genes: DataFrame) -> DataFrame:
-    columns = ["contig", "gene_id", "transcript_id", "start", "end", "fwd"]
+    columns = ["contig", "gene_id", "transcript_id", "start", "end", "fwd", *(c for c in target.transcripts.columns if c == A.PART)]
     return pairing.transcripts_of_gene_pairs(genes, target.transcripts.select(columns), query.transcripts.select(columns))
 
 
@@ -244,7 +244,7 @@ FROM t_rank t FULL OUTER JOIN q_rank q USING (contig, transcript_id, type, rank)
 
 
 def old_style_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, query = releases(spark, sf_dir)
+    target, query = listed_releases(spark, sf_dir, introns=False)
     genes = gene_id_pairs(spark, sf_dir)
     transcripts = _transcripts_of_gene_pairs(target, query, genes)
     regions = pairing.old_style_region_pairs(target.features, query.features, transcripts)

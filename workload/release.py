@@ -216,11 +216,12 @@ def listed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("of.*", PART, F.when(F.col("of.is_query"), features("query")).otherwise(features("target")).alias("features"))
 
 
-def listed_releases(spark: SparkSession, sf_dir: str) -> tuple[Annotation, Annotation]:
-    """Both releases with their features as lists, introns included; transcripts know the part they lie in."""
-    key = (spark.sparkContext.applicationId, sf_dir, "listed")
+def listed_releases(spark: SparkSession, sf_dir: str, introns: bool = True) -> tuple[Annotation, Annotation]:
+    """Both releases with their features as lists, with ``introns`` or as given; transcripts know the part they lie in."""
+    key = (spark.sparkContext.applicationId, sf_dir, introns)
     if key not in _listed:
-        features = introns_in_lists(listed_features(spark, sf_dir))
+        features = listed_features(spark, sf_dir)
+        features = introns_in_lists(features) if introns else features
         _listed[key] = tuple(replace(_derive(spark, sf_dir, side, [PART]), features=features) for side in SIDES)
     return _listed[key]
 
