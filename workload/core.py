@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annodelta import annotation as A
 from annodelta.operators import loci, origins, pairing, signature, statistics
 from annodelta.session import cut_lineage
-from workload.release import SIDES, feature_lists, listed_releases, release, release_sql, releases, with_extents
+from workload.release import SIDES, feature_lists, listed_features, listed_releases, release, release_sql, releases, with_extents
 
 REL = release_sql()
 
@@ -61,7 +61,7 @@ def render_mapping(pairs: DataFrame) -> DataFrame:
 def signature_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gene mapping by transcripts of similar structure."""
     target, query, signatures = _signed_releases(spark, sf_dir)
-    structures = signature.structures_of_lists(feature_lists(spark, sf_dir))
+    structures = signature.structures_of_lists(signatures, listed_features(spark, sf_dir, by_gene=True))
     return render_mapping(signature.map_genes(target, query, cutoff=SIMILAR, signatures=signatures, structures=structures))
 
 

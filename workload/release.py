@@ -179,23 +179,25 @@ def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.collect_list(F.struct(*(c for c in lines.columns if c != "l_orderkey"))).alias("lines"))
 
 
-def listed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of both releases as lists, one row per transcript, at their places (see ``Annotation``).
+def listed_features(spark: SparkSession, sf_dir: str, by_gene: bool = False) -> DataFrame:
+    """The features of both releases as lists, one row per transcript (and ``gene_id``, on request), at their places (see ``Annotation``).
 
     Lines are shuffled once for both releases. An order that comes several times, or whose customer does, is one transcript
     with the features of all.
     """
     ids = [F.when(_present(side), _transcript_id(side)).alias(side) for side in SIDES]
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *ids).join(
-        table(spark, sf_dir, "customer").select("c_custkey", _contig().alias("contig"), _forward().alias("fwd")),
-        F.col("o_custkey") == F.col("c_custkey"))
+        table(spark, sf_dir, "customer").select("c_custkey", _contig().alias("contig"), _forward().alias("fwd"), *(
+            _gene_id(side).alias(f"{side}_gene") for side in SIDES if by_gene)), F.col("o_custkey") == F.col("c_custkey"))
+    genes = [c for c in orders.columns if c.endswith("_gene")]
     placed = orders.groupBy("o_orderkey").agg(F.collect_list(F.struct(
-        "contig", "fwd", (F.col("c_custkey") * LOCUS_SPACING).alias("locus"), *SIDES)).alias("places"))
+        "contig", "fwd", (F.col("c_custkey") * LOCUS_SPACING).alias("locus"), *SIDES, *genes)).alias("places"))
 
     def ids_of(side: str) -> Column:
         present = F.filter("places", lambda p: p[side].isNotNull())
         return F.array_distinct(F.transform(present, lambda p: F.struct(
-            F.lit(side == "query").alias("is_query"), p["contig"].alias("contig"), p[side].alias("transcript_id"))))
+            F.lit(side == "query").alias("is_query"), p["contig"].alias("contig"), *(
+                p[f"{side}_gene"].alias("gene_id") for _ in genes[:1]), p[side].alias("transcript_id"))))
 
     def features(side: str) -> Column:
         def of(place: Column) -> Column:
@@ -208,7 +210,8 @@ def listed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
             return F.flatten(F.transform(F.filter("lines", lambda line: line[f"{side}_kept"]), line_features))
 
-        mine = F.filter("places", lambda p: p["contig"].eqNullSafe(F.col("of.contig")) & p[side].eqNullSafe(F.col("of.transcript_id")))
+        mine = F.filter("places", lambda p: p["contig"].eqNullSafe(F.col("of.contig")) & p[side].eqNullSafe(F.col("of.transcript_id")) & (
+            p[f"{side}_gene"].eqNullSafe(F.col("of.gene_id")) if genes else F.lit(True)))
         return F.flatten(F.transform(mine, of))
 
     rows = _gathered(spark, sf_dir).join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -227,7 +230,7 @@ def listed_releases(spark: SparkSession, sf_dir: str, introns: bool = True) -> t
 
 
 def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """side, contig, gene_id, transcript_id, fwd, features (type, start, end, ord): one row per transcript of either release.
+    """side, contig, gene_id, transcript_id, fwd, features (type, start, end, ord), part: one row per transcript of either release.
 
     Lines are shuffled once for both releases and gathered by order as they are; what an order knows is joined to the gathered
     rows, and features exist only inside the lists. Starts and ends count from the place of the gene.
@@ -252,8 +255,8 @@ def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(side).alias("side"), F.col(f"{side}_gene").alias("gene_id"), F.col(f"{side}_transcript").alias("transcript_id"),
         features(side).alias("features"))) for side in SIDES]
     located = gathered.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "contig", "fwd", F.explode(F.array_compact(F.array(*revised))).alias("of"))
-    return located.select("of.side", "contig", "of.gene_id", "of.transcript_id", "fwd", "of.features")
+        "contig", "fwd", F.col("l_orderkey").alias(PART), F.explode(F.array_compact(F.array(*revised))).alias("of"))
+    return located.select("of.side", "contig", "of.gene_id", "of.transcript_id", "fwd", "of.features", PART)
 
 
 def with_extents(spark: SparkSession, sf_dir: str, side: str, transcripts: DataFrame) -> Annotation:
