@@ -33,7 +33,10 @@ def mapping_lines(pairs: DataFrame) -> DataFrame:
 
 
 def write_mapping(pairs: DataFrame, path: str) -> None:
-    write_tsv(mapping_lines(pairs), path)
+    """Mapping rows behind one header line, which stands in the first part file."""
+    lines = mapping_lines(pairs)
+    header = pairs.sparkSession.range(1).coalesce(1).select(*[F.lit(c).alias(c) for c in lines.columns])
+    write_tsv(header.unionByName(lines), path, header=False)
 
 
 def write_unmapped(rows: DataFrame, path: str) -> None:

@@ -308,3 +308,14 @@ def test_report_modes(spark, folder, tmp_path):
     main(["benchmark", "--events", str(events), "--o", str(tmp_path / "prof"), "--packages", "my."])
     assert "r\tmy.B\t1\t0\t0" in read_text(str(tmp_path / "prof" / "methods"))
     assert "r\t1\t7\t1000000" in read_text(str(tmp_path / "prof" / "summary"))
+
+
+def test_a_mapping_has_one_header_line(spark, tmp_path):
+    from annodelta.sinks.writers import write_mapping
+
+    pairs = spark.createDataFrame([(c, "q", "t", "Q", "T", ["NAME_MAPPING"], 5) for c in "123"], (
+        "contig string, query_gene_id string, target_gene_id string, query_transcript_id string, target_transcript_id string, "
+        "origins array<string>, distance long")).repartition(3, "contig")
+    write_mapping(pairs, str(tmp_path / "map.tsv"))
+    lines = read_text(str(tmp_path / "map.tsv"))
+    assert len(lines) == 4 and sum(line.startswith("contig\t") for line in lines) == 1
